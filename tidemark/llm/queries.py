@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, packing, url_filter, warc
+from . import exact_dedup, jaccard_join, line_dedup, packing, quality, toxicity, url_filter, warc
 from .common import table
 
 QUERIES = {
@@ -11,6 +11,9 @@ QUERIES = {
     "op4_url_filter": lambda spark, d: url_filter.judge_urls(table(spark, d, "pages")),
     "op5_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")).drop("keep_locator"),
     "op7_best_fit_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
+    "op8_jaccard_join": lambda spark, d: jaccard_join.jaccard_components(table(spark, d, "documents")),
+    "op9_ordinal_quality": lambda spark, d: quality.quality(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op10_toxicity_fm": lambda spark, d: toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
 ORACLE_SQL = {
