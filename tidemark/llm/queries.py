@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, line_dedup, packing, quality, toxicity, url_filter, warc
+from . import decontam, exact_dedup, jaccard_join, line_dedup, packing, quality, toxicity, url_filter, warc
 from .common import table
 
 QUERIES = {
     "op1_line_dedup": lambda spark, d: line_dedup.repeats(table(spark, d, "documents")),
+    "op2_decontamination": lambda spark, d: decontam.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op3_warc_salvage": lambda spark, d: warc.round_trip(table(spark, d, "pages")),
     "op4_url_filter": lambda spark, d: url_filter.judge_urls(table(spark, d, "pages")),
     "op5_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")).drop("keep_locator"),
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op2_decontamination": lambda spark, d: decontam.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op3_warc_salvage": warc.oracle(),
     "op4_url_filter": url_filter.oracle(),
     "op5_exact_dedup": """WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
