@@ -19,7 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
-    "op2_decontamination": lambda spark, d: decontam.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op3_warc_salvage": warc.oracle(),
     "op4_url_filter": url_filter.oracle(),
     "op5_exact_dedup": """WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
