@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, jaccard_join, line_dedup, packing, quality, toxicity, url_filter, warc
+from . import decontam, exact_dedup, jaccard_join, line_dedup, packing, quality, suffix_dedup, toxicity, url_filter, warc
 from .common import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_warc_salvage": lambda spark, d: warc.round_trip(table(spark, d, "pages")),
     "op4_url_filter": lambda spark, d: url_filter.judge_urls(table(spark, d, "pages")),
     "op5_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")).drop("keep_locator"),
+    "op6_suffix_dedup": lambda spark, d: suffix_dedup.remove_repeats(table(spark, d, "documents")),
     "op7_best_fit_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op8_jaccard_join": lambda spark, d: jaccard_join.jaccard_components(table(spark, d, "documents")),
     "op9_ordinal_quality": lambda spark, d: quality.quality(table(spark, d, "documents"), table(spark, d, "labels")),
