@@ -49,6 +49,7 @@ def stream_state(rows_path: str, spark: SparkSession, schema, batches: int = 2)
         session.conf.set(k, spark.conf.get(k))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores need no room in advance
     files = len(spark.read.schema(schema).parquet(rows_path).inputFiles())
     out, ckpt = shared_dir(spark, "dedup-state"), shared_dir(spark, "dedup-ckpt")
     stream = session.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(rows_path)
