@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 SHINGLE_WORDS = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

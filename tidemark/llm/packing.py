@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,9 @@ from .common import partitions, slices, split_words, store
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a Python worker keeps.
-WORD_CACHE = 400_000
+WORD_CACHE = 150_000
+_MARK = "<|startoftext|>"
+_SIGNS = r"([\p{L}\p{N}])([!-&(-/:-@\[-`{-~])"
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -42,43 +45,78 @@ def default_tokenizer() -> str:
 
 
 class WordTokens:
-    """Ids of texts by way of their distinct words."""
+    """Ids of texts by way of their distinct words.
+
+    The tokenizer splits at white space and between a letter or digit and a following ASCII sign (but for the apostrophe), and lowers
+    case, so words are taken after doing that: fewer differ. Texts that hold ``<|`` could hold special tokens and are encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.mark_id = self.tokenizer.token_to_id(_MARK)
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        known, before = self.known, self.before
+        new = []
+        for w in words:
+            if w not in known:
+                if w in before:
+                    known[w] = before[w]
+                else:
+                    new.append(w)
+        groups = [new[i : i + 64] for i in range(0, len(new), 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([_MARK.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            raw, cut = ids.tobytes(), np.flatnonzero(ids == self.mark_id).tolist()
+            for w, a, b in zip(group, [-1, *cut], [*cut, len(ids)], strict=True):
+                known[w] = raw[4 * a + 4 : 4 * b]
+        out = [known[w] for w in words]
+        if len(known) > WORD_CACHE:  # two generations: what is used moves on, the rest goes
+            self.before, self.known = known, {}
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids), each text ended by END_ID."""
-        offsets, codes, words = split_words(texts, lower=False)
-        if len(self.known) > WORD_CACHE:
-            self.known, self.ids = {}, []
-        words = words.to_pylist()
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = len(self.ids)
-            self.ids.append(np.array(e.ids, np.uint32))
-        table = [self.ids[self.known[w]] for w in words]
-        lengths = np.fromiter((len(x) for x in table), np.int64, len(table))
-        flat = np.concatenate([*table, np.empty(0, np.uint32)]) if table else np.empty(0, np.uint32)
-        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1] if table else np.empty(0, np.int64)
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
+        offsets, codes, words = split_words(pc.replace_substring_regex(plain, _SIGNS, r"\1 \2"))
+        table = self._words(words.to_pylist())
+        flat = np.frombuffer(b"".join(table), "<u4")
+        lengths = np.fromiter((len(x) >> 2 for x in table), np.int64, len(table))
+        starts = np.concatenate([[0], np.cumsum(lengths)])
         n = lengths[codes]
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])] if ends[-1] else np.empty(0, np.uint32)
+        ids = flat[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])] if ends[-1] else np.empty(0, "<u4")
         cut = ends[offsets]  # of each text in ids
         docs = len(offsets) - 1
-        out = np.full(len(ids) + docs, END_ID, np.uint32)
-        shift = np.repeat(np.arange(docs), np.diff(cut))
-        out[np.arange(len(ids)) + shift] = ids
+        if special.any():
+            parts = [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+            for i in np.flatnonzero(special).tolist():
+                parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+            ids, cut = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        out = np.full(len(ids) + docs, END_ID, "<u4")
+        out[np.arange(len(ids)) + np.repeat(np.arange(docs), np.diff(cut))] = ids
         return cut + np.arange(docs + 1), out
 
 
+_own: dict[str, WordTokens] = {}
+
+
+def _worker_tokens(path: str) -> WordTokens:
+    """The Python worker's own, kept from task to task."""
+    if path not in _own:
+        _own[path] = WordTokens(path)
+    return _own[path]
+
+
 def pieces(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer)
+        words = _worker_tokens(tokenizer)
         row = 0
         for batch in slices(batches):
             offsets, ids = words.encode(batch.column("text"))
