@@ -1,0 +1,78 @@
+"""Column functions whose exact meaning the marts depend on. All stay inside code generation."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Date, T or blank, hours and minutes, optional seconds and fraction, then a zone. Anchored with \z, as $ also matches before a newline.
+ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})\z"
+
+
+def _column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def event_time(text: Column | str) -> Column:
+    """A time with a zone as a UTC timestamp; null for anything else, also for an impossible date."""
+    c = _column(text)
+    with_seconds = F.regexp_replace(c, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2")
+    with_colon = F.regexp_replace(with_seconds, r"([+-]\d{2})(\d{2})\z", "$1:$2")
+    return F.when(c.rlike(ISO), F.try_to_timestamp(with_colon))
+
+
+def iso_utc(ts: Column | str) -> Column:
+    return F.date_format(_column(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def day_key(ts: Column | str) -> Column:
+    return F.date_format(_column(ts), "yyyyMMdd")
+
+
+def month_key(ts: Column | str) -> Column:
+    return F.date_format(_column(ts), "yyyyMM")
+
+
+def seconds(ts: Column | str) -> Column:
+    """Whole seconds since the epoch; differences of these are the engine's whole-second gaps."""
+    return F.unix_timestamp(_column(ts).cast("timestamp"))
+
+
+def seconds_between(start: Column | str, end: Column | str) -> Column:
+    return seconds(end) - seconds(start)
+
+
+def minutes_between(start: Column | str, end: Column | str) -> Column:
+    return seconds_between(start, end) / F.lit(60.0)
+
+
+def lag_seconds(event: Column | str, ingested: Column | str) -> Column:
+    """Ingest lag to the millisecond."""
+    return (F.unix_millis(_column(ingested).cast("timestamp")) - F.unix_millis(_column(event).cast("timestamp"))) / F.lit(1000.0)
+
+
+def ratio(a: Column | str, b: Column | str) -> Column:
+    """a / b as a double, null where b is 0 or null."""
+    return F.try_divide(_column(a).cast("double"), _column(b).cast("double"))
+
+
+def clamp01(x: Column) -> Column:
+    """x within [0, 1]; null stays null (greatest and least would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+
+
+def robust_z(x: Column, center: Column, scale: Column) -> Column:
+    """Distance from the center in scales; 0 where the population has no spread."""
+    return F.when(scale > 0, (x - center) / scale).otherwise(F.lit(0.0))
+
+
+def null_if_empty(c: Column | str) -> Column:
+    return F.nullif(_column(c), F.lit(""))
+
+
+def json_string(raw: Column | str, field: str) -> Column:
+    """A field's value if it is a non-empty JSON string, else null."""
+    c = _column(raw)
+    v = F.try_parse_json(c)
+    got = F.try_variant_get(v, f"$.{field}", "string")
+    return F.when(F.schema_of_variant(F.variant_get(v, f"$.{field}", "variant")) == "STRING", null_if_empty(got))

@@ -1,2 +1,416 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries over the driver's tables in the roles of the engine's own inputs, and the same in SQL.
+
+events is a search log: view = query, click = result click, user = session, props' k = query text. lineitem is the children of
+orders: return flag N = accepted, R = rejected dispatch, line status F = delivery; an order of status P is cancelled.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions.core import json_string, lag_seconds, ratio
+from tidemark.operators import abuse, contracts, dedup, orders, quality, search, series
+
+DAY = "2024-01-01"
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+def _stamp(c: str):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+def search_events(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "view", search.QUERY).when(F.col("event_type") == "click", search.CLICK).otherwise(F.col("event_type"))
+    return e.select(
+        "event_id", F.col("user_id").cast("string").alias("session_id"), kind.alias("event_type"), F.get_json_object("props", "$.k").alias("query"),
+        F.col("ts").cast("timestamp").alias("event_ts"), F.to_date("ts").alias("event_date"), F.when(F.col("event_id") % 2 == 0, "web").otherwise("app").alias("client"),
+        (F.floor("value").cast("long") % 10 + 1).alias("rank"),
+    )
+
+
+EV = """ev AS (SELECT event_id, CAST(user_id AS VARCHAR) AS session_id, CASE event_type WHEN 'view' THEN 'SearchQuery' WHEN 'click' THEN 'SearchResultClick' ELSE event_type END AS event_type,
+json_extract_string(props, '$.k') AS query, ts AS event_ts, CAST(ts AS DATE) AS event_date, CASE WHEN event_id % 2 = 0 THEN 'web' ELSE 'app' END AS client,
+CAST(floor(value) AS BIGINT) % 10 + 1 AS rank FROM events)"""
+SEC = "CAST(floor(epoch_us({}) / 1000000.0) AS BIGINT)"
+SESS = f"""{EV}, started AS (SELECT *, min(event_date) OVER (PARTITION BY session_id) AS session_date FROM ev),
+g AS (SELECT *, {SEC.format("event_ts")} - lag({SEC.format("event_ts")}) OVER (PARTITION BY session_id ORDER BY event_ts, event_id) AS gap FROM started WHERE event_type = 'SearchQuery'),
+q AS (SELECT session_id, min(session_date) AS event_date, count(*) AS queries, count(DISTINCT query) AS distinct_queries, min(event_ts) AS first_at, max(event_ts) AS last_at,
+  avg(gap) AS avg_gap, min(gap) AS min_gap, stddev_pop(gap) AS sd_gap, arg_min(client, (event_ts, event_id)) AS client FROM g GROUP BY session_id),
+c AS (SELECT session_id, count(*) AS clicks, avg(rank) AS avg_rank FROM ev WHERE event_type = 'SearchResultClick' GROUP BY session_id),
+s AS (SELECT q.*, coalesce(clicks, 0) AS clicks, avg_rank, coalesce(clicks, 0)::DOUBLE / queries AS click_rate, distinct_queries::DOUBLE / queries AS dratio,
+  {SEC.format("last_at")} - {SEC.format("first_at")} AS span FROM q LEFT JOIN c USING (session_id)),
+f AS (SELECT *, CASE WHEN span > 0 THEN queries / (span / 60.0::DOUBLE) END AS qpm FROM s)"""
+POP = f"""{SESS}, rates AS (SELECT qpm FROM f WHERE queries >= 5 AND qpm IS NOT NULL), med AS (SELECT median(qpm) AS m, stddev_pop(qpm) AS sd, count(*) AS n FROM rates),
+mad AS (SELECT median(abs(qpm - (SELECT m FROM med))) * 1.4826 AS mad FROM rates),
+pop AS (SELECT CASE WHEN n >= 2 THEN m ELSE 0.0 END AS center, CASE WHEN n >= 2 THEN CASE WHEN mad > 0 THEN mad ELSE sd END ELSE 0.0 END AS scale FROM med, mad)"""
+SCORE = f"""{POP}, sig AS (SELECT f.*, queries >= 5 AS gate,
+  CASE WHEN qpm IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, CASE WHEN scale > 0 THEN (qpm - center) / scale ELSE 0.0 END / 3.0)) END AS s1,
+  CASE WHEN avg_gap IS NULL OR avg_gap = 0 OR sd_gap IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, 1 - sd_gap / avg_gap / 0.6)) END AS s2,
+  greatest(0.0, least(1.0, 1 - dratio / 0.5)) AS s3, greatest(0.0, least(1.0, 1 - click_rate / 0.35)) AS s4 FROM f, pop),
+sc AS (SELECT session_id, event_date, gate, CASE WHEN gate THEN s1 ELSE 0.0 END AS speed, CASE WHEN gate THEN s2 ELSE 0.0 END AS regularity, CASE WHEN gate THEN s3 ELSE 0.0 END AS monotony,
+  CASE WHEN gate THEN s4 ELSE 0.0 END AS disinterest, CASE WHEN gate THEN round_even(s1 * 0.35 + s2 * 0.25 + s3 * 0.2 + s4 * 0.2, 4) ELSE 0.0 END AS score FROM sig)"""
+
+
+def _sessions(spark, d):
+    return search.session_metrics(search_events(spark, d))
+
+
+def session_metrics(spark, d):
+    return _sessions(spark, d).select(
+        "session_id", "event_date", "queries", "distinct_queries", "clicks", _r("click_rate").alias("click_rate"), _r("distinct_query_ratio").alias("distinct_query_ratio"),
+        _r("avg_gap_seconds").alias("avg_gap_seconds"), "min_gap_seconds", _r("stddev_gap_seconds").alias("stddev_gap_seconds"), _r("avg_click_rank").alias("avg_click_rank"), "span_seconds",
+        _r("queries_per_minute").alias("queries_per_minute"), "client", _stamp("first_query_at").alias("first_query_at"), _stamp("last_query_at").alias("last_query_at"),
+    )
+
+
+def _scores(spark, d):
+    return abuse.score_sessions(_sessions(spark, d))
+
+
+def _truth(scores):
+    return scores.filter(F.pmod(F.col("session_id").cast("long"), F.lit(7)) == 0).select("session_id")
+
+
+def abuse_scores(spark, d):
+    return _scores(spark, d).select("session_id", "event_date", *(_r(k).alias(k) for k in abuse.WEIGHTS), _r("score", 4).alias("score"), F.col("is_abusive").cast("int").alias("is_abusive"), "threshold")
+
+
+def abuse_sweep(spark, d):
+    scores = _scores(spark, d)
+    return abuse.sweep(scores, _truth(scores)).select("threshold", "tp", "fp", "fn", *(_r(k).alias(k) for k in ("precision", "recall", "f1")))
+
+
+def abuse_evaluation(spark, d):
+    scores = abuse.score_sessions(_sessions(spark, d), threshold=0.3)
+    return abuse.evaluate(scores, _truth(scores)).select("tp", "fp", "fn", *(_r(k).alias(k) for k in ("precision", "recall", "f1")))
+
+
+_PR = """round(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 1.0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 1.0 END, 6) AS recall,
+round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1"""
+_CONF = "count(*) FILTER (hit AND t) AS tp, count(*) FILTER (hit AND NOT t) AS fp, count(*) FILTER (NOT hit AND t) AS fn"
+_PRF = "*, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 1.0 END AS p, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 1.0 END AS r"
+
+
+# order roles -------------------------------------------------------------------------------------------------------------------
+
+
+def order_parts(spark, d):
+    o, li = _table(spark, d, "orders"), _table(spark, d, "lineitem")
+    created = o.select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("timestamp").alias("event_time"), (F.col("o_custkey") % 5).cast("string").alias("region_id"), F.col("o_orderpriority").alias("experiment_variant"))
+    cancelled = o.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("order_id"), (F.col("o_orderdate").cast("timestamp") + F.expr("interval 1 day")).alias("event_time"), F.lit("customer_request").alias("cancel_reason"))
+    # one dispatch for each distinct ship date of an order: total order, so the latest acceptance is a single row
+    result = F.when(F.col("l_returnflag") == "N", "accepted").when(F.col("l_returnflag") == "R", "rejected").otherwise("other")
+    rank = Window.partitionBy("l_orderkey", "l_shipdate").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_extendedprice")
+    sent = li.withColumn("rn", F.row_number().over(rank)).filter("rn = 1")
+    dispatch = sent.select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").cast("timestamp").alias("event_time"), F.col("l_partkey").cast("string").alias("dispatch_id"), F.col("l_suppkey").cast("string").alias("rider_id"),
+        result.alias("result"), F.col("l_quantity").cast("int").alias("eta_minutes"),
+    )
+    delivered = li.filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").cast("timestamp").alias("event_time"))
+    kind = F.when(F.col("l_returnflag") == "R", "DispatchResult").otherwise("DeliveryCompleted")
+    rejected = li.filter("l_discount > 0.08").select(F.col("l_orderkey").alias("order_id"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("event_id"), kind.alias("event_type"))
+    return created, cancelled, dispatch, delivered, rejected
+
+
+def _fact(spark, d):
+    return orders.order_fact(*order_parts(spark, d))
+
+
+def order_fact(spark, d):
+    stamps = ["ordered_at", "first_dispatch_at", "accepted_at", "delivered_at", "cancelled_at"]
+    minutes = ["minutes_to_first_dispatch", "actual_delivery_minutes", "eta_error_minutes"]
+    f = _fact(spark, d)
+    rest = [c for c in f.columns if c not in stamps + minutes]
+    return f.select(*rest, *(_stamp(c).alias(c) for c in stamps), *(_r(c).alias(c) for c in minutes))
+
+
+FACT = """o AS (SELECT o_orderkey AS order_id, min(o_orderdate) AS ordered_at, min(CAST(o_custkey % 5 AS VARCHAR)) AS region_id, min(o_orderpriority) AS experiment_variant FROM orders GROUP BY 1),
+sent AS (SELECT l_orderkey AS order_id, l_shipdate AS t, CAST(l_partkey AS VARCHAR) AS dispatch_id, CAST(l_suppkey AS VARCHAR) AS rider_id, l_returnflag AS flag, CAST(l_quantity AS INT) AS eta,
+  row_number() OVER (PARTITION BY l_orderkey, l_shipdate ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity, l_extendedprice) AS rn FROM lineitem),
+d AS (SELECT order_id, count(*) AS dispatch_attempts, count(*) FILTER (flag = 'R') AS dispatch_rejections, min(t) AS first_dispatch_at, min(t) FILTER (flag = 'N') AS accepted_at,
+  arg_max(dispatch_id, t) FILTER (flag = 'N') AS accepted_dispatch_id, arg_max(rider_id, t) FILTER (flag = 'N') AS accepted_rider_id, arg_max(eta, t) FILTER (flag = 'N') AS eta_minutes FROM sent WHERE rn = 1 GROUP BY 1),
+v AS (SELECT l_orderkey AS order_id, min(l_shipdate) AS delivered_at FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),
+c AS (SELECT o_orderkey AS order_id, min(o_orderdate) + INTERVAL 1 DAY AS cancelled_at FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+r AS (SELECT l_orderkey AS order_id, count(DISTINCT concat_ws('-', l_partkey, l_suppkey)) AS rejected_event_count,
+  count(DISTINCT CASE WHEN l_returnflag = 'R' THEN concat_ws('-', l_partkey, l_suppkey) END) AS rejected_dispatch_count FROM lineitem WHERE l_discount > 0.08 GROUP BY 1),
+fact AS (SELECT o.order_id, ordered_at, region_id, experiment_variant, coalesce(dispatch_attempts, 0) AS dispatch_attempts, coalesce(dispatch_rejections, 0) AS dispatch_rejections, first_dispatch_at, accepted_at,
+  accepted_dispatch_id, accepted_rider_id, eta_minutes, delivered_at, cancelled_at, CASE WHEN cancelled_at IS NOT NULL THEN 'customer_request' END AS cancel_reason,
+  coalesce(rejected_event_count, 0) AS rejected_event_count, coalesce(rejected_dispatch_count, 0) AS rejected_dispatch_count, CAST(ordered_at AS DATE) AS order_date, accepted_at IS NOT NULL AS is_dispatch_accepted,
+  CASE WHEN delivered_at IS NOT NULL THEN 'delivered' WHEN cancelled_at IS NOT NULL THEN 'cancelled' ELSE 'incomplete' END AS order_status,
+  (epoch(first_dispatch_at) - epoch(ordered_at)) / 60.0 AS minutes_to_first_dispatch, (epoch(delivered_at) - epoch(ordered_at)) / 60.0 AS actual_delivery_minutes,
+  (epoch(delivered_at) - epoch(accepted_at)) / 60.0 - eta_minutes AS eta_error_minutes
+  FROM o LEFT JOIN d USING (order_id) LEFT JOIN v USING (order_id) LEFT JOIN c USING (order_id) LEFT JOIN r USING (order_id))"""
+
+# series roles ------------------------------------------------------------------------------------------------------------------
+
+
+def _series(spark, d):
+    return _table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+def series_islands(spark, d):
+    at = F.struct("ts", "event_id")
+    runs = series.islands(
+        _series(spark, d), "user_id", "ts", "event_id", F.col("value") > 100, 86400,
+        [F.min_by("event_type", at).alias("leg"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("readings"), F.max("value").alias("peak")],
+    )
+    return runs.filter("readings >= 2").drop("island")
+
+
+ISLANDS = f"""n AS (SELECT *, lag({SEC.format("ts")}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+b AS (SELECT *, coalesce(value > 100, false) AS hot, CASE WHEN NOT coalesce(value > 100, false) OR p IS NULL OR {SEC.format("ts")} - p > 86400 THEN 1 ELSE 0 END AS brk FROM n),
+i AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM b),
+runs AS (SELECT user_id, arg_min(event_type, (ts, event_id)) AS leg, min(ts) AS s, max(ts) AS e, count(*) AS readings, max(value) AS peak FROM i WHERE hot GROUP BY user_id, island HAVING count(*) >= 2)"""
+
+# contract roles ----------------------------------------------------------------------------------------------------------------
+
+
+def _raw_sql(spark_side: bool) -> str:
+    """A JSON record for each row of events, with planted faults; the same expression for both engines but for the time format."""
+    time = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")" if spark_side else "strftime(ts, '%Y-%m-%dT%H:%M:%S')"
+    head = f"""'{{"schema_version":' || CASE WHEN event_id % 41 = 0 THEN '2' ELSE '1' END || ',"event_id":"E' || CAST(event_id AS STRING) || '","event_time":"' || {time} || CASE WHEN event_id % 29 = 0 THEN '' ELSE 'Z' END || '"'"""
+    who = "CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 43 = 0 THEN ',\"session_id\":\"ABC\"' ELSE ',\"session_id\":\"S-' || CAST(user_id AS STRING) || '\"' END"
+    text = "',\"query\":\"' || CASE WHEN event_id % 17 = 0 THEN '' ELSE 'k' || CAST(user_id AS STRING) END || '\"'"
+    extra = "CASE WHEN event_id % 31 = 0 THEN ',\"surplus\":1' ELSE '' END"
+    query = "',\"result_count\":' || CASE WHEN event_id % 19 = 0 THEN '\"7\"' ELSE '7' END || ',\"client\":\"' || CASE WHEN event_id % 23 = 0 THEN 'tv' ELSE 'web' END || '\"'"
+    click = "',\"rank\":' || CASE WHEN event_id % 11 = 0 THEN '0' ELSE '3' END || CASE WHEN event_id % 37 = 0 THEN '' ELSE ',\"doc_id\":\"d1\"' END"
+    whole = f"{head} || {who} || {text} || {extra}"
+    return f"""CASE event_type WHEN 'view' THEN {whole} || ',"event_type":"SearchQuery"' || {query} || '}}'
+WHEN 'click' THEN {whole} || ',"event_type":"SearchResultClick"' || {click} || '}}'
+WHEN 'purchase' THEN {head} || ',"event_type":"Purchase"}}' WHEN 'error' THEN {head} || '}}'
+ELSE CASE WHEN event_id % 2 = 0 THEN '[1,2]' ELSE {head} END END"""
+
+
+def _checked(spark, d):
+    raw = _table(spark, d, "events").select("event_id", "user_id", F.expr(_raw_sql(True)).alias("raw"))
+    return contracts.check(raw.withColumnRenamed("event_id", "n"))
+
+
+RAW = f"""raws AS (SELECT event_id AS n, {_raw_sql(False)} AS raw FROM events),
+kinds AS (SELECT *, json_valid(raw) AS ok, CASE WHEN json_valid(raw) THEN json_type(raw) END AS jt FROM raws),
+objs AS (SELECT *, json_extract_string(raw, '$.event_type') AS et, json_keys(raw) AS ks FROM kinds WHERE ok AND jt = 'OBJECT'),
+good AS (SELECT * FROM objs WHERE et IN ('SearchQuery', 'SearchResultClick')),
+viol AS (SELECT n, 'invalid_json' AS code, NULL AS field FROM kinds WHERE NOT ok UNION ALL SELECT n, 'not_an_object', NULL FROM kinds WHERE ok AND jt <> 'OBJECT'
+UNION ALL SELECT n, 'missing_event_type', 'event_type' FROM objs WHERE et IS NULL
+UNION ALL SELECT n, 'unknown_event_type', 'event_type' FROM objs WHERE et IS NOT NULL AND et NOT IN ('SearchQuery', 'SearchResultClick')
+UNION ALL SELECT n, 'schema_violation', 'schema_version' FROM good WHERE CAST(json_extract_string(raw, '$.schema_version') AS INT) <> 1
+UNION ALL SELECT n, 'schema_violation', 'session_id' FROM good WHERE NOT list_contains(ks, 'session_id') OR NOT regexp_full_match(json_extract_string(raw, '$.session_id'), 'S-[0-9a-f]+')
+UNION ALL SELECT n, 'schema_violation', 'query' FROM good WHERE length(json_extract_string(raw, '$.query')) < 1
+UNION ALL SELECT n, 'schema_violation', 'result_count' FROM good WHERE et = 'SearchQuery' AND json_type(raw, '$.result_count') NOT IN ('UBIGINT', 'BIGINT')
+UNION ALL SELECT n, 'schema_violation', 'client' FROM good WHERE et = 'SearchQuery' AND json_extract_string(raw, '$.client') NOT IN ('web', 'app')
+UNION ALL SELECT n, 'schema_violation', 'rank' FROM good WHERE et = 'SearchResultClick' AND CAST(json_extract_string(raw, '$.rank') AS INT) < 1
+UNION ALL SELECT n, 'schema_violation', 'doc_id' FROM good WHERE et = 'SearchResultClick' AND NOT list_contains(ks, 'doc_id')
+UNION ALL SELECT n, 'schema_violation', NULL FROM good WHERE list_contains(ks, 'surplus')
+UNION ALL SELECT n, 'invalid_event_time', 'event_time' FROM good WHERE json_extract_string(raw, '$.event_time') NOT LIKE '%Z')"""
+
+
+def dlq_rows(spark, d):
+    return contracts.dead_letters(_checked(spark, d), "n").select("n", "event_id", "event_type", "reason_code", "field", F.md5("raw").alias("raw_md5"))
+
+
+# marts and gates ---------------------------------------------------------------------------------------------------------------
+
+
+def _day_marts(spark, d):
+    e = search_events(spark, d)
+    first = F.lit(DAY).cast("date")
+    own = search.sessions_started_on(e, first)
+    sessions = search.session_metrics(own)
+    return sessions, search.daily_metrics(search.day_events(e, first)), search.top_queries(search.day_events(e, first)), abuse.score_sessions(sessions)
+
+
+def quality_gates(spark, d):
+    return quality.gates(quality.day_facts(*_day_marts(spark, d))).select("check_name", F.col("passed").cast("int").alias("passed"), "observed")
+
+
+def data_tests(spark, d):
+    o, li, e = (_table(spark, d, t) for t in ("orders", "lineitem", "events"))
+    return quality.summary(
+        {
+            "order_key_unique": ("error", quality.unique(o, "o_orderkey")),
+            "line_unique": ("warn", quality.unique(li, "l_orderkey", "l_linenumber")),
+            "event_value_not_null": ("error", quality.not_null(e, "value")),
+            "status_accepted": ("error", quality.accepted_values(o, "o_orderstatus", ["F", "O"])),
+            "quantity_range": ("warn", quality.accepted_range(li, "l_quantity", 1, 45)),
+            "discount_range_exclusive": ("warn", quality.accepted_range(li, "l_discount", 0, 0.1, inclusive=False, where=F.col("l_returnflag") == "R")),
+        }
+    )
+
+
+def singular_tests(spark, d):
+    f = _fact(spark, d)
+    lone = orders.orphans({"orders": _table(spark, d, "customer").select(F.col("c_custkey").alias("order_id"))}, _table(spark, d, "orders").select(F.col("o_custkey").alias("order_id")))
+    return quality.summary({"delivered_without_acceptance": ("warn", orders.delivered_without_acceptance(f)), "step_before_order": ("error", orders.before_order(f)), "orphans": ("warn", lone)})
+
+
+def orphan_children(spark, d):
+    o, li = _table(spark, d, "orders"), _table(spark, d, "lineitem")
+    kids = {"lineitem": li.select(F.col("l_partkey").alias("order_id")), "orders": o.select(F.col("o_custkey").alias("order_id"))}
+    lone = orders.orphans(kids, _table(spark, d, "supplier").select(F.col("s_suppkey").alias("order_id")))
+    return lone.groupBy("source").agg(F.count("*").alias("rows"), F.count_distinct("order_id").alias("keys"))
+
+
+LINE_ORDER = ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
+def _lines(spark, d):
+    return _table(spark, d, "lineitem").withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+
+
+def dedup_first_arrival(spark, d):
+    return dedup.first_arrival(_lines(spark, d), "line_id", LINE_ORDER).select("line_id", "l_partkey", "l_suppkey", "l_quantity")
+
+
+def dedup_latest_version(spark, d):
+    return dedup.latest_version(_lines(spark, d), ["l_orderkey", "l_linenumber"], "l_shipdate", LINE_ORDER[1:]).select("line_id", "l_partkey", "l_suppkey", "l_quantity")
+
+
+def ingest_lag(spark, d):
+    o, li = _table(spark, d, "orders"), _table(spark, d, "lineitem")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).select("o_orderpriority", lag_seconds("o_orderdate", "l_shipdate").alias("lag"))
+    return j.groupBy("o_orderpriority").agg(F.min("lag").alias("min_lag"), F.max("lag").alias("max_lag"), F.count_if(F.col("lag") < 0).alias("early"), F.count("*").alias("rows"))
+
+
+def _order_by(cols):
+    return ", ".join(cols)
+
+
+QUERIES = {
+    "session_metrics": session_metrics,
+    "day_events": lambda s, d: search.day_events(search_events(s, d), DAY).select("event_id", "session_id", "event_type", "event_date"),
+    "session_started_on_date": lambda s, d: search.sessions_started_on(search_events(s, d), DAY).select("event_id", "session_id", "event_date"),
+    "daily_metrics": lambda s, d: search.daily_metrics(search_events(s, d)).withColumn("ctr", _r("ctr")),
+    "query_popularity": lambda s, d: search.query_popularity(search_events(s, d)).withColumn("ctr", _r("ctr")),
+    "top_queries_per_day": lambda s, d: search.top_queries(search_events(s, d)).withColumn("ctr", _r("ctr")),
+    "clicks_after_query": lambda s, d: search.clicks_after_query(search_events(s, d)).select("event_id", "session_id", "query"),
+    "dedup_first_arrival": dedup_first_arrival,
+    "dedup_latest_version": dedup_latest_version,
+    "dedup_savings": lambda s, d: dedup.savings(_lines(s, d), ["l_orderkey", "l_linenumber"]),
+    "order_fact": order_fact,
+    "order_status_counts": lambda s, d: _fact(s, d).groupBy("order_status", "is_dispatch_accepted").agg(F.count("*").alias("orders")),
+    "eta_error_by_variant": lambda s, d: _fact(s, d).groupBy("experiment_variant").agg(
+        F.count("eta_error_minutes").alias("measured"), _r(F.avg("eta_error_minutes"), 4).alias("avg_eta_error"), _r(F.avg("actual_delivery_minutes"), 4).alias("avg_delivery"), _r(ratio(F.count_if("is_dispatch_accepted"), F.count("*"))).alias("acceptance")
+    ),
+    "argmin_argmax": lambda s, d: _table(s, d, "lineitem").groupBy("l_suppkey").agg(
+        F.min_by("l_partkey", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")).alias("first_part"), F.max_by("l_partkey", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")).alias("last_part")
+    ),
+    "guarded_conditional_min": lambda s, d: _table(s, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("min_returned"), F.count_if(F.col("l_returnflag") == "R").alias("returned")),
+    "exact_distinct_if": lambda s, d: _table(s, d, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct(F.when(F.col("l_quantity") > 25, F.col("l_suppkey"))).alias("large_suppliers")),
+    "orphan_children": orphan_children,
+    "orders_without_children": lambda s, d: _table(s, d, "orders").join(_table(s, d, "lineitem").select("l_orderkey").distinct(), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey"),
+    "events_before_order": lambda s, d: orders.before_order(_fact(s, d)).select("order_id", "order_status"),
+    "delivered_without_accept": lambda s, d: orders.delivered_without_acceptance(_fact(s, d)).select("order_id"),
+    "population_stats": lambda s, d: abuse.population_stats(_sessions(s, d)).select(_r("center").alias("center"), _r("scale").alias("scale")),
+    "population_stats_by_date": lambda s, d: abuse.population_stats(_sessions(s, d), "event_date").select("event_date", _r("center").alias("center"), _r("scale").alias("scale")),
+    "abuse_scores": abuse_scores,
+    "abuse_reasons_count": lambda s, d: abuse.reason_counts(abuse.score_sessions(_sessions(s, d), threshold=0.2)),
+    "abuse_threshold_sweep": abuse_sweep,
+    "abuse_evaluation": abuse_evaluation,
+    "series_gaps": lambda s, d: series.gaps(_series(s, d), "user_id", "ts", "event_id", 86400, 300).select("user_id", _stamp("after").alias("after"), _stamp("before").alias("before"), "missing_minutes"),
+    "series_islands": lambda s, d: series_islands(s, d).select("user_id", "leg", _stamp("start").alias("start"), _stamp("end").alias("end"), "readings", _r("peak").alias("peak")),
+    "excursion_daily_summary": lambda s, d: series_islands(s, d).groupBy(F.to_date("start").alias("event_date"), "leg").agg(F.count("*").alias("excursions"), F.count_distinct("user_id").alias("shipments"), F.sum("readings").alias("total_readings"), _r(F.max("peak")).alias("max_peak")),
+    "contract_violations": lambda s, d: contracts.dead_letters(_checked(s, d), "n").select("n", F.col("reason_code").alias("code"), "field"),
+    "dlq_rows": dlq_rows,
+    "reject_tally": lambda s, d: contracts.dead_letters(_checked(s, d), "n").groupBy(F.col("reason_code").alias("code")).agg(F.count("*").alias("violations"), F.count_distinct("n").alias("records")),
+    "ingest_counters": lambda s, d: contracts.counters(_checked(s, d)).select("consumed", "accepted", "rejected"),
+    "dlq_order_id_extract": lambda s, d: _table(s, d, "events").select("event_id", json_string(F.concat(F.lit('{"order_id":'), F.when(F.col("event_id") % 3 == 0, F.lit('""')).when(F.col("event_id") % 3 == 1, F.concat(F.lit('"O-'), F.col("user_id"), F.lit('"'))).otherwise(F.lit("17")), F.lit("}")), "order_id").alias("order_id")),
+    "quality_gates": quality_gates,
+    "data_tests": data_tests,
+    "singular_tests": singular_tests,
+    "ingest_lag": ingest_lag,
+    "truth_set_operations": lambda s, d: _set_operations(s, d),
+}
+
+
+def _set_operations(spark, d):
+    a = _table(spark, d, "events").filter("event_type = 'purchase'").select("user_id")
+    b = _table(spark, d, "events").filter("event_type = 'error' AND value > 50").select("user_id")
+    parts = {"both": a.intersect(b), "only_a": a.exceptAll(b).distinct().join(b.distinct(), "user_id", "left_anti"), "either": a.union(b).distinct(), "all": a.unionAll(b)}
+    return quality.summary({k: ("set", v) for k, v in parts.items()}).select(F.col("test").alias("operation"), F.col("failures").alias("rows"))
+
+
+def _first_line(order: str) -> str:
+    return f"SELECT line_id, l_partkey, l_suppkey, l_quantity FROM (SELECT *, l_orderkey || '-' || l_linenumber AS line_id, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {order}) AS rn FROM lineitem) WHERE rn = 1"
+
+
+_STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
+_POPULAR = f"""{EV}, q AS (SELECT event_date, query, count(*) AS queries, count(DISTINCT session_id) AS sessions FROM ev WHERE event_type = 'SearchQuery' GROUP BY 1, 2),
+c AS (SELECT event_date, query, count(*) AS clicks FROM ev WHERE event_type = 'SearchResultClick' GROUP BY 1, 2),
+p AS (SELECT q.*, coalesce(clicks, 0) AS clicks, round(coalesce(clicks, 0)::DOUBLE / queries, 6) AS ctr FROM q LEFT JOIN c ON q.event_date = c.event_date AND q.query = c.query)"""
+_D = f"DATE '{DAY}'"
+
+ORACLE_SQL = {
+    "session_metrics": f"""WITH {SESS} SELECT session_id, event_date, queries, distinct_queries, clicks, round(click_rate, 6) AS click_rate, round(dratio, 6) AS distinct_query_ratio, round(avg_gap, 6) AS avg_gap_seconds,
+min_gap AS min_gap_seconds, round(sd_gap, 6) AS stddev_gap_seconds, round(avg_rank, 6) AS avg_click_rank, span AS span_seconds, round(qpm, 6) AS queries_per_minute, client,
+{_STAMP.format("first_at")} AS first_query_at, {_STAMP.format("last_at")} AS last_query_at FROM f""",
+    "day_events": f"WITH {EV} SELECT event_id, session_id, event_type, event_date FROM ev WHERE event_date = {_D}",
+    "session_started_on_date": f"WITH {EV} SELECT event_id, session_id, event_date FROM (SELECT *, min(event_date) OVER (PARTITION BY session_id) AS sd FROM ev) WHERE sd = {_D}",
+    "daily_metrics": f"""WITH {EV}, a AS (SELECT event_date, count(DISTINCT session_id) AS sessions, count(*) FILTER (event_type = 'SearchQuery') AS queries, count(*) FILTER (event_type = 'SearchResultClick') AS clicks,
+count(DISTINCT CASE WHEN event_type = 'SearchQuery' THEN query END) AS distinct_queries FROM ev GROUP BY 1) SELECT *, round(CASE WHEN queries > 0 THEN clicks::DOUBLE / queries END, 6) AS ctr FROM a""",
+    "query_popularity": f"WITH {_POPULAR} SELECT * FROM p",
+    "top_queries_per_day": f"WITH {_POPULAR} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_date ORDER BY queries DESC, query)::INT AS rank FROM p) WHERE rank <= 20",
+    "clicks_after_query": f"WITH {EV} SELECT event_id, session_id, query FROM ev c WHERE event_type = 'SearchResultClick' AND EXISTS (SELECT 1 FROM ev q WHERE q.event_type = 'SearchQuery' AND q.session_id = c.session_id AND q.query = c.query AND q.event_ts <= c.event_ts)",
+    "dedup_first_arrival": _first_line(_order_by(LINE_ORDER)),
+    "dedup_latest_version": _first_line(_order_by(f"{c} DESC" for c in LINE_ORDER)),
+    "dedup_savings": "SELECT count(*) AS rows, count(DISTINCT (l_orderkey, l_linenumber)) AS kept, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS dropped FROM lineitem",
+    "order_fact": f"""WITH {FACT} SELECT order_id, region_id, experiment_variant, dispatch_attempts, dispatch_rejections, accepted_dispatch_id, accepted_rider_id, eta_minutes, cancel_reason, rejected_event_count, rejected_dispatch_count, order_date,
+is_dispatch_accepted, order_status, {", ".join(f"{_STAMP.format(c)} AS {c}" for c in ("ordered_at", "first_dispatch_at", "accepted_at", "delivered_at", "cancelled_at"))},
+{", ".join(f"round({c}, 6) AS {c}" for c in ("minutes_to_first_dispatch", "actual_delivery_minutes", "eta_error_minutes"))} FROM fact""",
+    "order_status_counts": f"WITH {FACT} SELECT order_status, is_dispatch_accepted, count(*) AS orders FROM fact GROUP BY 1, 2",
+    "eta_error_by_variant": f"WITH {FACT} SELECT experiment_variant, count(eta_error_minutes) AS measured, round(avg(eta_error_minutes), 4) AS avg_eta_error, round(avg(actual_delivery_minutes), 4) AS avg_delivery, round(count(*) FILTER (is_dispatch_accepted)::DOUBLE / count(*), 6) AS acceptance FROM fact GROUP BY 1",
+    "argmin_argmax": "SELECT l_suppkey, arg_min(l_partkey, (l_shipdate, l_orderkey, l_linenumber, l_partkey)) AS first_part, arg_max(l_partkey, (l_shipdate, l_orderkey, l_linenumber, l_partkey)) AS last_part FROM lineitem GROUP BY 1",
+    "guarded_conditional_min": "SELECT l_orderkey, min(l_quantity) FILTER (l_returnflag = 'R') AS min_returned, count(*) FILTER (l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1",
+    "exact_distinct_if": "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT CASE WHEN l_quantity > 25 THEN l_suppkey END) AS large_suppliers FROM lineitem GROUP BY 1",
+    "orphan_children": "SELECT source, count(*) AS rows, count(DISTINCT k) AS keys FROM (SELECT 'lineitem' AS source, l_partkey AS k FROM lineitem UNION ALL SELECT 'orders', o_custkey FROM orders) WHERE k NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1",
+    "orders_without_children": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
+    "events_before_order": f"WITH {FACT} SELECT order_id, order_status FROM fact WHERE first_dispatch_at < ordered_at OR delivered_at < ordered_at OR cancelled_at < ordered_at",
+    "delivered_without_accept": f"WITH {FACT} SELECT order_id FROM fact WHERE order_status = 'delivered' AND NOT is_dispatch_accepted",
+    "population_stats": f"WITH {POP} SELECT round(center, 6) AS center, round(scale, 6) AS scale FROM pop",
+    "population_stats_by_date": f"""WITH {SESS}, rates AS (SELECT event_date, qpm FROM f WHERE queries >= 5 AND qpm IS NOT NULL), med AS (SELECT event_date, median(qpm) AS m, stddev_pop(qpm) AS sd, count(*) AS n FROM rates GROUP BY 1),
+mad AS (SELECT event_date, any_value(m) AS m, any_value(sd) AS sd, any_value(n) AS n, median(abs(qpm - m)) * 1.4826 AS mad FROM rates JOIN med USING (event_date) GROUP BY 1)
+SELECT event_date, round(CASE WHEN n >= 2 THEN m ELSE 0.0 END, 6) AS center, round(CASE WHEN n >= 2 THEN CASE WHEN mad > 0 THEN mad ELSE sd END ELSE 0.0 END, 6) AS scale FROM mad""",
+    "abuse_scores": f"WITH {SCORE} SELECT session_id, event_date, round(speed, 6) AS speed, round(regularity, 6) AS regularity, round(monotony, 6) AS monotony, round(disinterest, 6) AS disinterest, score, CAST(score >= 0.5 AS INT) AS is_abusive, 0.5::DOUBLE AS threshold FROM sc",
+    "abuse_reasons_count": f"""WITH {SCORE}, r AS (SELECT unnest(list_filter([CASE WHEN speed > 0.5 THEN 'speed' END, CASE WHEN regularity > 0.5 THEN 'regularity' END, CASE WHEN monotony > 0.5 THEN 'monotony' END, CASE WHEN disinterest > 0.5 THEN 'disinterest' END], lambda x: x IS NOT NULL)) AS reason FROM sc WHERE gate AND score >= 0.2)
+SELECT reason, count(*) AS sessions FROM r GROUP BY 1""",
+    "abuse_threshold_sweep": f"""WITH {SCORE}, th AS (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in abuse.SWEEP)}]) AS threshold), m AS (SELECT threshold, score >= threshold AS hit, CAST(session_id AS BIGINT) % 7 = 0 AS t FROM sc, th),
+cf AS (SELECT threshold, {_CONF} FROM m GROUP BY 1), h AS (SELECT {_PRF} FROM cf) SELECT threshold, tp, fp, fn, {_PR} FROM h""",
+    "abuse_evaluation": f"WITH {SCORE}, m AS (SELECT score >= 0.3 AS hit, CAST(session_id AS BIGINT) % 7 = 0 AS t FROM sc), cf AS (SELECT {_CONF} FROM m), h AS (SELECT {_PRF} FROM cf) SELECT tp, fp, fn, {_PR} FROM h",
+    "series_gaps": f"""SELECT user_id, {_STAMP.format("p")} AS after, {_STAMP.format("ts")} AS before, CAST(floor(({SEC.format("ts")} - {SEC.format("p")} - 300) / 60.0) AS BIGINT) AS missing_minutes
+FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE {SEC.format("ts")} - {SEC.format("p")} > 86400""",
+    "series_islands": f"WITH {ISLANDS} SELECT user_id, leg, {_STAMP.format('s')} AS start, {_STAMP.format('e')} AS \"end\", readings, round(peak, 6) AS peak FROM runs",
+    "excursion_daily_summary": f"WITH {ISLANDS} SELECT CAST(s AS DATE) AS event_date, leg, count(*) AS excursions, count(DISTINCT user_id) AS shipments, CAST(sum(readings) AS BIGINT) AS total_readings, round(max(peak), 6) AS max_peak FROM runs GROUP BY 1, 2",
+    "contract_violations": f"WITH {RAW} SELECT n, code, field FROM viol",
+    "dlq_rows": f"""WITH {RAW} SELECT v.n, CASE WHEN ok AND jt = 'OBJECT' THEN json_extract_string(raw, '$.event_id') END AS event_id, CASE WHEN ok AND jt = 'OBJECT' THEN json_extract_string(raw, '$.event_type') END AS event_type,
+code AS reason_code, field, md5(raw) AS raw_md5 FROM viol v JOIN kinds k ON v.n = k.n""",
+    "reject_tally": f"WITH {RAW} SELECT code, count(*) AS violations, count(DISTINCT n) AS records FROM viol GROUP BY 1",
+    "ingest_counters": f"WITH {RAW} SELECT (SELECT count(*) FROM raws) AS consumed, (SELECT count(*) FROM raws) - count(DISTINCT n) AS accepted, count(DISTINCT n) AS rejected FROM viol",
+    "dlq_order_id_extract": "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 'O-' || user_id END AS order_id FROM events",
+    "quality_gates": f"""WITH {SCORE.replace("FROM started WHERE", f"FROM started WHERE session_date = {_D} AND").replace("FROM ev WHERE event_type = 'SearchResultClick' GROUP BY session_id", f"FROM started WHERE session_date = {_D} AND event_type = 'SearchResultClick' GROUP BY session_id")},
+de AS (SELECT * FROM ev WHERE event_date = {_D}), tops AS (SELECT least(20, count(DISTINCT query)) AS n FROM de WHERE event_type = 'SearchQuery'),
+facts AS (SELECT (SELECT count(*) FROM sc) AS sessions, (SELECT count(DISTINCT event_date) FROM de) AS days, (SELECT n FROM tops) AS tops, (SELECT coalesce(avg(CAST(score >= 0.5 AS INT)), 0) FROM sc) AS share)
+SELECT 'sessions_present' AS check_name, CAST(sessions > 0 AS INT) AS passed, sessions::DOUBLE AS observed FROM facts UNION ALL SELECT 'session_rows_unique', 1, 0.0 FROM facts
+UNION ALL SELECT 'daily_row_single', CAST(days = 1 AS INT), days::DOUBLE FROM facts UNION ALL SELECT 'top_query_ranks_unique', 1, tops::DOUBLE FROM facts
+UNION ALL SELECT 'abuse_covers_sessions', 1, sessions::DOUBLE FROM facts UNION ALL SELECT 'flagged_ratio_bounded', CAST(share <= 0.2 AS INT), round_even(share, 4)::DOUBLE FROM facts""",
+    "data_tests": """SELECT 'order_key_unique' AS test, 'error' AS severity, (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS failures
+UNION ALL SELECT 'line_unique', 'warn', (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))
+UNION ALL SELECT 'event_value_not_null', 'error', (SELECT count(*) FROM events WHERE value IS NULL)
+UNION ALL SELECT 'status_accepted', 'error', (SELECT count(DISTINCT o_orderstatus) FROM orders WHERE o_orderstatus NOT IN ('F', 'O'))
+UNION ALL SELECT 'quantity_range', 'warn', (SELECT count(*) FROM lineitem WHERE l_quantity < 1 OR l_quantity > 45)
+UNION ALL SELECT 'discount_range_exclusive', 'warn', (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R' AND (l_discount <= 0 OR l_discount >= 0.1))""",
+    "singular_tests": f"""WITH {FACT} SELECT 'delivered_without_acceptance' AS test, 'warn' AS severity, (SELECT count(*) FROM fact WHERE order_status = 'delivered' AND NOT is_dispatch_accepted) AS failures
+UNION ALL SELECT 'step_before_order', 'error', (SELECT count(*) FROM fact WHERE first_dispatch_at < ordered_at OR delivered_at < ordered_at OR cancelled_at < ordered_at)
+UNION ALL SELECT 'orphans', 'warn', (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))""",
+    "ingest_lag": "SELECT o_orderpriority, min(g) AS min_lag, max(g) AS max_lag, count(*) FILTER (g < 0) AS early, count(*) AS rows FROM (SELECT o_orderpriority, (epoch_ms(l_shipdate) - epoch_ms(o_orderdate)) / 1000.0 AS g FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1",
+    "truth_set_operations": """WITH a AS (SELECT user_id FROM events WHERE event_type = 'purchase'), b AS (SELECT user_id FROM events WHERE event_type = 'error' AND value > 50)
+SELECT 'both' AS operation, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS rows UNION ALL SELECT 'only_a', (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b))
+UNION ALL SELECT 'either', (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) UNION ALL SELECT 'all', (SELECT count(*) FROM a) + (SELECT count(*) FROM b)""",
+}
