@@ -3,10 +3,10 @@
 Tokens: a tokenizer of words, so a text's ids are those of its blank-separated words one after the other; each distinct word of a
 slice is tokenised once. Documents longer than a sequence are cut into whole sequences and a rest.
 
-Plan: only the number of pieces of each length (at most ``capacity`` numbers) reaches the driver. Sequences of equal content are
-planned at once: from the longest length down, a piece opens sequences, and the gap is looked up among single lengths, sums of two
-and sums of three lengths that are still available; combinations that fill it exactly are used as often as the counts allow. What
-finds no exact complement is filled best-fit, again by lengths and counts. The plan's size depends on the capacity, not on the data.
+Plan: only the number of pieces of each length (at most ``capacity`` numbers) reaches the driver. From the longest length down, a
+piece opens a sequence, and the gap is looked up among single lengths, sums of two and sums of three lengths that are still
+available; a gap without an exact complement takes the longest piece that fits and is looked up again. Sequences of equal content are
+planned at once, as often as the counts allow. The plan's size depends on the capacity, not on the data.
 
 Placing: pieces of a length are numbered without a window over the whole length (a rank within (length, bucket), plus the counts of
 the buckets before), and the k-th piece of a length takes the k-th place that the plan has for it.
@@ -18,7 +18,7 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,84 +133,70 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
+def _exact(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
+    """One, two or three available lengths that sum to gap, larger ones first."""
+    if left[gap]:
+        return (gap,)
+    have = left[: gap + 1] > 0
+
+    def pair(total: int, most: int) -> tuple[int, int] | None:
+        """x >= y, x <= most, x + y = total."""
+        low = (total + 1) // 2
+        high = min(most, total - 1)
+        if high < low:
+            return None
+        both = have[low : high + 1] & have[total - high : total - low + 1][::-1]
+        if 2 * low == total and left[low] < 2:
+            both[0] = False
+        found = np.flatnonzero(both)
+        return (low + int(found[-1]), total - low - int(found[-1])) if len(found) else None
+
+    if two := pair(gap, gap - 1):
+        return two
+    for x in np.flatnonzero(have[: gap - 1])[::-1].tolist():
+        if 3 * x < gap:
+            break
+        if two := pair(gap - x, x):
+            need = max((x, *two).count(v) for v in two)
+            if need == 1 or all(left[v] >= (x, *two).count(v) for v in (x, *two)):
+                return x, *two
+    return None
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths that make up a sequence, number of such sequences) so that each length is used counts[length] times."""
-    left = {n: c for n, c in counts.items() if c > 0}
-    lengths = sorted(left)
-    out: list[tuple[tuple[int, ...], int]] = []
-
-    def use(combo: tuple[int, ...], most: int) -> int:
-        """How often combo can be taken, at most most times, and takes it."""
-        need: dict[int, int] = {}
-        for x in combo:
-            need[x] = need.get(x, 0) + 1
-        k = min(most, *(left.get(x, 0) // c for x, c in need.items()))
-        for x, c in need.items() if k > 0 else ():
-            left[x] -= k * c
-            if not left[x]:
-                del left[x]
-                lengths.pop(bisect_left(lengths, x))
-        return max(k, 0)
-
-    def exact(gap: int) -> Iterator[tuple[int, ...]]:
-        """Available singles, pairs and triples that sum to gap, larger parts first."""
-        if gap in left:
-            yield (gap,)
-        top = lengths[: bisect_left(lengths, gap)]
-        for x in reversed(top):
-            if 2 * x < gap:
-                break
-            if gap - x in left and x in left:
-                yield x, gap - x
-        for x in reversed(top):
-            if 3 * x < gap:
-                break
-            rest = gap - x
-            for y in reversed(lengths[: bisect_left(lengths, min(x, rest - 1) + 1)]):
-                if 2 * y < rest:
-                    break
-                if rest - y in left and y in left and x in left:
-                    yield x, y, rest - y
-
-    while lengths:
-        seed = lengths[-1]
-        number = use((seed,), left[seed])
-        gap = capacity - seed
-        while number and gap:
-            for combo in exact(gap):
-                k = use(combo, number)
-                if k:
-                    out.append(((seed, *combo), k))
-                    number -= k
-                    break
-            else:
-                break
-        if not number:
-            continue
-        if not gap:
-            out.append(((seed,), number))
-            continue
-        # best fit: the largest length that the gap takes, then what is left of it again
-        work = [((seed,), gap, number)]
-        while work:
-            held, gap, number = work.pop()
-            while number:
-                combo = next(exact(gap), None) if gap else ()
-                if combo:
-                    k = use(combo, number)
-                    if k:
-                        out.append(((*held, *combo), k))
-                        number -= k
-                        continue
-                i = bisect_left(lengths, gap + 1)
-                if not gap or not i:
-                    out.append((held, number))
+    """(lengths that make up a sequence, number of such sequences) so that each length is used counts[length] times.
+
+    One sequence is filled at a time, from the longest length down: by an exact complement of the gap, else by the longest length that
+    fits. What it holds is then repeated as often as the counts allow, so a length with very many pieces takes few steps.
+    """
+    left = np.zeros(capacity + 1, np.int64)
+    for x, c in counts.items():
+        left[x] = c
+    out = []
+    top = capacity
+    while True:
+        while top and not left[top]:
+            top -= 1
+        if not top:
+            return out
+        held, gap = [top], capacity - top
+        left[top] -= 1
+        while gap:
+            combo = _exact(left, gap)
+            if combo is None:
+                fits = np.flatnonzero(left[1 : gap + 1])
+                if not len(fits):
                     break
-                x = lengths[i - 1]
-                k = use((x,), number)
-                work.append(((*held, x), gap - x, k))
-                number -= k
-    return out
+                combo = (int(fits[-1]) + 1,)
+            for x in combo:
+                left[x] -= 1
+            held += combo
+            gap -= sum(combo)
+        need = Counter(held)
+        more = min(int(left[x]) // c for x, c in need.items())
+        for x, c in need.items():
+            left[x] -= more * c
+        out.append((tuple(held), more + 1))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
