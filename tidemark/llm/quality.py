@@ -88,7 +88,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.cuts[None, :], -30, 30)))
 
 
-def fit_arrays(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 300) -> Model:
+def fit_arrays(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 120) -> Model:
     """Proportional odds by Adam; the thresholds are a first one and positive steps, so they stay ordered."""
     n = len(grade)
     scale = x.std(0) + 1e-3
@@ -113,7 +113,7 @@ def fit_arrays(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 300)
         by_cut = by_cut[:, 1:grades].sum(0) / n
         tail = np.cumsum(by_cut[::-1])[::-1]
         grads = [z.T @ g + 1e-3 * w, np.concatenate([[tail[0]], tail[1:] * np.exp(cut[1:])]).astype(np.float32)]
-        for q, d, a1, a2, rate in zip((w, cut), grads, m1, m2, (0.03, 0.03), strict=True):
+        for q, d, a1, a2, rate in zip((w, cut), grads, m1, m2, (0.08, 0.08), strict=True):
             a1 += 0.1 * (d - a1)
             a2 += 0.01 * (d * d - a2)
             q -= rate * (a1 / (1 - 0.9**t)) / (np.sqrt(a2 / (1 - 0.99**t)) + 1e-7)
