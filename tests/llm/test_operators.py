@@ -1,0 +1,461 @@
+"""Each operator against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontam, exact_dedup, jaccard_join, line_dedup, packing, quality, suffix_dedup, toxicity, url_filter, warc
+from tidemark.llm.common import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, node long, id long, unit int"
+WORDS = ["the", "of", "Alpha", "beta,", "gamma", "delta.", "ünï", "zeta", "eta", "theta"]
+
+
+def make(rng, n):
+    return " ".join(rng.choice(WORDS) + (str(rng.randrange(60)) if rng.random() < 0.7 else "") for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    base = [make(rng, rng.randrange(3, 120)) for _ in range(30)]
+    texts = list(base)
+    for t in base[:12]:
+        w = t.split(" ")
+        w[len(w) // 2] = "changed"
+        texts += [t, t.replace(" ", "  \n"), " ".join(w)]
+    passage = make(rng, 60)
+    texts += [make(rng, 20) + "\n" + passage + "\n" + make(rng, 10) for _ in range(8)]
+    texts += ["", " \n\t ", None, "one", "one two", "ONE two", "x" * 5000, make(rng, 4000), "İstanbul ΑΣ", "a b c d e"]
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 0, "clash", 1, 2, 3) for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return frame(spark, rows).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+# exact dedup ---------------------------------------------------------------------------------------------------------------
+
+
+def wanted_exact(rows):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i))
+    return {i: (min(g)[1], len(g), i == min(g)[1], hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for _, i in g}
+
+
+@pytest.mark.parametrize("digest_chars", [64, 1])
+def test_exact_dedup(rows, docs, digest_chars):
+    got = {i: (r.keep_id, r.group_size, r.kept, r.text_sha256) for i, r in by_id(exact_dedup.exact_dedup(docs, digest_chars)).items()}
+    assert got == wanted_exact(rows)
+
+
+def test_exact_dedup_stage_keeps_columns(rows, docs, none):
+    kept = exact_dedup.keep_documents(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, w in wanted_exact(rows).items() if w[2]}
+    assert exact_dedup.exact_dedup(none).count() == 0
+
+
+def test_exact_dedup_repeated_rows_and_null_id(spark):
+    df = frame(spark, [(1, "a"), (1, "a"), (None, "a"), (0, "a")])
+    got = sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df).collect())
+    assert got == [("0", 0, 4, True), ("1", 0, 4, False), ("1", 0, 4, False), ("None", 0, 4, False)]
+
+
+# line dedup ----------------------------------------------------------------------------------------------------------------
+
+
+def test_line_dedup(rows, docs, none):
+    seen, want = {}, set()
+    for i, t in rows:
+        at = 0
+        for u, line in enumerate((t or "").split("\n")):
+            norm = re.sub(r"[\x20\x09-\x0D]+", " ", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)).strip(" ")
+            if norm and norm.count(" ") + 1 >= 5:
+                if norm in seen:
+                    want.add((i, u, at, len(line), *seen[norm]))
+                seen.setdefault(norm, (i, u))
+            at += len(line) + 1
+    assert {tuple(r) for r in line_dedup.repeats(docs).collect()} == want and want
+    assert line_dedup.repeats(none).count() == 0
+    cut = by_id(line_dedup.without_repeats(docs))
+    gone = defaultdict(set)
+    for i, u, *_ in want:
+        gone[i].add(u)
+    for i, t in rows:
+        left = t if i not in gone else "\n".join(x for u, x in enumerate(t.split("\n")) if u not in gone[i])
+        assert cut[i].text == left and (i not in gone or len(cut[i].removed) == len(gone[i]))
+
+
+# suffix dedup --------------------------------------------------------------------------------------------------------------
+
+
+def wanted_suffix(rows):
+    first, out = {}, {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        x = (t or "").encode()
+        cover = np.zeros(len(x), bool)
+        for p in range(len(x) - 49):
+            s = x[p : p + 50]
+            if first.setdefault(s, i) < i:
+                cover[p : p + 50] = True
+        kept = bytes(np.frombuffer(x, np.uint8)[~cover])
+        out[i] = (len(x), int(cover.sum()), int(cover[:1].sum() + (cover[1:] & ~cover[:-1]).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_suffix_dedup(rows, docs, none):
+    got = {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in by_id(suffix_dedup.remove_repeats(docs)).items()}
+    assert got == wanted_suffix(rows)
+    assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_suffix_dedup_periodic_and_edges(spark):
+    block = "abcdefghij" * 30
+    rng = random.Random(2)
+    body = "".join(rng.choice("abcd") for _ in range(400))
+    rows = [(0, body), (1, body[:50]), (2, body[:49]), (3, "q" + body[100:151] + "q"), (4, block), (5, block + "z"), (6, "z" + block[3:]), (7, body[20:120] + body[200:260]), (8, "é" * 60), (9, "aé" + "é" * 60)]
+    for shuffled in (rows, rows[::-1]):
+        got = {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in by_id(suffix_dedup.remove_repeats(frame(spark, shuffled).repartition(3))).items()}
+        assert got == wanted_suffix(rows)
+
+
+def test_suffix_anchors_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 101, 6000).astype(np.uint8)
+    offsets = np.array([0, 700, 700, 740, 4000, 6000])
+    whole = suffix_dedup.anchors(data, offsets)
+    monkeypatch.setattr(suffix_dedup, "_BLOCK", 257)
+    cut = suffix_dedup.anchors(data, offsets)
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+
+
+# Jaccard join --------------------------------------------------------------------------------------------------------------
+
+
+def shingles(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def wanted_components(rows):
+    sets = [(i, shingles(t)) for i, t in rows]
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in sets}
+
+
+def test_jaccard_components(rows, docs, none):
+    got = {i: (r.n_shingles, r.component_id) for i, r in by_id(jaccard_join.jaccard_components(docs)).items()}
+    assert got == wanted_components(rows)
+    assert jaccard_join.jaccard_components(none).count() == 0
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {v[1] for v in wanted_components(rows).values()}
+
+
+def test_jaccard_second_round_finds_links_that_the_chain_misses(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for g in range(6):  # families at similarities around the threshold, all sharing a common start
+        start = [f"w{g}x{k}" for k in range(30)]
+        for m in range(14):
+            cut = rng.randrange(0, 9)
+            rows.append((len(rows), " ".join(start[: 30 - cut] + [f"t{len(rows)}y{k}" for k in range(rng.randrange(0, 6))])))
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    got = {i: (r.n_shingles, r.component_id) for i, r in by_id(jaccard_join.jaccard_components(frame(spark, rows))).items()}
+    assert got == wanted_components(rows)
+
+
+def test_rtree_join_loses_nothing():
+    rng = np.random.default_rng(3)
+    base = rng.poisson(2, (20, jaccard_join.GROUPS))
+    points = np.concatenate([np.maximum(0, base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < 0.05)) for _ in range(12)])
+    n, comp = points.sum(1), rng.integers(0, 40, len(points))
+    x, y = jaccard_join.RTree(points, n, comp).join()
+    got = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    want = {(i, j) for i in range(len(n)) for j in range(i + 1, len(n)) if comp[i] != comp[j] and np.minimum(points[i], points[j]).sum() >= jaccard_join.need(n[i], n[j])}
+    assert got == want and len(want) > 50
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(0, 60)] + [(100, 105), (105, 101), (200, 200)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 105: 100}
+
+
+# packing -------------------------------------------------------------------------------------------------------------------
+
+
+def test_packing(rows, docs, none):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    want = {}
+    for i, x in rows:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
+        for k, s in enumerate(range(0, len(ids), 4096)):
+            part = ids[s : s + 4096]
+            want[i, k] = (s, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+    got = packing.pack(docs).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    assert_packed(got, 4096)
+    assert len({r.sequence_id for r in got}) == -(-sum(v[1] for v in want.values()) // 4096)
+    assert packing.pack(none).count() == 0
+
+
+def assert_packed(rows, capacity):
+    at = defaultdict(list)
+    for r in rows:
+        at[r.sequence_id].append((r.offset, r.length))
+    for parts in at.values():
+        end = 0
+        for o, n in sorted(parts):
+            assert o == end
+            end += n
+        assert end <= capacity
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_uses_each_piece_once(seed):
+    rng = random.Random(seed)
+    counts = Counter(rng.choice([rng.randrange(1, 101), 100, 50, 34, 33]) for _ in range(rng.randrange(1, 600)))
+    plan = packing.plan(dict(counts), 100)
+    used = Counter()
+    for lengths, k in plan:
+        assert sum(lengths) <= 100 and k > 0
+        for x in lengths:
+            used[x] += k
+    assert used == counts
+    assert sum(k for _, k in plan) <= 1.1 * -(-sum(x * c for x, c in counts.items()) // 100) + 2 + counts[100] + sum(c for x, c in counts.items() if x > 50)
+
+
+def test_words_encode_like_texts():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["it's A.B ü.x <|endoftext|> foo", "", "x²! É́. don't've 12a.3 l'é", "<|ENDOFTEXT|>  a b \x1cq  \n ", "ΑΣ. ΣΑΣ, İi ǅ. a̸≠", None]
+    offsets, ids = packing.WordTokens(packing.default_tokenizer()).encode(pa.array(texts))
+    for k, x in enumerate(texts):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 1]
+
+
+# decontamination -----------------------------------------------------------------------------------------------------------
+
+
+def edit_region(text, item):
+    """Least edit distance of item to any region of text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination(spark, none):
+    rng = random.Random(4)
+    items = [make(rng, n) for n in (12, 25, 40, 40)]
+
+    def edited(t, k):
+        t = list(t)
+        for _ in range(k):
+            p = rng.randrange(3, len(t) - 3)
+            match rng.randrange(3):
+                case 0:
+                    t[p] = "#"
+                case 1:
+                    del t[p]
+                case _:
+                    t.insert(p, "~")
+        return "".join(t)
+
+    rows = [(i, make(rng, 80)) for i in range(12)]
+    for it in items:
+        b = decontam.budget(len(decontam.normal(it)))
+        for k in (0, 1, b, b + 1, 3 * b + 3):
+            rows.append((len(rows), make(rng, 30) + " " + edited(it, k) + "\n" + make(rng, 30)))
+    rows += [(900, items[1]), (901, items[1].upper()), (902, "x " + items[2] + " mid " + items[3]), (903, ""), (904, None), (905, items[0][: len(items[0]) // 2])]
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)] + [(90, None), (91, "short")], "item_id long, text string")
+    df = frame(spark, rows)
+    got = {(r.doc_id, r.item_id): r for r in decontam.leaks(df, bench).collect()}
+    want = {}
+    for i, t in rows:
+        for k, it in enumerate(items):
+            a, b = decontam.normal(t).decode("latin1"), decontam.normal(it).decode("latin1")
+            d = edit_region(a, b)
+            if d <= decontam.budget(len(b)):
+                want[i, k] = d
+    assert {k: r.edits for k, r in got.items()} == want and len(want) >= 16
+    clean = decontam.clean_documents(df, bench)
+    assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {i for i, _ in want}
+    assert decontam.leaks(none, bench).count() == 0 and decontam.leaks(df, bench.limit(0)).count() == 0
+
+
+def test_benchmark_in_chunks(spark):
+    rng = random.Random(8)
+    bench = spark.createDataFrame([(k, make(rng, 30)) for k in range(9)], "item_id long, text string")
+    parts = decontam.chunks(bench, 500)
+    assert len(parts) > 2 and sorted(i for p in parts for i, _ in p) == list(range(9))
+
+
+# WARC ----------------------------------------------------------------------------------------------------------------------
+
+PAGES = "page_id long, url string, html string, refers_to long, archive string"
+
+
+def pages(spark):
+    rows = [(5, "http://a/ b", "<p>x</p>"), (2, None, "<p>x</p>"), (9, "http://c", None), (1, "http://d", ""), (7, "http://e", "é" * 3000), (8, "http://f", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"), (4, "http://e", "é" * 3000)]
+    return rows, spark.createDataFrame([(*r, 1, "z") for r in rows], PAGES).repartition(2)
+
+
+@pytest.mark.parametrize("least", [0, 100])
+def test_warc_round_trip(spark, least):
+    rows, df = pages(spark)
+    want = {}
+    for i, _, html in rows:
+        raw = (html or "").encode()
+        same = [j for j, _, h in rows if (h or "").encode() == raw]
+        first = min(same)
+        again = len(raw) >= least and i != first
+        want[i] = (len(raw), warc.digest(raw), "revisit" if again else "response", first if again else None)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(df, least).collect()}
+    assert got == want
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_salvage(packed):
+    rng = random.Random(3)
+    payloads = [bytes(rng.randrange(256) for _ in range(rng.randrange(0, 3000))) for _ in range(12)]
+    parts = [warc.record(i, f"http://x/{i}", p) for i, p in enumerate(payloads)]
+    parts = [warc.member(p) for p in parts] if packed else parts
+    starts = np.cumsum([0, *map(len, parts)]).tolist()
+    whole = b"".join(parts)
+    assert [f["warc-record-id"] for _, _, f, _, _ in warc.salvage(whole)] == [f"<urn:page:{i}>" for i in range(12)]
+    bad = bytearray(whole)
+    for k in (3, 7):  # bytes of these records are overwritten
+        at = starts[k] + (len(parts[k]) * 2 // 3)
+        bad[at : at + 4] = bytes(255 - x for x in bad[at : at + 4])
+    bad = bytes(bad[: starts[9]]) + b"junk" * 10 + bytes(bad[starts[9] : starts[11] + 20])  # garbage between, the last is cut off
+    got = list(warc.salvage(bad))
+    ids = [int(re.findall(r"\d+", f["warc-record-id"])[0]) for _, _, f, _, _ in got if f]
+    assert ids == [0, 1, 2, 4, 5, 6, 8, 9, 10]
+    gaps = [(a, n) for a, n, f, _, _ in got if f is None]
+    assert [a for a, _ in gaps] == [starts[3], starts[7], starts[9], starts[11] + 40]
+    assert gaps[0][1] == len(parts[3]) and gaps[2][1] == 40
+    assert all(f is None or c == payloads[int(re.findall(r"\d+", f["warc-record-id"])[0])] for _, _, f, c, _ in got)
+    assert list(warc.salvage(b"")) == []
+
+
+# URL filter ----------------------------------------------------------------------------------------------------------------
+
+
+def test_url_filter(spark):
+    cases = {
+        "http://a.COM/en/1?x": ("a.com", "/en/1", "com/en/", "block"), "https://example.com/en/7#t": ("example.com", "/en/7", "example.com/en/7", "allow"), "https://my.example.com/en/71": ("my.example.com", "/en/71", "example.com/en/7", "allow"),
+        "https://notexample.com/en/7": ("notexample.com", "/en/7", "com/en/", "block"), "http://a.net/de/8": ("a.net", "/de/8", "net/de/", "allow"), "http://casino.net/de/": ("casino.net", "/de/", "net/de/", "allow"), "http://x.example.net/de/8": ("x.example.net", "/de/8", "example.net/de/8", "block"),
+        "http://a.org/es": ("a.org", "/es", None, "allow"), None: ("", "", None, "allow"), "no scheme/casino": ("", "", None, "allow"), "http://best-casino.org/": ("best-casino.org", "/", None, "block"), "http://casinos.org/": ("casinos.org", "/", None, "allow"),
+        "http://cheap.org/pills": ("cheap.org", "/pills", None, "block"), "http://cheap.org/cheap": ("cheap.org", "/cheap", None, "allow"), "http://ok.org/a?casino#casino": ("ok.org", "/a", None, "allow"), "://": ("", "", None, "allow"), "http://com/en/": ("com", "/en/", "com/en/", "block"),
+    }
+    df = spark.createDataFrame([(i, u, "h", "clash") for i, u in enumerate(cases)], "page_id long, url string, html string, verdict string")
+    got = {list(cases)[r.page_id]: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()}
+    assert got == cases
+    assert url_filter.judge_urls(df.limit(0)).count() == 0
+
+
+# classifiers ---------------------------------------------------------------------------------------------------------------
+
+
+def labelled_docs(spark, n=900):
+    """Toxic: an insult beside a group, or the insult alone rarely; neither word alone decides. Low quality: shouting."""
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(n):
+        t = make(rng, 40).split(" ")
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        t += ["dullard"] * insult + ["northerners"] * group
+        rng.shuffle(t)
+        low = rng.random() < 0.3
+        text = " ".join(w.upper() + "!!" if low else w for w in t)
+        rows.append((i, text))
+        labels.append((i, 0 if low else 1, int(insult and group)))
+    rows += [(n, None), (n + 1, ""), (n + 2, "x " * 30000)]
+    labels += [(n + 9, 1, 1), (n, None, None), (None, 1, 1)]
+    return frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_learns_pairs(spark, none):
+    df, labels = labelled_docs(spark)
+    got = by_id(toxicity.toxicity(df, labels))
+    truth = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    held = [i for i, r in got.items() if r.held_out and i in truth]
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got) and len(held) > 150
+    assert np.mean([got[i].predicted == truth[i] for i in held]) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values()) and got[900].score == got[901].score
+    kept = toxicity.clean_documents(df, labels)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
+    assert toxicity.toxicity(none, labels).count() == 0 and all(not r.predicted for r in toxicity.toxicity(df, labels.limit(0)).collect())
+
+
+def test_toxicity_is_not_learned_from_held_out_rows(spark):
+    df, labels = labelled_docs(spark, 300)
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = by_id(toxicity.toxicity(df, labels)), by_id(toxicity.toxicity(df, turned))
+    assert all(a[i].score == b[i].score for i in a)
+
+
+def test_quality(spark, none):
+    df, labels = labelled_docs(spark)
+    got = by_id(quality.quality(df, labels))
+    truth = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    held = [i for i, r in got.items() if r.held_out and i in truth]
+    assert np.mean([got[i].kept == truth[i] for i in held]) > 0.95
+    assert all(0 <= r.expected_grade <= 2 for r in got.values())
+    assert quality.quality(none, labels).count() == 0
+    unfitted = quality.quality(df, labels.limit(0)).collect()
+    assert len(unfitted) == len(got) and len({r.expected_grade for r in unfitted}) == 1 and all(0 <= r.tail_probability <= 1 for r in unfitted)
+
+
+def test_ordinal_thresholds_are_ordered_and_recovered():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, 4)).astype(np.float32)
+    eta = x @ np.array([6.0, -6.0, 0, 0])
+    u = rng.logistic(size=3000)
+    grade = (eta + u > -2).astype(int) + (eta + u > 0) + (eta + u > 3)
+    model = quality.fit_arrays(x, grade, 4, steps=800)
+    assert (np.diff(model.cuts) > 0).all() and np.allclose(np.diff(model.cuts), [2, 3], atol=0.5)
+    assert model.weights[0] > 3 and model.weights[1] < -3 and abs(model.weights[2]) < 1
+    tails = model.tails(x.astype(float) @ model.weights)
+    assert (np.diff(tails, axis=1) <= 0).all()

@@ -91,7 +91,7 @@ class Model:
 def fit_arrays(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 120) -> Model:
     """Proportional odds by Adam; the thresholds are a first one and positive steps, so they stay ordered."""
     n = len(grade)
-    scale = x.std(0) + 1e-3
+    scale = x.std(0) + 1e-3 if n else np.ones(x.shape[1], np.float32)
     z = x / scale
     share = np.array([np.clip((grade >= j).mean() if n else 0.5, 0.01, 0.99) for j in range(1, grades)])
     start = np.maximum.accumulate(np.log(1 / share - 1))
