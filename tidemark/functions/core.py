@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Date, T or blank, hours and minutes, optional seconds and fraction, then a zone. Anchored with \z, as $ also matches before a newline.
+FULL = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})\z"
 ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})\z"
 
 
@@ -18,7 +19,8 @@ def event_time(text: Column | str) -> Column:
     c = _column(text)
     with_seconds = F.regexp_replace(c, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2")
     with_colon = F.regexp_replace(with_seconds, r"([+-]\d{2})(\d{2})\z", "$1:$2")
-    return F.when(c.rlike(ISO), F.try_to_timestamp(with_colon))
+    # the usual form needs one match and no rewriting
+    return F.when(c.rlike(FULL), c.try_cast("timestamp")).when(c.rlike(ISO), with_colon.try_cast("timestamp"))
 
 
 def iso_utc(ts: Column | str) -> Column:
