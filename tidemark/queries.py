@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.core import json_string, lag_seconds, ratio
 from tidemark.operators import abuse, contracts, dedup, orders, quality, search, series
+from tidemark.plans import daily
+from tidemark.session import scratch_dir
+from tidemark.sinks import marts
+from tidemark.streaming import ingest
 
 DAY = "2024-01-01"
 
@@ -280,6 +284,35 @@ def ingest_lag(spark, d):
     return j.groupBy("o_orderpriority").agg(F.min("lag").alias("min_lag"), F.max("lag").alias("max_lag"), F.count_if(F.col("lag") < 0).alias("early"), F.count("*").alias("rows"))
 
 
+def stream_ingest(spark, d):
+    """The contract records as files through the streaming ingest; its dead letters by reason."""
+    root = scratch_dir(spark, "ingest")
+    _table(spark, d, "events").select(F.expr(_raw_sql(True)).alias("value")).write.text(f"{root}/in")
+    ingest.ingest(ingest.file_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return ingest.raw_table(spark, f"{root}/out", ingest.DLQ).groupBy("reason_code", "field").agg(F.count("*").alias("rows"))
+
+
+def stream_dedup(spark, d):
+    """Events sent twice through the streaming dedup; what comes out by type."""
+    root = scratch_dir(spark, "dedup")
+    e = _table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("event_ts"))
+    e.unionAll(e).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(e.schema).parquet(f"{root}/in")
+    out = ingest.deduplicated(stream, delay="60 days").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.schema(e.schema).parquet(f"{root}/out").groupBy("event_type").agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"))
+
+
+def day_run_twice(spark, d):
+    """A day's batch run two times; the marts' rows by name afterwards."""
+    root = scratch_dir(spark, "marts")
+    events = search_events(spark, d)
+    for _ in range(2):
+        daily.run_day(events, root, DAY)
+    names = (marts.SEARCH_SESSION, marts.SEARCH_DAILY, marts.TOP_QUERY, marts.SESSION_ABUSE, marts.QUALITY_REPORT)
+    return quality.summary({m.name: ("mart", marts.read(spark, m, root, DAY)) for m in names}).select(F.col("test").alias("mart"), F.col("failures").alias("rows"))
+
+
 def _order_by(cols):
     return ", ".join(cols)
 
@@ -328,6 +361,9 @@ QUERIES = {
     "singular_tests": singular_tests,
     "ingest_lag": ingest_lag,
     "truth_set_operations": lambda s, d: _set_operations(s, d),
+    "stream_ingest": stream_ingest,
+    "stream_dedup": stream_dedup,
+    "day_run_twice": day_run_twice,
 }
 
 
@@ -413,4 +449,10 @@ UNION ALL SELECT 'orphans', 'warn', (SELECT count(*) FROM customer WHERE c_custk
     "truth_set_operations": """WITH a AS (SELECT user_id FROM events WHERE event_type = 'purchase'), b AS (SELECT user_id FROM events WHERE event_type = 'error' AND value > 50)
 SELECT 'both' AS operation, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS rows UNION ALL SELECT 'only_a', (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b))
 UNION ALL SELECT 'either', (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) UNION ALL SELECT 'all', (SELECT count(*) FROM a) + (SELECT count(*) FROM b)""",
+    "stream_ingest": f"WITH {RAW} SELECT code AS reason_code, field, count(*) AS rows FROM viol GROUP BY 1, 2",
+    "stream_dedup": "SELECT event_type, count(DISTINCT event_id) AS events, count(DISTINCT event_id) AS ids FROM events GROUP BY 1",
+    "day_run_twice": f"""WITH {EV}, s AS (SELECT session_id FROM ev GROUP BY 1 HAVING min(event_date) = {_D} AND count(*) FILTER (event_type = 'SearchQuery') > 0),
+t AS (SELECT least(20, count(DISTINCT query)) AS n FROM ev WHERE event_date = {_D} AND event_type = 'SearchQuery')
+SELECT 'mart_search_session' AS mart, (SELECT count(*) FROM s) AS rows UNION ALL SELECT 'mart_search_daily', 1 UNION ALL SELECT 'mart_search_top_query', (SELECT n FROM t)
+UNION ALL SELECT 'mart_session_abuse', (SELECT count(*) FROM s) UNION ALL SELECT 'mart_quality_report', 6""",
 }

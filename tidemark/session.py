@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -24,3 +27,9 @@ def session(name: str = "tidemark", master: str | None = None) -> SparkSession:
     if master:
         b = b.master(master)
     return configure(b.getOrCreate())
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the cluster's shared folder (``spark.checkpoint.dir``); a local one only where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidemark"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
