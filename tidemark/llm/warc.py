@@ -104,37 +104,32 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int] | None:
     return fields, content, end + 4
 
 
-def _member_at(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int] | None:
-    """The records of the valid gzip member at a place, and its length."""
-    z = zlib.decompressobj(31)
+def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """What the gzip member at a place holds and where it ends, or None. It is fed in steps, so that what follows isn't copied."""
+    z, out, step = zlib.decompressobj(31), [], 1 << 16
     try:
-        raw = z.decompress(data[at:] if at else data) if len(data) - at < 1 << 16 else _inflate(z, data, at)
+        while at < len(data) and not z.eof:
+            out.append(z.decompress(data[at : at + step]))
+            at += step
     except zlib.error:
         return None
-    if not z.eof:
+    return (b"".join(out), min(at, len(data)) - len(z.unused_data)) if z.eof else None
+
+
+def _member_at(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int] | None:
+    """The records of the valid gzip member at a place, and its length."""
+    got = _inflate(data, at)
+    if not got:
         return None
+    raw, end = got
     records, used = [], 0
     while used < len(raw):
-        got = parse_record(raw[used:] if used else raw)
-        if not got:
+        one = parse_record(raw[used:] if used else raw)
+        if not one:
             return None
-        records.append(got[:2])
-        used += got[2]
-    return (records, len(data) - at - len(z.unused_data) - _inflate.rest) if records else None
-
-
-def _inflate(z, data: bytes, at: int) -> bytes:
-    """Inflate one member without handing over all that follows it."""
-    out, step = [], 1 << 16
-    _inflate.rest = 0
-    while at < len(data) and not z.eof:
-        out.append(z.decompress(data[at : at + step]))
-        at += step
-    _inflate.rest = max(0, len(data) - at)
-    return b"".join(out)
-
-
-_inflate.rest = 0
+        records.append(one[:2])
+        used += one[2]
+    return (records, end - at) if records else None
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
@@ -149,10 +144,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
     while at < n:
         got = None
         if data.startswith(_MAGIC, at):
-            _inflate.rest = 0
-            found = _member_at(data, at)
-            if found:
-                got = found
+            got = _member_at(data, at)
         elif data.startswith(b"WARC/1.", at):
             one = parse_record(data[at:])
             if one:
