@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,35 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete what store() wrote, once nothing reads it any more, and let the shuffle files of finished steps go."""
+    spark = stored[0].sparkSession
+    for df in stored:
+        drop_path(spark, df._stored)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished steps go now rather than at the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "16m"):
+    """Arrow batches of at most so many bytes for what runs inside: rows with packed arrays are long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -30,10 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, partitions, shingle_sets, slices, store
+from .common import components, discard, partitions, release, shingle_sets, slices, small_batches, store
 
-#: Coordinates of a point.
+#: Coordinates of a point, at least; larger sets have twice as many until a coordinate counts SHARE shingles or fewer on average.
 GROUPS = 64
+SHARE = 4
 #: Holders of one shingle that one task joins.
 BLOCK = 4_096
 #: Words of the table of wanted documents (64 bits each): a fixed size, beyond which it only lets more documents pass.
@@ -52,12 +53,34 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
+def _short(s: np.ndarray) -> bytes:
+    """A set for verification: 40 bits of each shingle's hash, in order."""
+    return (s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _long(items: bytes) -> np.ndarray:
+    out = np.zeros((len(items) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(items, np.uint8).reshape(-1, 5)
+    return out.view("<u8")[:, 0]
+
+
 def node_of(s: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).astype(np.int64))
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+def grade(n):
+    """Doublings of GROUPS for a set of n shingles."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / (GROUPS * SHARE)))).astype(np.int64)
+
+
+def point(s: np.ndarray) -> bytes:
+    """Counts by the top bits of the shingles' hashes; adding neighbours gives the point at half the coordinates."""
+    bits = 6 + int(grade(len(s)))
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2").tobytes()
+
+
+def coarse(p: np.ndarray, groups: int) -> np.ndarray:
+    return p.reshape(groups, -1).sum(1, dtype=np.int64)
 
 
 def profile(docs: DataFrame) -> DataFrame:
@@ -78,11 +101,11 @@ def profile(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(batch.column("text"))
             nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
             n = pa.array([len(s) for s in sets], pa.int64())
-            points = pa.array([point(s).astype("<u4").tobytes() if len(s) else None for s in sets], pa.binary())
+            points = pa.array([point(s) if len(s) else None for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column("doc_id"), nodes, n, points], names)
             held += sets
             size += sum(map(len, sets))
-            if size > 4 << 20:
+            if size > 2 << 20:
                 yield frequent()
                 held, size = [], 0
         yield frequent()
@@ -133,7 +156,7 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets:
                         continue
                 held.append((s[:first].copy(), node, len(s)))
                 size += first
-            if size > 2 << 20:
+            if size > 1 << 19:
                 yield flush()
                 held, size, seen = [], 0, set() if len(seen) > 1_000_000 else seen
         if held:
@@ -183,9 +206,12 @@ def _bound(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                p = [np.frombuffer(b"".join(v.as_py() for v in x.column(f"p_{c}")), "<u4").reshape(-1, GROUPS) for c in "ab"]
                 least = need(x.column("n_a").to_numpy(), x.column("n_b").to_numpy())
-                m = np.minimum(*p).sum(1, dtype=np.int64) >= least
+                m = np.zeros(x.num_rows, bool)
+                for i, (p, q) in enumerate(zip(x.column("p_a"), x.column("p_b"), strict=True)):
+                    p, q = np.frombuffer(p.as_py(), "<u2"), np.frombuffer(q.as_py(), "<u2")
+                    g = min(len(p), len(q))
+                    m[i] = np.minimum(coarse(p, g), coarse(q, g)).sum() >= least[i]
                 yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], ["a", "b"]).filter(pa.array(m))
 
     return pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(run, "a long, b long")
@@ -210,7 +236,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array(m.astype(bool)))
             if batch.num_rows:
                 sets = [s for s in shingle_sets(batch.column("text")) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([_short(s) for s in sets], pa.binary())], ["node", "items"])
 
     found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "node long, items binary")
     return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
@@ -224,8 +250,8 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for x in batches:
             keep = []
             for p, q in zip(x.column("s_a"), x.column("s_b"), strict=True):
-                a, b = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
-                same = len(a) + len(b) - len(np.union1d(a, b))
+                a, b = _long(p.as_py()), _long(q.as_py())
+                same = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * same >= 80 * (len(a) + len(b) - same))
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -293,14 +319,31 @@ class RTree:
 
 
 def _tree_join(table: pa.Table) -> pa.Table:
-    node, comp = table["a"].to_numpy(), table["comp"].to_numpy()
-    points = np.frombuffer(b"".join(v.as_py() for v in table["point"]), "<u4").reshape(-1, GROUPS).astype(np.int64)
-    x, y = RTree(points, table["n"].to_numpy(), comp).join()
-    return pa.table({"a": pa.array(np.minimum(node[x], node[y])), "b": pa.array(np.maximum(node[x], node[y]))})
+    """Pairs that the R-trees let through: one tree for each number of coordinates, of the sets that have so many or twice as many
+    (linked sets differ by less); a pair counts where the smaller number is the tree's."""
+    node, comp, n = table["a"].to_numpy(), table["comp"].to_numpy(), table["n"].to_numpy()
+    points = [np.frombuffer(v.as_py(), "<u2") for v in table["point"]]
+    grades = grade(n)
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for g in np.unique(grades).tolist():
+        own = np.flatnonzero((grades == g) | (grades == g + 1))
+        if len(own) < 2:
+            continue
+        x, y = RTree(np.stack([coarse(points[i], GROUPS << g) for i in own.tolist()]), n[own], comp[own]).join()
+        x, y = own[x], own[y]
+        m = np.minimum(grades[x], grades[y]) == g
+        out_a.append(np.minimum(node[x], node[y])[m])
+        out_b.append(np.maximum(node[x], node[y])[m])
+    return pa.table({"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))})
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(profile of the documents, nodes, components of nodes that have a link)."""
+    with small_batches(docs.sparkSession):
+        return _links(docs)
+
+
+def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = docs.sparkSession
     facts = store(profile(docs), "profile")
     top = facts.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).toArrow()
@@ -311,9 +354,18 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes = store(own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point")), "nodes")
     buckets = max(1, partitions(spark))
     meet = store(prefixes(docs, frequent, buckets).groupBy("bucket").applyInArrow(_meet, MEET), "meet")
+    release(spark)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        sets = store(_sets(docs, nodes, pairs), "sets")
+        release(spark)
+        out = store(_verify(pairs, sets), "links")
+        discard(sets)
+        return out
+
     pairs = meet.filter("kind = 0").select("a", "b").distinct()
     near = store(_bound(pairs, nodes), "near")
-    sure = store(_verify(near, store(_sets(docs, nodes, near), "sets")), "links")
+    sure = linked(near)
     first = store(components(sure), "components")
     # shingles whose holders are in several components
     holders = meet.filter("kind = 1").select("key", "a", "n").distinct().join(first.select(F.col("node").alias("a"), F.col("component").alias("comp")), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
@@ -325,8 +377,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     more = store(more, "more")
     if more.isEmpty():
         return own, nodes, first
-    late = store(_verify(more, store(_sets(docs, nodes, more), "sets")), "links")
-    return own, nodes, store(components(sure.union(late)), "components")
+    return own, nodes, store(components(sure.union(linked(more))), "components")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
