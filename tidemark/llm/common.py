@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,13 @@ def small_batches(spark: SparkSession, size: str = "16m"):
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
+def trim() -> None:
+    """Give freed memory of a Python worker back; allocators otherwise keep a task's peak for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

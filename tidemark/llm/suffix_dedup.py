@@ -20,17 +20,16 @@ repeat a doc_id are one document and must repeat its text; an empty table gives
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, slices, store
+from .common import mix64, partitions, release, slices, small_batches, store, trim
 
 SPAN = 50
 GRAM = 16
@@ -39,7 +38,9 @@ _WIDE = _BACK + SPAN
 #: Window starts that are hashed at once.
 _BLOCK = 1 << 18
 #: Anchors that a task holds before it sends them.
-_HELD = 1 << 20
+_HELD = 1 << 18
+#: Contexts that are ranked at once; those of one gram stay together.
+_RANKED = 1 << 13
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
@@ -173,7 +174,7 @@ def scan(docs: DataFrame, buckets: int) -> DataFrame:
             rows += _rows(0, bucket[stay], buckets, doc[stay], place[stay].astype("<u4"), reach[stay], key[stay])
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], _NAMES)
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 21):
             text = pc.fill_null(batch.column("text"), "")
             ends = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
             offsets = np.concatenate([[0], np.cumsum(ends)])
@@ -189,10 +190,14 @@ def scan(docs: DataFrame, buckets: int) -> DataFrame:
             held.append((h, c, batch.column("id").to_numpy()[t], place, lo, hi))
             size += len(pos)
             if size >= _HELD:
-                yield flush()
+                out = flush()
                 held, size = [], 0
+                trim()
+                yield out
         if held:
-            yield flush()
+            out, held = flush(), []
+            yield out
+        trim()
 
     return docs.select(_id(), "text").mapInArrow(run, PACKED)
 
@@ -205,6 +210,7 @@ def group(buckets: int):
     """Of a bucket: ranges settled (kind 1) and anchors that need ranks (kind 2, keys: grams), both dealt by document."""
 
     def run(table: pa.Table) -> pa.Table:
+        trim()  # of the group before
         kept = table.filter(pc.equal(table["kind"], 1))
         table = table.filter(pc.equal(table["kind"], 0))
         rows = list(zip(*(kept[c].to_pylist() for c in _NAMES), strict=True))
@@ -260,7 +266,7 @@ def contexts(joined: DataFrame, buckets: int) -> DataFrame:
                 parts.append((gram, np.full(len(place), id_), place, around, (lo << 8 | hi).astype("<u8")))
             gram, doc, place, around, reach = (np.concatenate(x) for x in zip(*parts, strict=True))
             bucket = (gram >> np.uint64(32)).astype(np.int64)
-            rows = _rows(3, bucket, buckets, doc, place.astype("<u4"), around, reach)
+            rows = _rows(3, bucket, buckets, doc, place.astype("<u4"), around, (gram << np.uint64(32) >> np.uint64(16)) | reach)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], _NAMES)
 
     return joined.select("id", "text", "data").mapInArrow(run, PACKED)
@@ -270,10 +276,27 @@ def rank(buckets: int):
     """Prefix doubling over the contexts of a bucket: the starts of SPAN-byte strings that a smaller document has (kind 1)."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, place = _column(table, "docs", "<i8"), _column(table, "places", "<u4").astype(np.int64)
-        reach = _column(table, "keys", "<u8").astype(np.int64)
-        lo, hi = reach >> 8, reach & 255
+        trim()
+        doc, place, key = _column(table, "docs", "<i8"), _column(table, "places", "<u4").astype(np.int64), _column(table, "keys", "<u8")
         around = _column(table, "ends", np.uint8).reshape(-1, _WIDE)
+        # equal strings share a gram, so grams are ranked a few thousand contexts at a time
+        order = np.argsort(key >> np.uint64(16), kind="stable")
+        gram = key[order] >> np.uint64(16)
+        firsts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.empty(0, np.int64)
+        found = []
+        at = 0
+        while at < len(order):
+            k = np.searchsorted(firsts, at + _RANKED, "left")
+            end = int(firsts[k]) if k < len(firsts) else len(order)
+            own = order[at:end]
+            found.append(starts(doc[own], place[own], (key[own] & np.uint64(0xFFFF)).astype(np.int64), around[own]))
+            at = end
+        who, start = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (doc, place)
+        return _table(_flags(who, start, start + SPAN, buckets))
+
+    def starts(doc: np.ndarray, place: np.ndarray, reach: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, start) of the strings that a smaller document has."""
+        lo, hi = reach >> 8, reach & 255
         width = _WIDE - 7
         eight = np.zeros((len(doc), width), np.uint64)
         for j in range(8):
@@ -313,28 +336,22 @@ def rank(buckets: int):
         least = np.full(int(number.max()) + 1 if len(number) else 0, _LAST)
         np.minimum.at(least, number, who)
         m = who > least[number]
-        start = place[row[m]] - _BACK + col[m]
-        return _table(_flags(who[m], start, start + SPAN, buckets))
+        return who[m], place[row[m]] - _BACK + col[m]
 
     return run
 
 
-def release(spark: SparkSession) -> None:
-    """Let the shuffle files of finished steps go now rather than at the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """id (doc_id, a null as the largest), data: starts then ends of the removed runs, as int64; documents with any."""
     spark = docs.sparkSession
-    buckets = max(1, partitions(spark))
-    marks = store(scan(docs, buckets).groupBy("bucket").applyInArrow(group(buckets), PACKED), "marks")
-    release(spark)
-    open_ = marks.filter("kind = 2").groupBy("bucket").applyInArrow(_per_document(2), "id long, data binary")
-    joined = docs.select(_id(), "text").join(open_, "id")
-    ranked = store(contexts(joined, buckets).groupBy("bucket").applyInArrow(rank(buckets), PACKED), "ranked")
-    release(spark)
+    buckets = 4 * max(1, partitions(spark))  # more than tasks, so that a group is a part of what a task reads
+    with small_batches(spark):
+        marks = store(scan(docs, buckets).groupBy("bucket").applyInArrow(group(buckets), PACKED), "marks")
+        release(spark)
+        open_ = marks.filter("kind = 2").groupBy("bucket").applyInArrow(_per_document(2), "id long, data binary")
+        joined = docs.select(_id(), "text").join(open_, "id")
+        ranked = store(contexts(joined, buckets).groupBy("bucket").applyInArrow(rank(buckets), PACKED), "ranked")
+        release(spark)
     return marks.filter("kind = 1").union(ranked).groupBy("bucket").applyInArrow(_per_document(1), "id long, data binary")
 
 
