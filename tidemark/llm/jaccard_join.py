@@ -10,8 +10,10 @@ the sum of the smaller counts, coordinate by coordinate; for R-tree nodes the sa
    where several sets hold a shingle, neighbours by size become candidate pairs, a number linear in the holders.
 3. Candidate pairs that pass the bound are verified on whole sets, and links are joined to components.
 4. Only shingles whose holders are still in several components need more: their points go into an R-tree, joined with itself, that
-   gives up a pair of nodes when the bound is too small, when sizes differ too much, or when all below is one component. Holders of a
-   very common shingle are dealt to pairs of blocks. What survives is verified too, and components are completed.
+   gives up a pair of nodes when the bound is too small, when sizes differ too much, or when all below is one component. In the leaves
+   the bound is taken over 65,536 coordinates, where it is all but exact, and only as many pairs as join a group's parts leave the
+   task, at most one less than its holders. These are verified on whole sets; a group with a pair that fails gives all its pairs.
+   Holders of a very common shingle are dealt to pairs of blocks.
 
 So copies and near copies in a group of any size cost their chain of neighbours, and no link between different texts is lost.
 
@@ -58,6 +60,11 @@ def _short(s: np.ndarray) -> bytes:
     return (s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
+def _marks(s: np.ndarray) -> bytes:
+    """A set as a point of 65,536 coordinates, sparse: 16 bits of each shingle's hash, in order."""
+    return (s >> np.uint64(48)).astype("<u2").tobytes()
+
+
 def _long(items: bytes) -> np.ndarray:
     out = np.zeros((len(items) // 5, 8), np.uint8)
     out[:, :5] = np.frombuffer(items, np.uint8).reshape(-1, 5)
@@ -70,7 +77,7 @@ def node_of(s: np.ndarray) -> int:
 
 def grade(n):
     """Doublings of GROUPS for a set of n shingles."""
-    return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / (GROUPS * SHARE)))).astype(np.int64)
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / (GROUPS * SHARE))), 0, 10).astype(np.int64)
 
 
 def point(s: np.ndarray) -> bytes:
@@ -217,10 +224,13 @@ def _bound(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, items: the whole sets of the nodes in pairs, from their documents only."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, pack) -> DataFrame:
+    """node, items: the packed whole sets of the wanted nodes, from their documents only."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     hashed = wanted.join(nodes, "node").select(F.xxhash64("rep").alias("h"))
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 40) & 63 AS int))")
     bits = hashed.groupBy(F.col("h").bitwiseAND(WANTED_WORDS - 1).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
@@ -236,7 +246,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array(m.astype(bool)))
             if batch.num_rows:
                 sets = [s for s in shingle_sets(batch.column("text")) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([_short(s) for s in sets], pa.binary())], ["node", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([pack(s) for s in sets], pa.binary())], ["node", "items"])
 
     found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "node long, items binary")
     return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
@@ -261,9 +271,12 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 class RTree:
     """Points packed into leaves of near ones, and nodes above that hold the largest coordinates and the range of sizes below."""
 
-    def __init__(self, points: np.ndarray, n: np.ndarray, comp: np.ndarray):
+    def __init__(self, points: np.ndarray, n: np.ndarray, comp: np.ndarray, marks: list[np.ndarray] | None = None):
+        """marks: of each point, sorted fine coordinates, one for each shingle; with these the bound is all but exact in the leaves."""
         order = self._pack(points, np.lexsort((comp, n)))
         self.order, self.points, self.n, self.comp = order, points[order], n[order], comp[order]
+        self.keys = None if marks is None else [self._numbered(marks[i]) for i in order.tolist()]
+        self.wide: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.levels = []
         lo = np.arange(0, len(order), _LEAF)
         hi = np.minimum(lo + _LEAF, len(order))
@@ -291,9 +304,42 @@ class RTree:
             todo += [part[half:], part[:half]]
         return np.concatenate(done)
 
-    def join(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places (in the arrays given) of pairs of different components that the bound lets through."""
+    @staticmethod
+    def _numbered(marks: np.ndarray) -> np.ndarray:
+        """Equal marks told apart by their number, so that shared keys count as the smaller of two counts."""
+        first = np.searchsorted(marks, marks, "left")
+        return marks.astype(np.int64) << 24 | (np.arange(len(marks)) - first)
+
+    def _shared(self, i: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of keys that the points a (leaf i) share with each of b: a product of two 0/1 matrices over the keys of a."""
+        if i not in self.wide:
+            if len(self.wide) > 16:
+                self.wide.clear()
+            keys = np.unique(np.concatenate([self.keys[k] for k in a.tolist()]))
+            self.wide[i] = keys, self._matrix(a, keys)
+        keys, left = self.wide[i]
+        return left @ self._matrix(b, keys).T
+
+    def _matrix(self, rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), len(keys)), np.float32)
+        for r, k in enumerate(rows.tolist()):
+            at = np.minimum(np.searchsorted(keys, self.keys[k]), len(keys) - 1)
+            out[r, at[keys[at] == self.keys[k]]] = 1
+        return out
+
+    def join(self, spanning: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in the arrays given) of pairs of different components that the bound lets through; spanning: only as many as join what
+        all of them would join."""
         found: list[tuple[np.ndarray, np.ndarray]] = []
+        names, root = np.unique(self.comp, return_inverse=True)
+        parent = list(range(len(names)))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         todo = [(len(self.levels) - 1, 0, 0)]
         while todo:
             level, i, j = todo.pop()
@@ -307,34 +353,82 @@ class RTree:
                 todo += [(level - 1, a, b) for a in range(lo[i], hi[i]) for b in range(max(a, lo[j]) if i == j else lo[j], hi[j])]
                 continue
             a, b = np.arange(lo[i], hi[i]), np.arange(lo[j], hi[j])
-            over = np.minimum(self.points[a][:, None, :], self.points[b][None, :, :]).sum(2, dtype=np.int64)
-            m = (over >= need(self.n[a][:, None], self.n[b][None, :])) & (self.comp[a][:, None] != self.comp[b][None, :])
+            ra, rb = (np.array([find(x) for x in root[r].tolist()]) if spanning else root[r] for r in (a, b))
+            m = ra[:, None] != rb[None, :]
             if i == j:
                 m = np.triu(m, 1)
+            if not m.any():
+                continue
+            wanted = need(self.n[a][:, None], self.n[b][None, :])
+            m &= np.minimum(self.points[a][:, None, :], self.points[b][None, :, :]).sum(2, dtype=np.int64) >= wanted
+            if self.keys is not None and m.any():
+                m &= self._shared(i, a, b) >= wanted
             x, y = np.nonzero(m)
+            if spanning:
+                keep = []
+                for k, (u, v) in enumerate(zip(root[a[x]].tolist(), root[b[y]].tolist(), strict=True)):
+                    u, v = find(u), find(v)
+                    if u != v:
+                        parent[u] = v
+                        keep.append(k)
+                x, y = x[keep], y[keep]
             found.append((self.order[a[x]], self.order[b[y]]))
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _tree_join(table: pa.Table) -> pa.Table:
-    """Pairs that the R-trees let through: one tree for each number of coordinates, of the sets that have so many or twice as many
-    (linked sets differ by less); a pair counts where the smaller number is the tree's."""
-    node, comp, n = table["a"].to_numpy(), table["comp"].to_numpy(), table["n"].to_numpy()
-    points = [np.frombuffer(v.as_py(), "<u2") for v in table["point"]]
-    grades = grade(n)
-    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for g in np.unique(grades).tolist():
-        own = np.flatnonzero((grades == g) | (grades == g + 1))
-        if len(own) < 2:
-            continue
-        x, y = RTree(np.stack([coarse(points[i], GROUPS << g) for i in own.tolist()]), n[own], comp[own]).join()
-        x, y = own[x], own[y]
-        m = np.minimum(grades[x], grades[y]) == g
-        out_a.append(np.minimum(node[x], node[y])[m])
-        out_b.append(np.maximum(node[x], node[y])[m])
-    return pa.table({"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))})
+DEALT = "key long, pair int, a long, b long"
+
+
+def _tree_join(spanning: bool):
+    """Of a group's holders the pairs that the R-trees let through: one tree for each number of coordinates, of the sets that have so
+    many or twice as many (linked sets differ by less); a pair counts where the smaller number is the tree's."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp, n = table["a"].to_numpy(), table["comp"].to_numpy(), table["n"].to_numpy()
+        marks = [np.frombuffer(v.as_py(), "<u2") for v in table["items"]]
+        grades = grade(n)
+        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for g in np.unique(grades).tolist():
+            own = np.flatnonzero((grades == g) | (grades == g + 1))
+            if len(own) < 2:
+                continue
+            points = np.stack([np.bincount(marks[i] >> (10 - g), minlength=GROUPS << g) for i in own.tolist()])
+            # a spanning choice may hold pairs that only the next tree counts; then all pairs are looked at
+            mixed = spanning and (grades[own] != g).any()
+            x, y = RTree(points, n[own], comp[own], [marks[i] for i in own.tolist()]).join(spanning and not mixed)
+            x, y = own[x], own[y]
+            m = np.minimum(grades[x], grades[y]) == g
+            x, y = x[m], y[m]
+            if mixed:
+                x, y = _spanning(x, y, comp)
+            out_a.append(np.minimum(node[x], node[y]))
+            out_b.append(np.maximum(node[x], node[y]))
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        here = [pa.array(np.full(len(a), table[c][0].as_py()), t) for c, t in (("key", pa.int64()), ("pair", pa.int32()))]
+        return pa.table({"key": here[0], "pair": here[1], "a": pa.array(a), "b": pa.array(b)})
+
+    return run
+
+
+def _spanning(x: np.ndarray, y: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of places only as many as join what all of them join."""
+    parent: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    keep = []
+    for k, (u, v) in enumerate(zip(comp[x].tolist(), comp[y].tolist(), strict=True)):
+        u, v = find(u), find(v)
+        if u != v:
+            parent[u] = v
+            keep.append(k)
+    return x[keep], y[keep]
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -357,7 +451,7 @@ def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     release(spark)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        sets = store(_sets(docs, nodes, pairs), "sets")
+        sets = store(_sets(docs, nodes, _ends(pairs), _short), "sets")
         release(spark)
         out = store(_verify(pairs, sets), "links")
         discard(sets)
@@ -372,12 +466,22 @@ def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     open_ = holders.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j))
-    dealt = holders.join(open_, "key").withColumn("pair", F.explode(pair)).join(nodes.select(F.col("node").alias("a"), "point"), "a")
-    more = dealt.groupBy("key", "pair").applyInArrow(_tree_join, "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
-    more = store(more, "more")
-    if more.isEmpty():
+    dealt = store(holders.join(open_, "key").withColumn("pair", F.explode(pair)).select("key", "pair", "a", "n", "comp"), "dealt")
+    if dealt.isEmpty():
         return own, nodes, first
-    return own, nodes, store(components(sure.union(linked(more))), "components")
+    marks = store(_sets(docs, nodes, dealt.select(F.col("a").alias("node")).distinct(), _marks), "marks")
+    groups = dealt.join(marks.withColumnRenamed("node", "a"), "a")
+    # what a group's trees let through is all but certain to link, so as many pairs as join it are enough; where one fails, all are tried
+    forest = store(groups.groupBy("key", "pair").applyInArrow(_tree_join(True), DEALT), "forest")
+    tried = forest.select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
+    late = linked(tried)
+    failed = store(forest.join(late, ["a", "b"], "left_anti").select("key", "pair").distinct(), "failed")
+    every = sure.union(late)
+    if not failed.isEmpty():
+        again = groups.join(failed, ["key", "pair"], "left_semi").groupBy("key", "pair").applyInArrow(_tree_join(False), DEALT)
+        again = again.select("a", "b").distinct().join(near.union(tried), ["a", "b"], "left_anti")
+        every = every.union(linked(store(again, "again")))
+    return own, nodes, store(components(every), "components")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
