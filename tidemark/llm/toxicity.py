@@ -22,12 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_words
+from .common import slices, split_words, trim
 
 THRESHOLD = 0.3
 #: Labelled rows that the model is fitted on, at most.
-SAMPLE = 12_000
-TERMS = 1_024
+SAMPLE = 8_000
+TERMS = 512
 FACTORS = 8
 BUCKETS = 1 << 20
 _EDGE = re.compile(r"[\W_]+")
@@ -50,7 +50,7 @@ def word_terms(word: str) -> list[int]:
 class TermIndex:
     """Terms of the distinct words of a slice, with the words seen before kept up to a bound."""
 
-    def __init__(self, wanted: np.ndarray | None = None, most: int = 300_000):
+    def __init__(self, wanted: np.ndarray | None = None, most: int = 100_000):
         self.wanted = None if wanted is None else {int(b): i for i, b in enumerate(wanted)}
         self.known: dict[str, list[int]] = {}
         self.most = most
@@ -104,7 +104,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> Dat
     return docs.select("doc_id", "text").join(F.broadcast(use), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, factors: int = FACTORS, steps: int = 150) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, factors: int = FACTORS, steps: int = 100) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = TermIndex()
         for batch in slices(batches):
@@ -112,14 +112,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
             cut = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             blobs = [term[a:b].astype("<u4").tobytes() for a, b in zip(cut, cut[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__y"), pa.array(blobs, pa.binary())], ["doc_id", "__y", "terms"])
+        trim()
 
     got = labelled(docs, labels, "toxic", sample).mapInArrow(run, "doc_id long, __y int, terms binary").toArrow().sort_by("doc_id")
     y = (got["__y"].to_numpy() > 0).astype(np.float64)
     lists = [np.frombuffer(x.as_py(), "<u4") for x in got["terms"]]
     if not len(y) or y.min() == y.max():
         return Model(np.empty(0, np.int64), 30.0 if len(y) and y[0] else -30.0, np.empty(0), np.empty((0, 1)))
-    rows = np.repeat(np.arange(len(y)), [len(x) for x in lists])
-    flat = np.concatenate(lists).astype(np.int64)
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in lists])
+    flat = np.concatenate(lists)
     del lists, got
     pos, neg = y.sum(), len(y) - y.sum()
     a = np.bincount(flat, y[rows], BUCKETS)
@@ -129,11 +130,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     chi = np.where((a + c >= 3) & np.isfinite(chi), chi, 0)
     top = np.argsort(-chi, kind="stable")[:terms]
     top = np.sort(top[chi[top] > 6.6])
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[top] = np.arange(len(top))
     m = place[flat] >= 0
     x = np.zeros((len(y), len(top)), np.float32)
     x[rows[m], place[flat[m]]] = 1
+    del rows, flat, m
+    trim()
     # Adam over all rows; weight decay keeps terms of clean and toxic texts alike near 0
     rng = np.random.default_rng(7)
     p = [np.zeros(1, np.float32) + np.log(pos / neg), np.zeros(len(top), np.float32), rng.normal(0, 0.02, (len(top), factors)).astype(np.float32)]
@@ -141,11 +144,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     yy = y.astype(np.float32)
     for t in range(1, steps + 1):
         w0, w, v = p
-        s = x @ v
-        raw = w0 + x @ w + 0.5 * ((s * s).sum(1) - x @ (v * v).sum(1))
+        out = x @ np.concatenate([v, (w - 0.5 * (v * v).sum(1))[:, None]], 1)  # all sums over terms in one product
+        s = out[:, :-1]
+        raw = w0 + out[:, -1] + 0.5 * (s * s).sum(1)
         g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - yy) / len(yy)
-        back = x.T @ g
-        grads = [g.sum(keepdims=True), back + 1e-4 * w, x.T @ (g[:, None] * s) - v * back[:, None] + 1e-3 * v]
+        back = x.T @ np.concatenate([g[:, None] * s, g[:, None]], 1)
+        grads = [g.sum(keepdims=True), back[:, -1] + 1e-4 * w, back[:, :-1] - v * back[:, -1:] + 1e-3 * v]
         for q, d, a1, a2, rate in zip(p, grads, m1, m2, (0.05, 0.1, 0.02), strict=True):
             a1 += 0.1 * (d - a1)
             a2 += 0.01 * (d * d - a2)
@@ -164,6 +168,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             rows, terms = index.present(batch.column("text"))
             p = 1 / (1 + np.exp(-np.clip(model.raw(rows, terms, batch.num_rows), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
+        del index
+        trim()
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -184,5 +190,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
             rows, terms = index.present(batch.column("text"))
             p = 1 / (1 + np.exp(-np.clip(model.raw(rows, terms, batch.num_rows), -30, 30)))
             yield batch.filter(pa.array(p < threshold))
+        del index
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
