@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, trim
 
 Q = 8
 EDIT_SHARE = 0.06
@@ -237,6 +237,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     ids = batch.column("doc_id").take(pa.array([r[0] for r in rows]))
                     cols = [pa.array([index.items[r[1]][0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in ((2, pa.int64()), (3, pa.int64()), (4, pa.int32())))]
                     yield pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", "item_id", "start", "end", "edits"])
+            trim()
 
         out = out.union(docs.select("doc_id", "text").mapInArrow(run, SCHEMA))
     return out
@@ -254,6 +255,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 bad = np.zeros(batch.num_rows, bool)
                 bad[[r[0] for r in find_in(batch, index)]] = True
                 yield batch.filter(pa.array(~bad))
+            trim()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, partitions, release, shingle_sets, slices, small_batches, store
+from .common import components, discard, partitions, release, shingle_sets, slices, small_batches, store, trim
 
 #: Coordinates of a point, at least; larger sets have twice as many until a coordinate counts SHARE shingles or fewer on average.
 GROUPS = 64
@@ -115,7 +115,10 @@ def profile(docs: DataFrame) -> DataFrame:
             if size > 2 << 20:
                 yield frequent()
                 held, size = [], 0
+                trim()
         yield frequent()
+        del held
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, node long, n long, point binary")
 
@@ -166,8 +169,11 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets:
             if size > 1 << 19:
                 yield flush()
                 held, size, seen = [], 0, set() if len(seen) > 1_000_000 else seen
+                trim()
         if held:
             yield flush()
+        held = []
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, tokens binary, nodes binary, sizes binary")
 
@@ -247,6 +253,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, pack) -> DataFra
             if batch.num_rows:
                 sets = [s for s in shingle_sets(batch.column("text")) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([pack(s) for s in sets], pa.binary())], ["node", "items"])
+        trim()
 
     found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "node long, items binary")
     return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])

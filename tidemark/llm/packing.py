@@ -27,12 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, split_words, store
+from .common import partitions, slices, split_words, store, trim
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a Python worker keeps.
-WORD_CACHE = 150_000
+#: Words whose ids a task keeps, in each of two generations.
+WORD_CACHE = 100_000
 _MARK = "<|startoftext|>"
 _SIGNS = r"([\p{L}\p{N}])([!-&(-/:-@\[-`{-~])"
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
@@ -104,19 +104,9 @@ class WordTokens:
         return cut + np.arange(docs + 1), out
 
 
-_own: dict[str, WordTokens] = {}
-
-
-def _worker_tokens(path: str) -> WordTokens:
-    """The Python worker's own, kept from task to task."""
-    if path not in _own:
-        _own[path] = WordTokens(path)
-    return _own[path]
-
-
 def pieces(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _worker_tokens(tokenizer)
+        words = WordTokens(tokenizer)
         row = 0
         for batch in slices(batches):
             offsets, ids = words.encode(batch.column("text"))
@@ -129,6 +119,8 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
                     out.append((doc, row, k, s - a, e - s, zlib.crc32(raw[4 * s : 4 * e])))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+        del words
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_words
+from .common import slices, split_words, trim
 from .toxicity import held_out, labelled
 
 SAMPLE = 12_000
@@ -40,7 +40,7 @@ def _shape(word: str) -> str:
 
 
 class Features:
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         self.known: dict[str, tuple[int, int]] = {}
         self.most = most
 
@@ -145,6 +145,8 @@ def score(docs: DataFrame, model: Model, wanted: int = 1, least: float = 0.5) ->
         for batch in slices(batches):
             tails = model.tails(features.score(batch.column("text"), model.weights))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tails.sum(1)), pa.array(tails[:, wanted - 1])], ["doc_id", "expected_grade", "tail_probability"])
+        del features
+        trim()
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, expected_grade double, tail_probability double")
     return out.select("doc_id", held_out().alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= least).alias("kept"))
