@@ -141,6 +141,13 @@ def test_suffix_dedup_periodic_and_edges(spark):
         assert got == wanted_suffix(rows)
 
 
+def test_suffix_contexts_that_agree_on_36_bits_of_their_hash_stay_apart(spark):
+    line = "a line that a great many documents of the corpus have in common, to its very end.\n"
+    rows = [(i, line + f"{i:06d} {pow(3, i + 1000, 1 << 256):064x}") for i in (293935, 329408, 156649, 223033, 2064, 146414, 9283, 9573)]
+    got = {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in by_id(suffix_dedup.remove_repeats(frame(spark, rows).repartition(3))).items()}
+    assert got == wanted_suffix(rows)
+
+
 def test_suffix_anchors_do_not_depend_on_blocks(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 101, 6000).astype(np.uint8)

@@ -12,7 +12,8 @@ of a corpus would shuffle some tens of times its size, so positions are thinned
    doubling: by 8 bytes, then by sorted pairs of ranks 8, 16 and SPAN - 32 positions apart, dropping each position whose rank has become
    unique to a document, until SPAN bytes are ranked. A position whose rank has a smaller document starts a removed string.
 
-Tasks exchange packed arrays, not rows. Hashes have 64 bits (grams 28 and the bucket, contexts 36 and the bucket); ranks are exact.
+Tasks exchange packed arrays, not rows. Of a gram's hash 32 bits and the bucket are sent, which only puts anchors
+together; a context is settled on all 64 bits of its hash, beside its gram; ranks are exact.
 
 Defined cases: null or empty texts have no bytes; texts shorter than SPAN keep all; a null doc_id counts as the largest; rows that
 repeat a doc_id are one document and must repeat its text; an empty table gives no rows; other columns are not read.
@@ -48,6 +49,8 @@ _SIZE = _BLOCK + 4 * _WIDE
 _POWER = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_SIZE, _BASE)]))
 _UNPOWER = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_SIZE, _INVERSE)]))
 _LAST = np.iinfo(np.int64).max
+#: What anchors are settled by: 32 bits of the gram's hash (the bucket has others) and all 64 of the context's.
+_KEY = np.dtype([("gram", "<u4"), ("context", "<u8")])
 PACKED = "kind int, bucket int, docs binary, places binary, ends binary, keys binary"
 
 
@@ -140,17 +143,12 @@ def _column(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() or b"" for x in table[name]), kind)
 
 
-def _sift(key: np.ndarray, doc: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray):
-    """Order by key; which occurrences have a smaller document with the same key."""
-    order = np.argsort(key, kind="stable")
-    key, doc, place, lo, hi = key[order], doc[order], place[order], lo[order], hi[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    least = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1] if len(key) else doc
-    return key, doc, place, lo, hi, doc > least
-
-
-def _context_key(h: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return (h << np.uint64(36)) | (c >> np.uint64(28))
+def _later(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Which occurrences, ordered by keys, have a smaller document with the same keys."""
+    if not len(doc):
+        return np.zeros(0, bool)
+    new = np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
+    return doc > np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
 
 
 def scan(docs: DataFrame, buckets: int) -> DataFrame:
@@ -162,16 +160,17 @@ def scan(docs: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             h, c, doc, place, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((c, h))
+            h, c, doc, place, lo, hi = h[order], c[order], doc[order], place[order], lo[order], hi[order]
             bucket = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((_context_key(h, c), bucket))
-            key, bucket, doc, place, lo, hi = _context_key(h, c)[order], bucket[order], doc[order], place[order], lo[order], hi[order]
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])])
-            gone = doc > np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
+            gone = _later(doc, h, c)
             rows = _flags(doc[gone], (place - lo)[gone], (place + hi)[gone], buckets)
             stay = np.flatnonzero(~gone)
             stay = stay[np.lexsort((place[stay], doc[stay]))]  # by document: packs better
             reach = (lo << 8 | hi).astype("<u2")
-            rows += _rows(0, bucket[stay], buckets, doc[stay], place[stay].astype("<u4"), reach[stay], key[stay])
+            key = np.empty(len(stay), _KEY)
+            key["gram"], key["context"] = h[stay].astype(np.uint32), c[stay]
+            rows += _rows(0, bucket[stay], buckets, doc[stay], place[stay].astype("<u4"), reach[stay], key)
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], _NAMES)
 
         for batch in slices(batches, limit=1 << 21):
@@ -214,13 +213,14 @@ def group(buckets: int):
         kept = table.filter(pc.equal(table["kind"], 1))
         table = table.filter(pc.equal(table["kind"], 0))
         rows = list(zip(*(kept[c].to_pylist() for c in _NAMES), strict=True))
-        key, doc = _column(table, "keys", "<u8"), _column(table, "docs", "<i8")
+        key, doc = _column(table, "keys", _KEY), _column(table, "docs", "<i8")
         place, reach = _column(table, "places", "<u4").astype(np.int64), _column(table, "ends", "<u2").astype(np.int64)
         if len(key):
-            key, doc, place, lo, hi, gone = _sift(key, doc, place, reach >> 8, reach & 255)
-            rows += _flags(doc[gone], (place - lo)[gone], (place + hi)[gone], buckets)
-            key, doc, place = key[~gone], doc[~gone], place[~gone]
-            gram = key >> np.uint64(36)
+            order = np.lexsort((key["context"], key["gram"]))
+            key, doc, place, reach = key[order], doc[order], place[order], reach[order]
+            gone = _later(doc, key["gram"], key["context"])
+            rows += _flags(doc[gone], (place - (reach >> 8))[gone], (place + (reach & 255))[gone], buckets)
+            gram, doc, place = key["gram"][~gone].astype(np.uint64), doc[~gone], place[~gone]
             new = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             n = np.diff(np.append(new, len(gram)))
             shared = np.repeat(np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new), n)
