@@ -386,6 +386,64 @@ def test_salvage(packed):
     assert list(warc.salvage(b"")) == []
 
 
+def foreign(i, content, *fields):
+    return b"\r\n".join([b"WARC/1.0", b"WARC-Type: response", b"WARC-Record-ID: <urn:page:%d>" % i, *fields, b"Content-Length: %d" % len(content)]) + b"\r\n\r\n" + content + b"\r\n\r\n"
+
+
+def salvaged(data):
+    return [int(re.findall(r"\d+", f["warc-record-id"])[0]) for _, _, f, _, _ in warc.salvage(data) if f]
+
+
+def test_salvage_knows_digests_of_other_writers():
+    body, head = b"<p>x</p>", b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n"
+    sha, sha256 = hashlib.sha1(body), hashlib.sha256(head + b"\r\n" + body)
+    chunked = head + b"Transfer-Encoding: chunked\r\n\r\n3\r\n<p>\r\n5;a=b\r\nx</p>\r\n0\r\n\r\n"
+    good = [
+        foreign(0, head + b"\r\n" + body, b"WARC-Payload-Digest: sha1:" + warc.digest(body).encode()),
+        foreign(1, head + b"\r\n" + body, b"WARC-Payload-Digest: sha1:" + sha.hexdigest().encode()),
+        foreign(2, body, b"WARC-Payload-Digest: SHA-1:" + warc.digest(body).lower().encode()),
+        foreign(3, chunked, b"WARC-Payload-Digest: sha1:" + warc.digest(body).encode()),
+        foreign(4, head + b"\r\n" + body, b"WARC-Block-Digest: sha256:" + sha256.hexdigest().encode(), b"WARC-Payload-Digest: sha1:" + warc.digest(b"decoded").encode()),
+        foreign(5, body, b"WARC-Segment-Number: 1", b"WARC-Payload-Digest: sha1:" + warc.digest(body * 2).encode()),
+    ]
+    bad = [foreign(6, head + b"\r\n" + b"<p>y</p>", b"WARC-Payload-Digest: sha1:" + warc.digest(body).encode()), foreign(7, body, b"WARC-Block-Digest: sha1:" + warc.digest(b"").encode())]
+    assert salvaged(b"".join(good + bad)) == list(range(6))
+    assert salvaged(b"".join(map(warc.member, good + bad))) == list(range(6))
+
+
+def test_salvage_of_many_records_in_a_member():
+    rng = random.Random(6)
+    payloads = [bytes(rng.choice(b"abcdefgh \n") for _ in range(rng.randrange(100, 40000))) for _ in range(30)]
+    parts = [warc.record(i, None, p) for i, p in enumerate(payloads)]
+    wrong = list(parts)
+    wrong[7] = wrong[7].replace(payloads[7], payloads[7][::-1])  # its digest no longer matches
+    wrong[20] = wrong[20][:-50]  # cut short
+    tail = warc.member(warc.record(99, None, b"after"))
+    holds = [i for i in range(30) if i not in (7, 20)]
+    got = list(warc.salvage(warc.member(b"".join(wrong)) + tail))
+    assert salvaged(warc.member(b"".join(wrong)) + tail) == [*holds, 99]
+    assert all(f is None or c == [*payloads, *[b"after"] * 70][int(re.findall(r"\d+", f["warc-record-id"])[0])] for _, _, f, c, _ in got)
+    ends = np.cumsum([0, *map(len, wrong)]).tolist()
+    assert [note for _, _, f, _, note in got if f is None] == [f"no valid record in bytes {ends[i]} to {ends[i + 1]} of the member" for i in (7, 20)]
+
+    whole = warc.member(b"".join(parts))
+    assert salvaged(whole[:-3]) == list(range(30))  # only the trailer is cut
+    for keep in (2, 3, 4):
+        n = len(whole) * keep // 5
+        some = zlib.decompressobj(31).decompress(whole[:n])
+        full = int(np.searchsorted(np.cumsum([len(p) for p in parts]), len(some), "right"))
+        assert full > 5 and salvaged(whole[:n]) == list(range(full))
+        assert salvaged(whole[:n] + tail) == [*range(full), 99]
+        rows = list(warc.salvage(whole[:n] + tail))
+        gaps = [(a, k) for a, k, f, _, _ in rows if f is None]
+        assert len(gaps) == 1 and gaps[0][0] + gaps[0][1] == n and all(note == "its member is damaged" for _, _, f, _, note in rows[:full])
+    broken = bytearray(whole)
+    at = len(whole) // 2
+    broken[at : at + 40] = b"\xff" * 40
+    ids = salvaged(bytes(broken) + tail)
+    assert ids[-1] == 99 and len(ids) > 10 and ids[:10] == list(range(10))
+
+
 # URL filter ----------------------------------------------------------------------------------------------------------------
 
 

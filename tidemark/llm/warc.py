@@ -4,9 +4,11 @@ Writing: payload digests are grouped (map-side combined minima) so that of equal
 smallest page_id is the response and the others revisit it. Tasks turn records into archive files of bounded size, each record a gzip
 member of its own; the files are written by Spark's own writer, so any store works that Spark can write.
 
-Reading: a file is read member by member. A member must inflate, pass its CRC, start with a version line and hold as many bytes as
-its Content-Length says, and a payload must match its digest. After a failed check the reader searches for the next place where a
-member (or, in an archive that isn't compressed, a version line) is valid, goes on from there and logs the bytes between as a gap.
+Reading: a file is read member by member. A record must start with a version line, hold as many bytes as its Content-Length says and
+match its digests: that of the block, else that of the payload, which of an HTTP message is what follows the headers. After a failed
+check the reader searches for the next place where a member or a version line is valid, goes on from there and logs the bytes between
+as a gap. The same search runs in what a member holds; of a member that breaks off or fails its CRC the records before and after the
+damage stay, with a note.
 
 Defined cases: a null html is an empty payload; a null url gives no target; repeated rows give a record each, and those of equal
 page_id and payload are all responses; an empty table gives an empty archive; other columns are not read.
@@ -31,6 +33,11 @@ ARCHIVE_BYTES = 8 << 20
 VERSION = b"WARC/1.1\r\n"
 _MAGIC = b"\x1f\x8b\x08"
 READ_SCHEMA = "kind string, archive string, start long, length long, page_id long, record_type string, target string, payload_digest string, refers_to long, payload binary, note string"
+_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_HTTP = re.compile(rb"HTTP/\d|[A-Z]+ [^\r\n]* HTTP/\d")
+_CHUNK = re.compile(rb"([0-9A-Fa-f]{1,15})[^\r\n]*\r\n")
+#: May stand between records.
+_PADDING = b"\x00\r\n"
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)\r\n")
 
 
@@ -82,9 +89,54 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     files.write.option("maxRecordsPerFile", 1).option("lineSep", "\x00").text(path)
 
 
-def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int] | None:
-    """Fields, content and bytes used of the valid record at the start of raw, or None."""
-    m = re.match(rb"WARC/1\.[01]\r\n", raw)
+def _matches(said: str, content: bytes) -> bool:
+    """Whether a labelled digest, in hexadecimal, base32 or base64, is that of content; unknown algorithms say nothing."""
+    label, colon, value = said.partition(":")
+    name = label.strip().lower().replace("-", "")
+    if not colon or name not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    raw, value = hashlib.new(name, content).digest(), value.strip().rstrip("=")
+    return value.lower() in (raw.hex(), base64.b32encode(raw).decode().rstrip("=").lower()) or value in (base64.b64encode(raw).decode().rstrip("="), base64.urlsafe_b64encode(raw).decode().rstrip("="))
+
+
+def _unchunk(body: bytes) -> bytes | None:
+    """The body without its chunked transfer coding, or None."""
+    out, at = [], 0
+    while m := _CHUNK.match(body, at):
+        n = int(m[1], 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[m.end() : m.end() + n])
+        at = m.end() + n
+        if body[at : at + 2] != b"\r\n":
+            return None
+        at += 2
+    return None
+
+
+def _payloads(content: bytes) -> Iterator[bytes]:
+    """What a payload digest may be of: the block, and of an HTTP message the bytes after the headers, as sent or without chunks."""
+    yield content
+    if _HTTP.match(content):
+        head, blank, body = content.partition(b"\r\n\r\n")
+        if blank:
+            yield body
+            if b"chunked" in head.lower() and (plain := _unchunk(body)) is not None:
+                yield plain
+
+
+def _intact(fields: dict[str, str], content: bytes) -> bool:
+    if said := fields.get("warc-block-digest"):
+        return _matches(said, content)
+    said = fields.get("warc-payload-digest")
+    if not said or fields.get("warc-type") == "revisit" or "warc-segment-number" in fields:  # of another record's bytes, or of all segments
+        return True
+    return any(_matches(said, x) for x in _payloads(content))
+
+
+def parse_record(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
+    """Fields, content and end of the valid record at a place of raw, or None."""
+    m = _LINE.match(raw, at)
     if not m:
         return None
     at, fields = m.end(), {}
@@ -98,42 +150,55 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int] | None:
     if raw[end : end + 4] != b"\r\n\r\n":
         return None
     content = raw[at:end]
-    said = fields.get("warc-payload-digest", "")
-    if said.startswith("sha1:") and fields.get("warc-type") != "revisit" and said[5:] != digest(content):
-        return None
-    return fields, content, end + 4
-
-
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """What the gzip member at a place holds and where it ends, or None. It is fed in steps, so that what follows isn't copied."""
-    z, out, step = zlib.decompressobj(31), [], 1 << 16
-    try:
-        while at < len(data) and not z.eof:
-            out.append(z.decompress(data[at : at + step]))
-            at += step
-    except zlib.error:
-        return None
-    return (b"".join(out), min(at, len(data)) - len(z.unused_data)) if z.eof else None
+    return (fields, content, end + 4) if _intact(fields, content) else None
+
+
+def _inflate(data: bytes, at: int, limit: int | None = None) -> tuple[bytes, int, bool]:
+    """What the gzip member at a place holds (at least its first ``limit`` bytes), where the input read ends and whether the member is
+    whole. It is fed in steps, so that what follows isn't copied; a step that fails or passes the limit is fed again byte by byte."""
+    z, out, size, step = zlib.decompressobj(31), [], 0, 1 << 16
+    while at < len(data) and not z.eof and (limit is None or size < limit):
+        before = z.copy()
+        try:
+            got = z.decompress(data[at : at + step])
+            again = step > 1 and limit is not None and size + len(got) >= limit
+        except zlib.error:
+            if step == 1:
+                break
+            again = True
+        if again:
+            z, step = before, 1
+            continue
+        out.append(got)
+        size += len(got)
+        at += step
+    return b"".join(out), min(at, len(data)) - len(z.unused_data), z.eof
 
 
-def _member_at(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int] | None:
-    """The records of the valid gzip member at a place, and its length."""
-    got = _inflate(data, at)
-    if not got:
-        return None
-    raw, end = got
-    records, used = [], 0
-    while used < len(raw):
-        one = parse_record(raw[used:] if used else raw)
-        if not one:
-            return None
-        records.append(one[:2])
-        used += one[2]
-    return (records, end - at) if records else None
+def _records(raw: bytes) -> Iterator[tuple[int, int, dict | None, bytes]]:
+    """(from, to, fields, content) of the valid records of an inflated member; fields None for what lies between."""
+    at, n, hole = 0, len(raw), -1
+    while at < n:
+        one = parse_record(raw, at)
+        if one:
+            if hole >= 0:
+                yield hole, at, None, b""
+            hole = -1
+            yield at, one[2], one[0], one[1]
+            at = one[2]
+        elif hole < 0 and raw[at] in _PADDING:
+            at += 1
+        else:
+            hole = at if hole < 0 else hole
+            at = raw.find(b"WARC/1.", at + 1)
+            at = n if at < 0 else at
+    if hole >= 0:
+        yield hole, n, None, b""
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
-    """(start, length, fields, content, note) of each record of an archive; fields None for a quarantined gap."""
+    """(start, length, fields, content, note) of each record of an archive; fields None for a quarantined gap. Records and gaps inside
+    a member have the member's place; a gap's note has its own."""
     at, n = 0, len(data)
     gap = -1
 
@@ -142,21 +207,34 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
             yield gap, end - gap, None, b"", "no valid member or version line"
 
     while at < n:
-        got = None
         if data.startswith(_MAGIC, at):
-            got = _member_at(data, at)
+            raw, end, whole = _inflate(data, at)
+            found = list(_records(raw))
+            last = max((to for _, to, fields, _ in found if fields is not None), default=0)
+            if last:
+                yield from close(at)
+                gap = -1
+                if not whole:  # what follows the last valid record is searched again, and is a gap of the file
+                    end = _inflate(data, at, last)[1]
+                for start, to, fields, content in found:
+                    if fields is not None:
+                        yield at, end - at, fields, content, "" if whole else "its member is damaged"
+                    elif whole or to <= last:
+                        yield at, end - at, None, b"", f"no valid record in bytes {start} to {to} of the member"
+                at = end
+                if whole:
+                    continue
+                gap = at
+                at -= 1  # a member may start right here
         elif data.startswith(b"WARC/1.", at):
-            one = parse_record(data[at:])
+            one = parse_record(data, at)
             if one:
-                got = ([one[:2]], one[2])
-        if got:
-            yield from close(at)
-            gap = -1
-            for fields, content in got[0]:
-                yield at, got[1], fields, content, ""
-            at += got[1]
-            continue
-        if gap < 0 and data[at] in b"\x00\r\n":  # padding between records
+                yield from close(at)
+                gap = -1
+                yield at, one[2] - at, one[0], one[1], ""
+                at = one[2]
+                continue
+        if gap < 0 and data[at] in _PADDING:  # between records
             at += 1
             continue
         if gap < 0:
@@ -181,7 +259,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         ids = [re.fullmatch(r"<urn:page:(-?\d+)>", fields.get(k, "")) for k in ("warc-record-id", "warc-refers-to")]
                         size += len(content)
                         fact = (fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-payload-digest", "").removeprefix("sha1:"))
-                        rows.append(("record", name, start, length, ids[0] and int(ids[0][1]), *fact, ids[1] and int(ids[1][1]), content, fields.get("x-payload-bytes")))
+                        rows.append(("record", name, start, length, ids[0] and int(ids[0][1]), *fact, ids[1] and int(ids[1][1]), content, fields.get("x-payload-bytes") or note or None))
                     if size > 4 << 20:
                         yield _batch(rows)
                         rows, size = [], 0
