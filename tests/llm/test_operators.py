@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -267,6 +268,21 @@ def test_plan_uses_each_piece_once(seed):
     assert sum(k for _, k in plan) <= 1.1 * -(-sum(x * c for x, c in counts.items()) // 100) + 2 + counts[100] + sum(c for x, c in counts.items() if x > 50)
 
 
+def test_exact_complements_are_not_missed():
+    left = np.zeros(21, np.int64)
+    left[[13, 9, 8, 3, 2]] = 1
+    assert packing._exact(left, 20) == (9, 8, 3)
+    rng = random.Random(12)
+    for _ in range(400):
+        have = Counter(rng.randrange(1, 30) for _ in range(rng.randrange(1, 9)))
+        gap = rng.randrange(3, 61)
+        left = np.array([have[x] for x in range(gap + 1)], np.int64)
+        lengths = sorted(have.elements())
+        want = {sum(c) for k in (1, 2, 3) for c in itertools.combinations(lengths, k)}
+        got = packing._exact(left, gap)
+        assert (got is not None) == (gap in want) and (got is None or (sum(got) == gap and not Counter(got) - have))
+
+
 def test_words_encode_like_texts():
     from tokenizers import Tokenizer
 

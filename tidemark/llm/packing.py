@@ -131,15 +131,19 @@ def _exact(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
         return (gap,)
     have = left[: gap + 1] > 0
 
-    def pair(total: int, most: int) -> tuple[int, int] | None:
-        """x >= y, x <= most, x + y = total."""
+    def pair(total: int, most: int, taken: int = 0) -> tuple[int, int] | None:
+        """x >= y, x <= most, x + y = total, of what is available beside one piece of length taken."""
         low = (total + 1) // 2
         high = min(most, total - 1)
         if high < low:
             return None
         both = have[low : high + 1] & have[total - high : total - low + 1][::-1]
-        if 2 * low == total and left[low] < 2:
+        if 2 * low == total and left[low] - (low == taken) < 2:
             both[0] = False
+        if taken and left[taken] < 2:
+            for x in (taken, total - taken):
+                if low <= x <= high:
+                    both[x - low] = False
         found = np.flatnonzero(both)
         return (low + int(found[-1]), total - low - int(found[-1])) if len(found) else None
 
@@ -148,10 +152,8 @@ def _exact(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
     for x in np.flatnonzero(have[: gap - 1])[::-1].tolist():
         if 3 * x < gap:
             break
-        if two := pair(gap - x, x):
-            need = max((x, *two).count(v) for v in two)
-            if need == 1 or all(left[v] >= (x, *two).count(v) for v in (x, *two)):
-                return x, *two
+        if two := pair(gap - x, x, x):
+            return x, *two
     return None
 
 
