@@ -84,6 +84,17 @@ def test_exact_dedup_repeated_rows_and_null_id(spark):
     assert got == [("0", 0, 4, True), ("1", 0, 4, False), ("1", 0, 4, False), ("None", 0, 4, False)]
 
 
+def test_dedup_stages_keep_rows_not_ids(spark):
+    rows = [(1, "a"), (1, "a"), (None, "x y"), (None, "xy"), (None, "q"), (0, "b"), (None, "b")]
+    kept = sorted((str(r.doc_id), r.text) for r in exact_dedup.keep_documents(frame(spark, rows)).collect())
+    assert kept == [("0", "b"), ("1", "a"), ("None", "q"), ("None", "x y")]
+    rng = random.Random(1)
+    one, two, three = (make(rng, 30) for _ in range(3))
+    rows = [(1, one), (1, one), (None, two), (None, two), (0, three), (1, three), (None, three), (2, ""), (2, "")]
+    kept = sorted((str(r.doc_id), r.text) for r in jaccard_join.one_of_each(frame(spark, rows)).collect())
+    assert kept == sorted([("1", one), ("None", two), ("0", three), ("2", "")])
+
+
 # line dedup ----------------------------------------------------------------------------------------------------------------
 
 

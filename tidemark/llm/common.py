@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on.
@@ -87,6 +87,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def one_row_each(docs: DataFrame, keep: DataFrame, order: list[Column]) -> DataFrame:
+    """Of the rows of docs whose doc_id and __key keep names, the first by order for each doc_id and __key; null doc_ids are equal."""
+    by = ["__none", "__id", "__key"]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("__none", F.col("doc_id").isNull()).withColumn("__id", F.coalesce("doc_id", F.lit(0)))
+
+    rows = keyed(docs).join(keyed(keep).select(by), by, "left_semi")
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(order))  # shares the join's shuffle
+    return rows.withColumn("__rank", rank).filter("__rank = 1").select([c for c in docs.columns if c != "__key"])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds about ``limit`` bytes of ``column`` (one longer text stays whole)."""
     for batch in batches:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, shared_dir, store
+from .common import drop_path, one_row_each, shared_dir, store
 
 #: Characters deleted before texts are compared: ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -101,6 +101,6 @@ def exact_dedup(docs: DataFrame, digest_chars: int = 64, batches: int = 2) -> Da
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__keep_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__keep_id")), "left_semi")
+    """One row of docs for each group of equal texts: the one that stays."""
+    kept = exact_dedup(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("__key"))
+    return one_row_each(docs.withColumn("__key", F.sha2(_norm(F.col("text")), 256)), kept, [F.char_length("text").desc(), F.col("text")])

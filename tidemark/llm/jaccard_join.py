@@ -31,8 +31,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, discard, partitions, release, shingle_sets, slices, small_batches, store, trim
+from .common import components, discard, one_row_each, partitions, release, shingle_sets, slices, small_batches, store, trim
 
 #: Coordinates of a point, at least; larger sets have twice as many until a coordinate counts SHARE shingles or fewer on average.
 GROUPS = 64
@@ -501,7 +502,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _with_node(docs: DataFrame) -> DataFrame:
+    """docs with __key: the node of the text, 0 where it has no shingles."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            key = pa.array([node_of(s) if len(s) else 0 for s in shingle_sets(batch.column("text"))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, key], [*batch.schema.names, "__key"])
+        trim()
+
+    return docs.mapInArrow(run, schema)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their component's."""
-    kept = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__keep_id")), "left_semi")
+    """One row of docs for each component, of its smallest doc_id; texts without shingles stay, equal ids once."""
+    own, nodes, found = links(docs)
+    roots = nodes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
+    least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("k")
+    kept = roots.groupBy("root").agg(least).select(F.col("k.rep").alias("doc_id"), F.col("k.node").alias("__key"))
+    empty = own.filter("node is null").select("doc_id", F.lit(0).cast("long").alias("__key"))
+    return one_row_each(_with_node(docs), kept.union(empty), [F.char_length("text").desc(), F.col("text")])
