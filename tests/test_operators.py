@@ -127,7 +127,7 @@ def test_order_fact(spark):
     assert set(got) == {"O-1", "O-2", "O-3"}
     a = got["O-1"]
     assert (a.accepted_at, a.accepted_dispatch_id, a.eta_minutes, a.order_status, a.dispatch_attempts, a.dispatch_rejections) == (at(2), "d3", 10, "delivered", 3, 1)
-    assert (a.actual_delivery_minutes, a.eta_error_minutes, a.minutes_to_first_dispatch) == (30.0, 18.0, 1.0)
+    assert (a.actual_delivery_minutes, a.eta_error_minutes, a.minutes_to_first_dispatch) == (28.0, 18.0, 1.0)
     assert got["O-2"].order_status == "cancelled" and got["O-3"].order_status == "incomplete" and got["O-3"].rejected_dispatch_count == 1
     assert [r.order_id for r in orders.orphans({"dispatch": sent}, created).collect()] == ["O-9"]
 

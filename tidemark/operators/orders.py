@@ -33,17 +33,19 @@ def order_fact(orders: DataFrame, cancellations: DataFrame, dispatches: DataFram
     for side in (d, v, c, r):
         wide = wide.join(side, "order_id", "left")
     status = F.when(F.col("delivered_at").isNotNull(), "delivered").when(F.col("cancelled_at").isNotNull(), "cancelled").otherwise("incomplete")
-    actual = minutes_between("ordered_at", "delivered_at")
+    actual = minutes_between("accepted_at", "delivered_at")  # null without an acceptance
+    blank = ["accepted_dispatch_id", "accepted_rider_id", "cancel_reason"]
     zero = ["dispatch_attempts", "dispatch_rejections", "rejected_event_count", "rejected_dispatch_count"]
     return wide.withColumns(
         {
             **{k: F.coalesce(k, F.lit(0)) for k in zero},
+            **{k: F.nullif(k, F.lit("")) for k in blank},
             "order_date": F.to_date("ordered_at"),
             "is_dispatch_accepted": F.col("accepted_at").isNotNull(),
             "order_status": status,
             "minutes_to_first_dispatch": minutes_between("ordered_at", "first_dispatch_at"),
             "actual_delivery_minutes": actual,
-            "eta_error_minutes": minutes_between("accepted_at", "delivered_at") - F.col("eta_minutes"),
+            "eta_error_minutes": actual - F.col("eta_minutes"),
         }
     )
 
@@ -59,11 +61,11 @@ def orphans(children: dict[str, DataFrame], parents: DataFrame, key: str = "orde
 
 
 def before_order(fact: DataFrame) -> DataFrame:
-    """Orders with a later step that precedes the order itself; comparisons with a missing time don't count."""
+    """Orders with a dispatch or a delivery that precedes the order itself; comparisons with a missing time don't count."""
     def late(c: str) -> Column:
         return F.col(c) < F.col("ordered_at")
 
-    return fact.filter(late("first_dispatch_at") | late("delivered_at") | late("cancelled_at"))
+    return fact.filter(late("first_dispatch_at") | late("delivered_at"))
 
 
 def delivered_without_acceptance(fact: DataFrame) -> DataFrame:

@@ -57,13 +57,16 @@ def gates(facts: DataFrame) -> DataFrame:
     """check_name, passed, observed, expected for the six checks of a day."""
     c = F.col
     share = F.coalesce(ratio("flagged", "score_rows"), F.lit(0.0))
+    def same(column: str, what: str, more: str = "") -> Column:
+        return F.concat(F.lit("= "), c(column).cast("string"), F.lit(f" ({what}){more}"))
+
     checks = [
-        ("sessions_present", c("session_rows") > 0, c("session_rows"), "at least 1"),
-        ("session_rows_unique", c("session_rows") == c("sessions"), c("session_rows") - c("sessions"), "0 repeated"),
-        ("daily_row_single", c("daily_rows") == 1, c("daily_rows"), "1"),
-        ("top_query_ranks_unique", (c("top_rows") == c("top_ranks")) & (c("top_rows") <= MAX_TOP), c("top_rows"), f"distinct ranks, at most {MAX_TOP}"),
-        ("abuse_covers_sessions", (c("scored") == c("sessions")) & (c("score_rows") == c("sessions")), c("scored"), "a score for each session"),
-        ("flagged_ratio_bounded", share <= MAX_FLAGGED, F.bround(share, 4), f"at most {MAX_FLAGGED}"),
+        ("sessions_present", c("session_rows") > 0, c("session_rows"), F.lit("> 0")),
+        ("session_rows_unique", c("session_rows") == c("sessions"), c("session_rows"), same("sessions", "distinct session_id")),
+        ("daily_row_single", c("daily_rows") == 1, c("daily_rows"), F.lit("= 1")),
+        ("top_query_ranks_unique", (c("top_rows") == c("top_ranks")) & (c("top_rows") <= MAX_TOP), c("top_rows"), same("top_ranks", "distinct rank", f", <= {MAX_TOP}")),
+        ("abuse_covers_sessions", (c("score_rows") == c("session_rows")) & (c("scored") == c("session_rows")), c("score_rows"), same("session_rows", "session_rows")),
+        ("flagged_ratio_bounded", share <= MAX_FLAGGED, F.bround(share, 4), F.lit(f"<= {MAX_FLAGGED}")),
     ]
-    rows = F.array(*(F.struct(F.lit(n).alias("check_name"), ok.alias("passed"), seen.cast("double").alias("observed"), F.lit(want).alias("expected")) for n, ok, seen, want in checks))
+    rows = F.array(*(F.struct(F.lit(n).alias("check_name"), ok.alias("passed"), seen.cast("double").alias("observed"), want.alias("expected")) for n, ok, seen, want in checks))
     return facts.select(F.inline(rows))

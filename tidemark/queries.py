@@ -85,7 +85,8 @@ def _truth(scores):
 
 
 def abuse_scores(spark, d):
-    return _scores(spark, d).select("session_id", "event_date", *(_r(k).alias(k) for k in abuse.WEIGHTS), _r("score", 4).alias("score"), F.col("is_abusive").cast("int").alias("is_abusive"), "threshold")
+    named = F.concat_ws(",", F.array_sort(F.transform("reasons", lambda r: F.split_part(r, F.lit("="), F.lit(1))))).alias("reasons")
+    return _scores(spark, d).select("session_id", "event_date", *(_r(k).alias(k) for k in abuse.WEIGHTS), _r("score", 4).alias("score"), F.col("is_abusive").cast("int").alias("is_abusive"), "threshold", named)
 
 
 def abuse_sweep(spark, d):
@@ -147,10 +148,10 @@ c AS (SELECT o_orderkey AS order_id, min(o_orderdate) + INTERVAL 1 DAY AS cancel
 r AS (SELECT l_orderkey AS order_id, count(DISTINCT concat_ws('-', l_partkey, l_suppkey)) AS rejected_event_count,
   count(DISTINCT CASE WHEN l_returnflag = 'R' THEN concat_ws('-', l_partkey, l_suppkey) END) AS rejected_dispatch_count FROM lineitem WHERE l_discount > 0.08 GROUP BY 1),
 fact AS (SELECT o.order_id, ordered_at, region_id, experiment_variant, coalesce(dispatch_attempts, 0) AS dispatch_attempts, coalesce(dispatch_rejections, 0) AS dispatch_rejections, first_dispatch_at, accepted_at,
-  accepted_dispatch_id, accepted_rider_id, eta_minutes, delivered_at, cancelled_at, CASE WHEN cancelled_at IS NOT NULL THEN 'customer_request' END AS cancel_reason,
+  nullif(accepted_dispatch_id, '') AS accepted_dispatch_id, nullif(accepted_rider_id, '') AS accepted_rider_id, eta_minutes, delivered_at, cancelled_at, CASE WHEN cancelled_at IS NOT NULL THEN 'customer_request' END AS cancel_reason,
   coalesce(rejected_event_count, 0) AS rejected_event_count, coalesce(rejected_dispatch_count, 0) AS rejected_dispatch_count, CAST(ordered_at AS DATE) AS order_date, accepted_at IS NOT NULL AS is_dispatch_accepted,
   CASE WHEN delivered_at IS NOT NULL THEN 'delivered' WHEN cancelled_at IS NOT NULL THEN 'cancelled' ELSE 'incomplete' END AS order_status,
-  (epoch(first_dispatch_at) - epoch(ordered_at)) / 60.0 AS minutes_to_first_dispatch, (epoch(delivered_at) - epoch(ordered_at)) / 60.0 AS actual_delivery_minutes,
+  (epoch(first_dispatch_at) - epoch(ordered_at)) / 60.0 AS minutes_to_first_dispatch, (epoch(delivered_at) - epoch(accepted_at)) / 60.0 AS actual_delivery_minutes,
   (epoch(delivered_at) - epoch(accepted_at)) / 60.0 - eta_minutes AS eta_error_minutes
   FROM o LEFT JOIN d USING (order_id) LEFT JOIN v USING (order_id) LEFT JOIN c USING (order_id) LEFT JOIN r USING (order_id))"""
 
@@ -233,7 +234,7 @@ def _day_marts(spark, d):
 
 
 def quality_gates(spark, d):
-    return quality.gates(quality.day_facts(*_day_marts(spark, d))).select("check_name", F.col("passed").cast("int").alias("passed"), "observed")
+    return quality.gates(quality.day_facts(*_day_marts(spark, d))).select("check_name", F.col("passed").cast("int").alias("passed"), "observed", "expected")
 
 
 def data_tests(spark, d):
@@ -408,13 +409,14 @@ is_dispatch_accepted, order_status, {", ".join(f"{_STAMP.format(c)} AS {c}" for
     "exact_distinct_if": "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT CASE WHEN l_quantity > 25 THEN l_suppkey END) AS large_suppliers FROM lineitem GROUP BY 1",
     "orphan_children": "SELECT source, count(*) AS rows, count(DISTINCT k) AS keys FROM (SELECT 'lineitem' AS source, l_partkey AS k FROM lineitem UNION ALL SELECT 'orders', o_custkey FROM orders) WHERE k NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1",
     "orders_without_children": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
-    "events_before_order": f"WITH {FACT} SELECT order_id, order_status FROM fact WHERE first_dispatch_at < ordered_at OR delivered_at < ordered_at OR cancelled_at < ordered_at",
+    "events_before_order": f"WITH {FACT} SELECT order_id, order_status FROM fact WHERE first_dispatch_at < ordered_at OR delivered_at < ordered_at",
     "delivered_without_accept": f"WITH {FACT} SELECT order_id FROM fact WHERE order_status = 'delivered' AND NOT is_dispatch_accepted",
     "population_stats": f"WITH {POP} SELECT round(center, 6) AS center, round(scale, 6) AS scale FROM pop",
     "population_stats_by_date": f"""WITH {SESS}, rates AS (SELECT event_date, qpm FROM f WHERE queries >= 5 AND qpm IS NOT NULL), med AS (SELECT event_date, median(qpm) AS m, stddev_pop(qpm) AS sd, count(*) AS n FROM rates GROUP BY 1),
 mad AS (SELECT event_date, any_value(m) AS m, any_value(sd) AS sd, any_value(n) AS n, median(abs(qpm - m)) * 1.4826 AS mad FROM rates JOIN med USING (event_date) GROUP BY 1)
 SELECT event_date, round(CASE WHEN n >= 2 THEN m ELSE 0.0 END, 6) AS center, round(CASE WHEN n >= 2 THEN CASE WHEN mad > 0 THEN mad ELSE sd END ELSE 0.0 END, 6) AS scale FROM mad""",
-    "abuse_scores": f"WITH {SCORE} SELECT session_id, event_date, round(speed, 6) AS speed, round(regularity, 6) AS regularity, round(monotony, 6) AS monotony, round(disinterest, 6) AS disinterest, score, CAST(score >= 0.5 AS INT) AS is_abusive, 0.5::DOUBLE AS threshold FROM sc",
+    "abuse_scores": f"""WITH {SCORE} SELECT session_id, event_date, round(speed, 6) AS speed, round(regularity, 6) AS regularity, round(monotony, 6) AS monotony, round(disinterest, 6) AS disinterest, score, CAST(score >= 0.5 AS INT) AS is_abusive, 0.5::DOUBLE AS threshold,
+CASE WHEN gate THEN concat_ws(',', CASE WHEN disinterest > 0.5 THEN 'disinterest' END, CASE WHEN monotony > 0.5 THEN 'monotony' END, CASE WHEN regularity > 0.5 THEN 'regularity' END, CASE WHEN speed > 0.5 THEN 'speed' END) ELSE 'too_few_queries' END AS reasons FROM sc""",
     "abuse_reasons_count": f"""WITH {SCORE}, r AS (SELECT unnest(list_filter([CASE WHEN speed > 0.5 THEN 'speed' END, CASE WHEN regularity > 0.5 THEN 'regularity' END, CASE WHEN monotony > 0.5 THEN 'monotony' END, CASE WHEN disinterest > 0.5 THEN 'disinterest' END], lambda x: x IS NOT NULL)) AS reason FROM sc WHERE gate AND score >= 0.2)
 SELECT reason, count(*) AS sessions FROM r GROUP BY 1""",
     "abuse_threshold_sweep": f"""WITH {SCORE}, th AS (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in abuse.SWEEP)}]) AS threshold), m AS (SELECT threshold, score >= threshold AS hit, CAST(session_id AS BIGINT) % 7 = 0 AS t FROM sc, th),
@@ -431,11 +433,17 @@ code AS reason_code, field, md5(raw) AS raw_md5 FROM viol v JOIN kinds k ON v.n
     "ingest_counters": f"WITH {RAW} SELECT (SELECT count(*) FROM raws) AS consumed, (SELECT count(*) FROM raws) - count(DISTINCT n) AS accepted, count(DISTINCT n) AS rejected FROM viol",
     "dlq_order_id_extract": "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 'O-' || user_id END AS order_id FROM events",
     "quality_gates": f"""WITH {SCORE.replace("FROM started WHERE", f"FROM started WHERE session_date = {_D} AND").replace("FROM ev WHERE event_type = 'SearchResultClick' GROUP BY session_id", f"FROM started WHERE session_date = {_D} AND event_type = 'SearchResultClick' GROUP BY session_id")},
-de AS (SELECT * FROM ev WHERE event_date = {_D}), tops AS (SELECT least(20, count(DISTINCT query)) AS n FROM de WHERE event_type = 'SearchQuery'),
-facts AS (SELECT (SELECT count(*) FROM sc) AS sessions, (SELECT count(DISTINCT event_date) FROM de) AS days, (SELECT n FROM tops) AS tops, (SELECT coalesce(avg(CAST(score >= 0.5 AS INT)), 0) FROM sc) AS share)
-SELECT 'sessions_present' AS check_name, CAST(sessions > 0 AS INT) AS passed, sessions::DOUBLE AS observed FROM facts UNION ALL SELECT 'session_rows_unique', 1, 0.0 FROM facts
-UNION ALL SELECT 'daily_row_single', CAST(days = 1 AS INT), days::DOUBLE FROM facts UNION ALL SELECT 'top_query_ranks_unique', 1, tops::DOUBLE FROM facts
-UNION ALL SELECT 'abuse_covers_sessions', 1, sessions::DOUBLE FROM facts UNION ALL SELECT 'flagged_ratio_bounded', CAST(share <= 0.2 AS INT), round_even(share, 4)::DOUBLE FROM facts""",
+de AS (SELECT * FROM ev WHERE event_date = {_D}), dq AS (SELECT query, count(*) AS n FROM de WHERE event_type = 'SearchQuery' GROUP BY 1),
+top AS (SELECT rank FROM (SELECT row_number() OVER (ORDER BY n DESC, query) AS rank FROM dq) WHERE rank <= 20),
+m AS (SELECT (SELECT count(*) FROM f) AS session_rows, (SELECT count(DISTINCT session_id) FROM f) AS session_keys, (SELECT count(DISTINCT event_date) FROM de) AS daily_rows, (SELECT count(*) FROM top) AS top_rows,
+  (SELECT count(DISTINCT rank) FROM top) AS top_ranks, (SELECT count(*) FROM sc) AS abuse_rows, (SELECT count(DISTINCT session_id) FROM sc) AS abuse_keys, (SELECT count(*) FILTER (score >= 0.5) FROM sc) AS flagged),
+n AS (SELECT *, CASE WHEN abuse_rows > 0 THEN flagged::DOUBLE / abuse_rows ELSE 0.0 END AS share FROM m)
+SELECT 'sessions_present' AS check_name, CAST(session_rows > 0 AS INT) AS passed, session_rows::DOUBLE AS observed, '> 0' AS expected FROM n
+UNION ALL SELECT 'session_rows_unique', CAST(session_rows = session_keys AS INT), session_rows, '= ' || session_keys || ' (distinct session_id)' FROM n
+UNION ALL SELECT 'daily_row_single', CAST(daily_rows = 1 AS INT), daily_rows, '= 1' FROM n
+UNION ALL SELECT 'top_query_ranks_unique', CAST(top_rows = top_ranks AND top_rows <= 20 AS INT), top_rows, '= ' || top_ranks || ' (distinct rank), <= 20' FROM n
+UNION ALL SELECT 'abuse_covers_sessions', CAST(abuse_rows = session_rows AND session_rows = abuse_keys AS INT), abuse_rows, '= ' || session_rows || ' (session_rows)' FROM n
+UNION ALL SELECT 'flagged_ratio_bounded', CAST(share <= 0.2 AS INT), round_even(share, 4)::DOUBLE, '<= 0.2' FROM n""",
     "data_tests": """SELECT 'order_key_unique' AS test, 'error' AS severity, (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS failures
 UNION ALL SELECT 'line_unique', 'warn', (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))
 UNION ALL SELECT 'event_value_not_null', 'error', (SELECT count(*) FROM events WHERE value IS NULL)
@@ -443,7 +451,7 @@ UNION ALL SELECT 'status_accepted', 'error', (SELECT count(DISTINCT o_orderstatu
 UNION ALL SELECT 'quantity_range', 'warn', (SELECT count(*) FROM lineitem WHERE l_quantity < 1 OR l_quantity > 45)
 UNION ALL SELECT 'discount_range_exclusive', 'warn', (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R' AND (l_discount <= 0 OR l_discount >= 0.1))""",
     "singular_tests": f"""WITH {FACT} SELECT 'delivered_without_acceptance' AS test, 'warn' AS severity, (SELECT count(*) FROM fact WHERE order_status = 'delivered' AND NOT is_dispatch_accepted) AS failures
-UNION ALL SELECT 'step_before_order', 'error', (SELECT count(*) FROM fact WHERE first_dispatch_at < ordered_at OR delivered_at < ordered_at OR cancelled_at < ordered_at)
+UNION ALL SELECT 'step_before_order', 'error', (SELECT count(*) FROM fact WHERE first_dispatch_at < ordered_at OR delivered_at < ordered_at)
 UNION ALL SELECT 'orphans', 'warn', (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))""",
     "ingest_lag": "SELECT o_orderpriority, min(g) AS min_lag, max(g) AS max_lag, count(*) FILTER (g < 0) AS early, count(*) AS rows FROM (SELECT o_orderpriority, (epoch_ms(l_shipdate) - epoch_ms(o_orderdate)) / 1000.0 AS g FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1",
     "truth_set_operations": """WITH a AS (SELECT user_id FROM events WHERE event_type = 'purchase'), b AS (SELECT user_id FROM events WHERE event_type = 'error' AND value > 50)
