@@ -17,9 +17,12 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from unicodedata import category, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +30,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, split_words, store, trim
+from .common import partitions, slices, split_words, store, task
 
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a task keeps, in each of two generations.
 WORD_CACHE = 100_000
 _MARK = "<|startoftext|>"
-_SIGNS = r"([\p{L}\p{N}])([!-&(-/:-@\[-`{-~])"
+#: Words that are tokenised in one string, and strings at once.
+_JOINED, _AT_ONCE = 64, 64
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -44,6 +48,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(1)
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel parts; more threads would keep a heap each
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(1)
+def _signs() -> str:
+    """A letter or digit before an ASCII sign, where the tokenizer splits: without the letters that end with a mark once they are composed
+    (NFC) and lower-cased, such as U+0130, as a mark belongs to the sign after it."""
+    loose = [c for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)]) if category((normalize("NFC", c).lower() or c)[-1])[0] not in "LN" and category(c)[0] in "LN"]
+    return r"([^\P{L}%s]|\p{N})([!-&(-/:-@\[-`{-~])" % "".join(f"\\x{{{ord(c):x}}}" for c in loose)
+
+
 class WordTokens:
     """Ids of texts by way of their distinct words.
 
@@ -52,9 +72,7 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
         self.mark_id = self.tokenizer.token_to_id(_MARK)
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -68,12 +86,14 @@ class WordTokens:
                     known[w] = before[w]
                 else:
                     new.append(w)
-        groups = [new[i : i + 64] for i in range(0, len(new), 64)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([_MARK.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            raw, cut = ids.tobytes(), np.flatnonzero(ids == self.mark_id).tolist()
-            for w, a, b in zip(group, [-1, *cut], [*cut, len(ids)], strict=True):
-                known[w] = raw[4 * a + 4 : 4 * b]
+        groups = [new[i : i + _JOINED] for i in range(0, len(new), _JOINED)]
+        for at in range(0, len(groups), _AT_ONCE):
+            some = groups[at : at + _AT_ONCE]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([_MARK.join(g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                raw, cut = ids.tobytes(), np.flatnonzero(ids == self.mark_id).tolist()
+                for w, a, b in zip(group, [-1, *cut], [*cut, len(ids)], strict=True):
+                    known[w] = raw[4 * a + 4 : 4 * b]
         out = [known[w] for w in words]
         if len(known) > WORD_CACHE:  # two generations: what is used moves on, the rest goes
             self.before, self.known = known, {}
@@ -84,7 +104,7 @@ class WordTokens:
         texts = pc.fill_null(texts, "")
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
-        offsets, codes, words = split_words(pc.replace_substring_regex(plain, _SIGNS, r"\1 \2"))
+        offsets, codes, words = split_words(pc.replace_substring_regex(plain, _signs(), r"\1 \2"))
         table = self._words(words.to_pylist())
         flat = np.frombuffer(b"".join(table), "<u4")
         lengths = np.fromiter((len(x) >> 2 for x in table), np.int64, len(table))
@@ -105,6 +125,7 @@ class WordTokens:
 
 
 def pieces(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokens(tokenizer)
         row = 0
@@ -119,40 +140,35 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
                     out.append((doc, row, k, s - a, e - s, zlib.crc32(raw[4 * s : 4 * e])))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "row", "piece", "start", "length", "ids_crc32"])
-        del words
-        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
+def _pair(left: np.ndarray, total: int, most: int) -> tuple[int, int] | None:
+    """Available x >= y with x <= most and x + y = total, x as large as possible."""
+    low, high = (total + 1) // 2, min(most, total - 1)
+    if high < low:
+        return None
+    both = (left[low : high + 1] > 0) & (left[total - high : total - low + 1][::-1] > 0)
+    if 2 * low == total:
+        both[0] = left[low] > 1
+    found = np.flatnonzero(both)
+    return (low + int(found[-1]), total - low - int(found[-1])) if len(found) else None
+
+
 def _exact(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to gap, larger ones first."""
+    """One, two or three available lengths that sum to gap, larger ones first; None if there are none."""
     if left[gap]:
         return (gap,)
-    have = left[: gap + 1] > 0
-
-    def pair(total: int, most: int, taken: int = 0) -> tuple[int, int] | None:
-        """x >= y, x <= most, x + y = total, of what is available beside one piece of length taken."""
-        low = (total + 1) // 2
-        high = min(most, total - 1)
-        if high < low:
-            return None
-        both = have[low : high + 1] & have[total - high : total - low + 1][::-1]
-        if 2 * low == total and left[low] - (low == taken) < 2:
-            both[0] = False
-        if taken and left[taken] < 2:
-            for x in (taken, total - taken):
-                if low <= x <= high:
-                    both[x - low] = False
-        found = np.flatnonzero(both)
-        return (low + int(found[-1]), total - low - int(found[-1])) if len(found) else None
-
-    if two := pair(gap, gap - 1):
+    if two := _pair(left, gap, gap - 1):
         return two
-    for x in np.flatnonzero(have[: gap - 1])[::-1].tolist():
+    for x in np.flatnonzero(left[: gap - 1])[::-1].tolist():
         if 3 * x < gap:
             break
-        if two := pair(gap - x, x, x):
+        left[x] -= 1  # the pair is looked for beside this piece
+        two = _pair(left, gap - x, x)
+        left[x] += 1
+        if two:
             return x, *two
     return None
 
@@ -223,6 +239,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     runs_by = {x: np.array(r, np.int64) for x, r in by_length.items()}
     held = spark.sparkContext.broadcast(runs_by)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         for batch in batches:
