@@ -1,106 +1,147 @@
 """Exact dedup as a stream with disk-backed keyed state.
 
-Documents are reduced to (digest, code points, stable id, content locator) and read as a stream. State is keyed by the SHA-256 of
-the normalised text, kept in RocksDB without expiry, and holds the count, the id and the locator of the row that stays. The update
-mode is combined before the shuffle, so that a digest with very many rows sends one row per task. After the stream, every hit's full
-normalised bytes are held against those of the row that stays; if a digest was shared by different bytes, its rows are grouped by bytes.
+Each row gets a content locator, the file and the row in it where its text is found. Rows are reduced to (digest, code points, doc_id,
+locator) and read as a stream. State is keyed by the SHA-256 of the normalised text, kept in RocksDB without expiry, and holds the count,
+the stable id and the locator of the row that stays. The update mode is combined before the shuffle, so that a digest with very many
+rows sends one row per task. Every hit's full normalised bytes, found by its locator, are then held against those of the row that stays;
+if a digest was shared by different bytes, its rows are grouped by bytes.
+
+With a ``state`` folder the rows, the stream's checkpoint and its state outlive the call, and the next call's documents are judged
+together with all earlier ones, whose texts are read by their locators only where a hit needs them.
 
 Defined cases: null text counts as empty, and all empty texts are equal; of equal texts the one with the most code points in the
-original stays, then the smallest doc_id; a null doc_id comes last; a repeated row counts in group_size and gives a row each time;
-an empty table gives no rows; other columns are neither read nor returned.
+original stays, then the smallest doc_id, then the greatest locator; a null doc_id comes last; a repeated row counts in group_size and
+gives a row each time, one of which is kept; rows with other texts may share a doc_id; an empty table gives no rows; other columns are
+neither read nor returned, and their names may clash with none of the results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, one_row_each, shared_dir, store
+from .common import discard, drop_path, fresh, located, release, shared_dir, store
 
 #: Characters deleted before texts are compared: ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Small stores on each executor share one bounded cache and are closed soon after a batch.
+STREAM = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 #: A keeper's text is copied once for so many hits.
 HITS_PER_COPY = 512
+ROWS = "doc_id long, n_points long, sha256 string, digest string, locator string"
+STATE = "digest string, group_size long, keep struct<n_points:bigint,rev_id:bigint,locator:string>"
 
 
-def _norm(text):
+def _norm(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
 def digest_rows(docs: DataFrame, digest_chars: int = 64) -> DataFrame:
+    """ROWS of docs (doc_id, text, locator)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id",
-        F.sha2(_norm(F.col("text")), 256).alias("sha256"),
-        F.char_length(text).cast("long").alias("n_points"),
-        F.input_file_name().alias("locator"),
-    ).withColumn("digest", F.substring("sha256", 1, digest_chars))
+    sha = F.sha2(_norm(F.col("text")), 256)
+    return docs.select("doc_id", F.char_length(text).cast("long").alias("n_points"), sha.alias("sha256"), "locator").select("doc_id", "n_points", "sha256", F.substring("sha256", 1, digest_chars).alias("digest"), "locator")
 
 
-def _keep():
+def _keep() -> Column:
     return F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("rev_id"), "locator")).alias("keep")
 
 
-def stream_state(rows_path: str, spark: SparkSession, schema, batches: int = 2) -> DataFrame:
-    """Run the digest rows in rows_path through the stateful stream; the last state of each digest: digest, group_size, keep."""
+def stream_state(spark: SparkSession, folder: str, batches: int = 2) -> DataFrame:
+    """Run the digest rows in folder/rows that the stream hasn't seen through it; the last state of each digest (STATE)."""
     session = spark.newSession()
     for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         session.conf.set(k, spark.conf.get(k))
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores need no room in advance
-    files = len(spark.read.schema(schema).parquet(rows_path).inputFiles())
-    out, ckpt = shared_dir(spark, "dedup-state"), shared_dir(spark, "dedup-ckpt")
-    stream = session.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(rows_path)
+    for k, v in STREAM.items():
+        session.conf.set(k, v)
+    files = len(spark.read.schema(ROWS).option("recursiveFileLookup", "true").parquet(f"{folder}/rows").inputFiles())
+    stream = session.readStream.schema(ROWS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(f"{folder}/rows")
     state = stream.groupBy("digest").agg(F.count("*").alias("group_size"), _keep())
 
     def sink(df: DataFrame, batch: int) -> None:  # a repeated batch overwrites its own folder
-        df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        df.write.mode("overwrite").parquet(f"{folder}/updates/batch={batch}")
 
-    query = state.writeStream.outputMode("update").option("checkpointLocation", ckpt).foreachBatch(sink).trigger(availableNow=True).start()
+    query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(sink).trigger(availableNow=True).start()
     query.awaitTermination()
-    drop_path(spark, ckpt)
-    kind = "digest string, group_size long, keep struct<n_points:bigint,rev_id:bigint,locator:string>"
     if not files:
-        return spark.createDataFrame([], kind)
-    seen = spark.read.schema(kind).option("recursiveFileLookup", "true").parquet(out)
+        return spark.createDataFrame([], STATE)
+    seen = spark.read.schema(STATE).option("recursiveFileLookup", "true").parquet(f"{folder}/updates")
     last = seen.groupBy("digest").agg(F.max(F.struct("group_size", "keep")).alias("s"))
     return last.select("digest", "s.group_size", "s.keep")
 
 
-def exact_dedup(docs: DataFrame, digest_chars: int = 64, batches: int = 2) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, locator of the row that stays; one row per row of docs."""
+def _elsewhere(spark: SparkSession, wanted: DataFrame) -> DataFrame:
+    """text, locator of the rows that locators of files of earlier calls name."""
+    files = [r.f for r in wanted.select(F.substring_index("locator", "#", 1).alias("f")).distinct().collect()]  # names of files
+    if not files:
+        return spark.createDataFrame([], "text string, locator string")
+    return located(spark.read.parquet(*files), "locator", "text")[0].join(wanted.select("locator"), "locator", "left_semi").select("text", "locator")
+
+
+def _result(rows: DataFrame) -> DataFrame:
+    """The columns of the result of rows (doc_id, sha256, locator, group_size, keep)."""
+    same = F.col("locator") == F.col("keep.locator")
+    return rows.select("doc_id", F.bitwise_not("keep.rev_id").alias("keep_id"), "group_size", same.alias("kept"), F.col("sha256").alias("text_sha256"), F.col("keep.locator").alias("keep_locator"), "locator")
+
+
+def exact_dedup(docs: DataFrame, digest_chars: int = 64, batches: int = 2, state: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, keep_locator, locator; one row per row of docs."""
     spark = docs.sparkSession
-    path = shared_dir(spark, "dedup-rows")
-    rows = digest_rows(docs, digest_chars)
-    rows.write.parquet(path)
-    schema = rows.schema
-    rows = spark.read.schema(schema).parquet(path)
-    state = store(stream_state(path, spark, schema, batches), "dedup-last")
-    wide = rows.join(state, "digest").select(
-        "doc_id", "digest", "n_points", "sha256", "group_size", F.bitwise_not("keep.rev_id").alias("keep_id"), F.col("keep.locator").alias("keep_locator")
-    )
-    hits = wide.filter("group_size > 1").select(F.col("doc_id").alias("hit_id"), "digest", "group_size", "keep_id")
+    folder = state or shared_dir(spark, "dedup")
+    docs, written = located(docs, "locator", "doc_id", "text")
+    part = shared_dir(spark, "part").rpartition("/")[2]
+    digest_rows(docs, digest_chars).write.parquet(f"{folder}/rows/{part}")
+    rows = spark.read.schema(ROWS).parquet(f"{folder}/rows/{part}")
+    last = store(stream_state(spark, folder, batches), "dedup-state")
+    wide = store(rows.join(last, "digest"), "dedup-wide")
     # full bytes of each hit against those of the row that stays; a large group's keeper is copied for each few hundred hits
-    texts = docs.select(F.col("doc_id").alias("hit_id"), _norm(F.col("text")).alias("norm")).join(hits.distinct(), "hit_id")
+    hits = wide.filter("group_size > 1").select("locator", "digest", "group_size", F.col("keep.locator").alias("keep_locator"))
+    found = docs.select("text", "locator").join(hits.select("locator"), "locator", "left_semi")
+    if state:
+        before = hits.select(F.col("keep_locator").alias("locator")).distinct().join(hits.select("locator"), "locator", "left_anti")
+        found = found.unionByName(_elsewhere(spark, store(before, "before")))
+    texts = store(found.select("locator", _norm(F.col("text")).alias("norm")), "dedup-hits")
+    release(spark)
     copies = F.greatest(F.lit(1), F.ceil(F.col("group_size") / HITS_PER_COPY)).cast("int")
-    keepers = texts.filter("hit_id = keep_id").select("digest", F.col("norm").alias("keep_norm"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
-    others = texts.filter("hit_id <> keep_id").withColumn("copy", F.pmod(F.xxhash64("hit_id"), copies).cast("int"))
+    kept = hits.select("digest", "group_size", F.col("keep_locator").alias("locator")).distinct().join(texts, "locator")
+    keepers = kept.select("digest", F.col("norm").alias("keep_norm"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    others = hits.filter("locator <> keep_locator").join(texts, "locator").select("digest", "norm", F.pmod(F.xxhash64("locator"), copies).cast("int").alias("copy"))
     clash = store(others.join(keepers, ["digest", "copy"]).filter("norm <> keep_norm").select("digest").distinct(), "dedup-clash")
-    out = wide.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha256").alias("text_sha256"), "keep_locator", "digest")
-    if clash.isEmpty():
-        return out.drop("digest")
-    again = wide.join(clash, "digest", "left_semi").select("doc_id", "n_points", "sha256", F.col("keep_locator").alias("locator"))
-    again = again.join(docs.select("doc_id", _norm(F.col("text")).alias("norm")).distinct(), "doc_id")
-    groups = again.groupBy("norm").agg(F.count("*").alias("group_size"), _keep())
-    fixed = again.join(groups, "norm").select(
-        "doc_id", F.bitwise_not("keep.rev_id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.bitwise_not("keep.rev_id")).alias("kept"), F.col("sha256").alias("text_sha256"), F.col("keep.locator").alias("keep_locator")
-    )
-    return out.join(clash, "digest", "left_anti").drop("digest").unionByName(fixed)
+    out = _result(wide)
+    if not clash.isEmpty():
+        out = _result(wide.join(clash, "digest", "left_anti")).unionByName(_by_bytes(spark, docs, f"{folder}/rows", clash, wide))
+    out = store(out, "dedup-out")
+    discard(last, wide, texts, clash)
+    if not state:
+        drop_path(spark, folder)
+        if written is not None:
+            discard(written)
+    return out
+
+
+def _by_bytes(spark: SparkSession, docs: DataFrame, path: str, clash: DataFrame, wide: DataFrame) -> DataFrame:
+    """The result for the rows of docs whose digest different bytes share: all rows seen with these digests, grouped by their bytes."""
+    rows = spark.read.schema(ROWS).option("recursiveFileLookup", "true").parquet(path).join(clash, "digest", "left_semi")
+    own = rows.join(docs.select("locator", "text"), "locator")
+    other = rows.join(wide.select("locator"), "locator", "left_anti")
+    far = rows.join(_elsewhere(spark, store(other.select("locator"), "other")), "locator")
+    every = own.unionByName(far).withColumn("norm", _norm(F.col("text")))
+    groups = every.groupBy("norm").agg(F.count("*").alias("group_size"), _keep())
+    return _result(own.withColumn("norm", _norm(F.col("text"))).join(groups, "norm"))
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
     """One row of docs for each group of equal texts: the one that stays."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("__key"))
-    return one_row_each(docs.withColumn("__key", F.sha2(_norm(F.col("text")), 256)), kept, [F.char_length("text").desc(), F.col("text")])
+    at, gone = fresh(docs, "locator", "gone")
+    rows, _ = located(docs, at, *docs.columns)
+    dropped = exact_dedup(rows.select("doc_id", "text")).filter("NOT kept").select(F.col("locator").alias(gone))
+    return rows.join(dropped, F.col(at) == F.col(gone), "left_anti").select(*docs.columns)

@@ -10,7 +10,7 @@ QUERIES = {
     "op2_decontamination": lambda spark, d: decontam.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op3_warc_salvage": lambda spark, d: warc.round_trip(table(spark, d, "pages")),
     "op4_url_filter": lambda spark, d: url_filter.judge_urls(table(spark, d, "pages")),
-    "op5_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")).drop("keep_locator"),
+    "op5_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")).drop("keep_locator", "locator"),
     "op6_suffix_dedup": lambda spark, d: suffix_dedup.remove_repeats(table(spark, d, "documents")),
     "op7_best_fit_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op8_jaccard_join": lambda spark, d: jaccard_join.jaccard_components(table(spark, d, "documents")),
