@@ -10,12 +10,16 @@ the sum of the smaller counts, coordinate by coordinate; for R-tree nodes the sa
    where several sets hold a shingle, neighbours by size become candidate pairs, a number linear in the holders.
 3. Candidate pairs that pass the bound are verified on whole sets, and links are joined to components.
 4. Only shingles whose holders are still in several components need more: their points go into an R-tree, joined with itself, that
-   gives up a pair of nodes when the bound is too small, when sizes differ too much, or when all below is one component. In the leaves
-   the bound is taken over 65,536 coordinates, where it is all but exact, and only as many pairs as join a group's parts leave the
-   task, at most one less than its holders. These are verified on whole sets; a group with a pair that fails gives all its pairs.
-   Holders of a very common shingle are dealt to pairs of blocks.
+   gives up a pair of nodes when the bound is too small, when sizes differ too much, or when all below is one component. A group sends
+   no pairs, but its members that may link with another component, and as many pairs of components as connect what may link.
+5. The components connected so are a family. The whole sets of a family's members meet once, in a second R-tree whose leaves verify the
+   surviving pairs, and only as many verified links as join the family's parts leave the task.
 
-So copies and near copies in a group of any size cost their chain of neighbours, and no link between different texts is lost.
+So copies and near copies in a group of any size cost their chain of neighbours, what leaves a task is linear in what enters it, and no
+link between different texts is lost. Groups are cut into blocks by the number of shingles that they hold, and blocks meet in pairs,
+but for two blocks of one component.
+
+Shingles are 64-bit hashes throughout, and equal sets are told by a 64-bit hash of them.
 
 Defined cases: null or empty texts have no shingles and link with nothing; fewer than five words make one shingle; repeated rows get
 a row each and share a component; a null doc_id takes part, and its own component is null when it is alone; an empty table gives no
@@ -29,17 +33,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import components, discard, one_row_each, partitions, release, shingle_sets, slices, small_batches, store, trim
+from .common import Union, components, discard, fresh, located, mix64, partitions, release, shingle_sets, slices, store, task, trim
 
 #: Coordinates of a point, at least; larger sets have twice as many until a coordinate counts SHARE shingles or fewer on average.
 GROUPS = 64
 SHARE = 4
-#: Holders of one shingle that one task joins.
-BLOCK = 4_096
+#: Shingles of the sets that one block of a group holds, about; a task joins two blocks.
+BLOCK = 1 << 20
+#: Shingles whose first ones go to one bucket, about.
+BUCKET = 1 << 21
 #: Words of the table of wanted documents (64 bits each): a fixed size, beyond which it only lets more documents pass.
 WANTED_WORDS = 1 << 20
 #: Entries of the table of frequent shingles; the rest count as rare, which changes the order but not the result.
@@ -56,20 +61,8 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def _short(s: np.ndarray) -> bytes:
-    """A set for verification: 40 bits of each shingle's hash, in order."""
-    return (s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _marks(s: np.ndarray) -> bytes:
-    """A set as a point of 65,536 coordinates, sparse: 16 bits of each shingle's hash, in order."""
-    return (s >> np.uint64(48)).astype("<u2").tobytes()
-
-
-def _long(items: bytes) -> np.ndarray:
-    out = np.zeros((len(items) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(items, np.uint8).reshape(-1, 5)
-    return out.view("<u8")[:, 0]
+def _items(s: np.ndarray) -> bytes:
+    return s.astype("<u8").tobytes()
 
 
 def node_of(s: np.ndarray) -> int:
@@ -92,8 +85,9 @@ def coarse(p: np.ndarray, groups: int) -> np.ndarray:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, node, n, point; kind 1: a shingle (node) frequent in a block of documents and its count there (n)."""
+    """kind 0: doc_id, locator, node, n, point; kind 1: a shingle (node) frequent in a block of documents and its count there (n)."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -102,15 +96,15 @@ def profile(docs: DataFrame) -> DataFrame:
             token, count = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
             m = count >= max(4, len(held) // 1000)
             k = int(m.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(token[m].view(np.int64)), pa.array(count[m].astype(np.int64)), pa.nulls(k, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.array(token[m].view(np.int64)), pa.array(count[m].astype(np.int64)), pa.nulls(k, pa.binary())], names)
 
-        names = ["kind", "doc_id", "node", "n", "point"]
+        names = ["kind", "doc_id", "locator", "node", "n", "point"]
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"))
             nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
             n = pa.array([len(s) for s in sets], pa.int64())
             points = pa.array([point(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column("doc_id"), nodes, n, points], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column("doc_id"), batch.column("locator"), nodes, n, points], names)
             held += sets
             size += sum(map(len, sets))
             if size > 2 << 20:
@@ -118,15 +112,14 @@ def profile(docs: DataFrame) -> DataFrame:
                 held, size = [], 0
                 trim()
         yield frequent()
-        del held
-        trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, node long, n long, point binary")
+    at = F.col("locator") if "locator" in docs.columns else F.lit(None).cast("string").alias("locator")
+    return docs.select("doc_id", "text", at).mapInArrow(run, "kind int, doc_id long, locator string, node long, n long, point binary")
 
 
 def _pack(tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, buckets: int) -> pa.RecordBatch:
     """A row for each bucket with all that goes there."""
-    bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    bucket = ((mix64(tokens) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # mixed, as of equally rare shingles the least hashes come first
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
     rows = [(b, *(x[order[cut[b] : cut[b + 1]]].tobytes() for x in (tokens, nodes, sizes))) for b in range(buckets) if cut[b] < cut[b + 1]]
@@ -138,6 +131,7 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets:
     """bucket, tokens, nodes, sizes: packed arrays of the first shingles of each distinct set."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, count = sent.value
         held: list[tuple[np.ndarray, int, int]] = []
@@ -173,8 +167,6 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets:
                 trim()
         if held:
             yield flush()
-        held = []
-        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, tokens binary, nodes binary, sizes binary")
 
@@ -217,13 +209,14 @@ def _bound(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose points allow enough overlap."""
     side = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"p_{c}")) for c in "ab"]
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
                 least = need(x.column("n_a").to_numpy(), x.column("n_b").to_numpy())
                 m = np.zeros(x.num_rows, bool)
                 for i, (p, q) in enumerate(zip(x.column("p_a"), x.column("p_b"), strict=True)):
-                    p, q = np.frombuffer(p.as_py(), "<u2"), np.frombuffer(q.as_py(), "<u2")
+                    p, q = (np.frombuffer(v.as_buffer(), "<u2") for v in (p, q))
                     g = min(len(p), len(q))
                     m[i] = np.minimum(coarse(p, g), coarse(q, g)).sum() >= least[i]
                 yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], ["a", "b"]).filter(pa.array(m))
@@ -235,7 +228,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, pack) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, items: the packed whole sets of the wanted nodes, from their documents only."""
     spark = docs.sparkSession
     hashed = wanted.join(nodes, "node").select(F.xxhash64("rep").alias("h"))
@@ -245,6 +238,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, pack) -> DataFra
     table[bits["word"].to_numpy()] = bits["bits"].to_numpy()
     sent = spark.sparkContext.broadcast(table)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value.view(np.uint64)
         for batch in slices(batches):
@@ -253,8 +247,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, pack) -> DataFra
             batch = batch.filter(pa.array(m.astype(bool)))
             if batch.num_rows:
                 sets = [s for s in shingle_sets(batch.column("text")) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([pack(s) for s in sets], pa.binary())], ["node", "items"])
-        trim()
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([_items(s) for s in sets], pa.binary())], ["node", "items"])
 
     found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "node long, items binary")
     return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
@@ -264,11 +257,12 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that link."""
     side = [sets.select(F.col("node").alias(c), F.col("items").alias(f"s_{c}")) for c in "ab"]
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             keep = []
             for p, q in zip(x.column("s_a"), x.column("s_b"), strict=True):
-                a, b = _long(p.as_py()), _long(q.as_py())
+                a, b = (np.frombuffer(x.as_buffer(), "<u8") for x in (p, q))
                 same = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * same >= 80 * (len(a) + len(b) - same))
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -277,19 +271,19 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 class RTree:
-    """Points packed into leaves of near ones, and nodes above that hold the largest coordinates and the range of sizes below."""
+    """Points packed into leaves of near ones, and nodes above that hold the largest coordinates and the range of sizes below.
+
+    twice: the sets with a point of twice as many coordinates, whose pairs among each other are another tree's.
+    """
 
-    def __init__(self, points: np.ndarray, n: np.ndarray, comp: np.ndarray, marks: list[np.ndarray] | None = None):
-        """marks: of each point, sorted fine coordinates, one for each shingle; with these the bound is all but exact in the leaves."""
+    def __init__(self, points: np.ndarray, n: np.ndarray, comp: np.ndarray, twice: np.ndarray | None = None):
         order = self._pack(points, np.lexsort((comp, n)))
         self.order, self.points, self.n, self.comp = order, points[order], n[order], comp[order]
-        self.keys = None if marks is None else [self._numbered(marks[i]) for i in order.tolist()]
-        self.wide: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.levels = []
+        self.twice = None if twice is None or not twice.any() else twice[order]
         lo = np.arange(0, len(order), _LEAF)
         hi = np.minimum(lo + _LEAF, len(order))
         stats = [np.maximum.reduceat(self.points, lo, axis=0), np.minimum.reduceat(self.n, lo), np.maximum.reduceat(self.n, lo), np.minimum.reduceat(self.comp, lo), np.maximum.reduceat(self.comp, lo)]
-        self.levels.append((lo, hi, *stats))
+        self.levels = [(lo, hi, *stats)]
         while len(lo) > 1:
             at = np.arange(0, len(lo), 8)
             end = np.minimum(at + 8, len(lo))
@@ -307,47 +301,13 @@ class RTree:
                 done.append(part)
                 continue
             x = points[part]
-            part = part[np.argsort(x[:, x.var(0).argmax()], kind="stable")]
+            part = part[np.argsort(x[:, x.var(0, dtype=np.float32).argmax()], kind="stable")]
             half = max(_LEAF, len(part) // 2 // _LEAF * _LEAF)
             todo += [part[half:], part[:half]]
         return np.concatenate(done)
 
-    @staticmethod
-    def _numbered(marks: np.ndarray) -> np.ndarray:
-        """Equal marks told apart by their number, so that shared keys count as the smaller of two counts."""
-        first = np.searchsorted(marks, marks, "left")
-        return marks.astype(np.int64) << 24 | (np.arange(len(marks)) - first)
-
-    def _shared(self, i: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The number of keys that the points a (leaf i) share with each of b: a product of two 0/1 matrices over the keys of a."""
-        if i not in self.wide:
-            if len(self.wide) > 16:
-                self.wide.clear()
-            keys = np.unique(np.concatenate([self.keys[k] for k in a.tolist()]))
-            self.wide[i] = keys, self._matrix(a, keys)
-        keys, left = self.wide[i]
-        return left @ self._matrix(b, keys).T
-
-    def _matrix(self, rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(rows), len(keys)), np.float32)
-        for r, k in enumerate(rows.tolist()):
-            at = np.minimum(np.searchsorted(keys, self.keys[k]), len(keys) - 1)
-            out[r, at[keys[at] == self.keys[k]]] = 1
-        return out
-
-    def join(self, spanning: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Places (in the arrays given) of pairs of different components that the bound lets through; spanning: only as many as join what
-        all of them would join."""
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        names, root = np.unique(self.comp, return_inverse=True)
-        parent = list(range(len(names)))
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
+    def leaves(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of leaves (ranges of places in packed order) that the bounds of the nodes above let through."""
         todo = [(len(self.levels) - 1, 0, 0)]
         while todo:
             level, i, j = todo.pop()
@@ -355,171 +315,202 @@ class RTree:
             if c0[i] == c1[i] == c0[j] == c1[j]:
                 continue
             small, large = (i, j) if most[i] <= most[j] else (j, i)
-            if 100 * most[small] < 80 * least[large] or np.minimum(p[i], p[j]).sum() < need(least[i], least[j]):
+            if 100 * most[small] < 80 * least[large] or np.minimum(p[i], p[j]).sum(dtype=np.int64) < need(least[i], least[j]):
                 continue
             if level:
                 todo += [(level - 1, a, b) for a in range(lo[i], hi[i]) for b in range(max(a, lo[j]) if i == j else lo[j], hi[j])]
-                continue
-            a, b = np.arange(lo[i], hi[i]), np.arange(lo[j], hi[j])
-            ra, rb = (np.array([find(x) for x in root[r].tolist()]) if spanning else root[r] for r in (a, b))
-            m = ra[:, None] != rb[None, :]
-            if i == j:
-                m = np.triu(m, 1)
+            else:
+                yield np.arange(lo[i], hi[i]), np.arange(lo[j], hi[j])
+
+    def allowed(self, a: np.ndarray, b: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The pairs of two leaves of different parts that the bound lets through."""
+        m = part[a][:, None] != part[b][None, :]
+        if a[0] == b[0]:
+            m = np.triu(m, 1)
+        if self.twice is not None:
+            m &= ~(self.twice[a][:, None] & self.twice[b][None, :])
+        for r in np.flatnonzero(m.any(1)).tolist():
+            m[r] &= np.minimum(self.points[a[r]][None, :], self.points[b]).sum(1, dtype=np.int64) >= need(self.n[a[r]], self.n[b])
+        return m
+
+
+def _trees(n: np.ndarray, comp: np.ndarray, point_of) -> Iterator[tuple[RTree, np.ndarray]]:
+    """A tree for each number of coordinates, over the sets that have so many or twice as many (linked sets differ by less), and their
+    places; point_of(place, coordinates)."""
+    grades = grade(n)
+    for g in np.unique(grades).tolist():
+        own = np.flatnonzero((grades == g) | (grades == g + 1))
+        if len(own) > 1:
+            points = np.stack([point_of(i, GROUPS << g) for i in own.tolist()])
+            yield RTree(points, n[own], comp[own], grades[own] > g), own
+
+
+MAYBE = "kind int, a long, b long"
+
+
+def _maybe(table: pa.Table) -> pa.Table:
+    """Of a shingle's holders: kind 1 those (a, of component b) that may link with another component; kind 0 pairs of components (a, b), as
+    many as connect those that may link."""
+    comp, points = table["comp"].to_numpy(), table["point"]
+    active, edges, union = np.zeros(len(comp), bool), [], Union()
+    for tree, own in _trees(table["n"].to_numpy(), comp, lambda i, k: coarse(np.frombuffer(points[i].as_buffer(), "<u2"), k).astype(np.uint32)):
+        for a, b in tree.leaves():
+            x, y = np.nonzero(tree.allowed(a, b, tree.comp))
+            if len(x):
+                x, y = a[x], b[y]
+                active[own[tree.order[x]]] = active[own[tree.order[y]]] = True
+                for u, v in set(zip(tree.comp[x].tolist(), tree.comp[y].tolist(), strict=True)):
+                    if union.join(u, v):
+                        edges.append((u, v))
+    u, v = (np.array(x, np.int64) for x in (zip(*edges, strict=True) if edges else ((), ())))
+    kind = np.repeat(np.array([0, 1], np.int32), [len(u), active.sum()])
+    return pa.table({"kind": pa.array(kind), "a": pa.array(np.concatenate([u, table["a"].to_numpy()[active]])), "b": pa.array(np.concatenate([v, comp[active]]))})
+
+
+def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of shingles that each of a shares with each of b: a product of two 0/1 matrices, a slice of shingles at a time."""
+    keys = np.unique(np.concatenate([sets[i] for i in a.tolist()]))
+    out = np.zeros((len(a), len(b)), np.float32)
+    for s in range(0, len(keys), 1 << 15):
+        some = keys[s : s + (1 << 15)]
+
+        def matrix(rows: np.ndarray, some=some) -> np.ndarray:
+            m = np.zeros((len(rows), len(some)), np.float32)
+            for r, i in enumerate(rows.tolist()):
+                own = sets[i][np.searchsorted(sets[i], some[0]) : np.searchsorted(sets[i], some[-1], "right")]
+                at = np.minimum(np.searchsorted(some, own), len(some) - 1)
+                m[r, at[some[at] == own]] = 1
+            return m
+
+        out += matrix(a) @ matrix(b).T
+    return out
+
+
+def _exact(table: pa.Table) -> pa.Table:
+    """Of a part of a family (a, n, comp, items) verified links (a, b), as many as join what all of them would join."""
+    trim()  # of the group before
+    node, comp, n = (table[c].to_numpy() for c in ("a", "comp", "n"))
+    sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table["items"]]
+    union, out = Union(), []
+
+    def point_of(i: int, groups: int) -> np.ndarray:
+        return np.bincount((sets[i] >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups).astype(np.uint32)
+
+    for tree, own in _trees(n, comp, point_of):
+        for a, b in tree.leaves():
+            part = np.zeros(len(own), np.int64)
+            both = np.union1d(a, b)
+            part[both] = [union.find(c) for c in tree.comp[both].tolist()]
+            m = tree.allowed(a, b, part)
             if not m.any():
                 continue
-            wanted = need(self.n[a][:, None], self.n[b][None, :])
-            m &= np.minimum(self.points[a][:, None, :], self.points[b][None, :, :]).sum(2, dtype=np.int64) >= wanted
-            if self.keys is not None and m.any():
-                m &= self._shared(i, a, b) >= wanted
-            x, y = np.nonzero(m)
-            if spanning:
-                keep = []
-                for k, (u, v) in enumerate(zip(root[a[x]].tolist(), root[b[y]].tolist(), strict=True)):
-                    u, v = find(u), find(v)
-                    if u != v:
-                        parent[u] = v
-                        keep.append(k)
-                x, y = x[keep], y[keep]
-            found.append((self.order[a[x]], self.order[b[y]]))
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-
-
-DEALT = "key long, pair int, a long, b long"
-
-
-def _tree_join(spanning: bool):
-    """Of a group's holders the pairs that the R-trees let through: one tree for each number of coordinates, of the sets that have so
-    many or twice as many (linked sets differ by less); a pair counts where the smaller number is the tree's."""
-
-    def run(table: pa.Table) -> pa.Table:
-        node, comp, n = table["a"].to_numpy(), table["comp"].to_numpy(), table["n"].to_numpy()
-        marks = [np.frombuffer(v.as_py(), "<u2") for v in table["items"]]
-        grades = grade(n)
-        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for g in np.unique(grades).tolist():
-            own = np.flatnonzero((grades == g) | (grades == g + 1))
-            if len(own) < 2:
-                continue
-            points = np.stack([np.bincount(marks[i] >> (10 - g), minlength=GROUPS << g) for i in own.tolist()])
-            # a spanning choice may hold pairs that only the next tree counts; then all pairs are looked at
-            mixed = spanning and (grades[own] != g).any()
-            x, y = RTree(points, n[own], comp[own], [marks[i] for i in own.tolist()]).join(spanning and not mixed)
-            x, y = own[x], own[y]
-            m = np.minimum(grades[x], grades[y]) == g
-            x, y = x[m], y[m]
-            if mixed:
-                x, y = _spanning(x, y, comp)
-            out_a.append(np.minimum(node[x], node[y]))
-            out_b.append(np.maximum(node[x], node[y]))
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        here = [pa.array(np.full(len(a), table[c][0].as_py()), t) for c, t in (("key", pa.int64()), ("pair", pa.int32()))]
-        return pa.table({"key": here[0], "pair": here[1], "a": pa.array(a), "b": pa.array(b)})
-
-    return run
-
-
-def _spanning(x: np.ndarray, y: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs of places only as many as join what all of them join."""
-    parent: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while parent.setdefault(v, v) != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
-
-    keep = []
-    for k, (u, v) in enumerate(zip(comp[x].tolist(), comp[y].tolist(), strict=True)):
-        u, v = find(u), find(v)
-        if u != v:
-            parent[u] = v
-            keep.append(k)
-    return x[keep], y[keep]
+            a, b = a[m.any(1)], b[m.any(0)]
+            m = m[m.any(1)][:, m.any(0)]
+            x, y = own[tree.order[a]], own[tree.order[b]]
+            same = _overlaps(sets, x, y)
+            m &= 100 * same >= 80 * (n[x][:, None] + n[y][None, :] - same)
+            for i, j in zip(*np.nonzero(m), strict=True):
+                if union.join(int(comp[x[i]]), int(comp[y[j]])):
+                    out.append((int(node[x[i]]), int(node[y[j]])))
+    a, b = (np.array(v, np.int64) for v in (zip(*out, strict=True) if out else ((), ())))
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def _dealt(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is stored for it, and members (group, a, n, comp) with pair: groups are cut into blocks of about BLOCK shingles, a row for each pair of blocks that a member
+    is in. Components over that size have blocks of their own, and two blocks of one component don't meet."""
+    c = F.col
+    per = store(members.groupBy("group", "comp").agg(F.sum("n").alias("own_size")), "sizes")
+    rest = store(per.groupBy("group").agg(F.coalesce(F.sum(F.when(c("own_size") <= BLOCK, c("own_size"))), F.lit(0)).alias("rest")), "rest")
+    large = c("own_size") > BLOCK
+
+    def number(size: str, by: str) -> Column:
+        return F.pmod(F.xxhash64(by), F.greatest(F.lit(1), F.ceil(c(size) / BLOCK)))
+
+    block = F.struct(large.alias("large"), F.when(large, c("comp")).otherwise(0).alias("comp"), F.when(large, number("own_size", "a")).otherwise(number("rest", "comp")).alias("number"))
+    placed = store(members.join(per, ["group", "comp"]).join(rest, "group").select("group", "a", "n", "comp", block.alias("block")), "placed")
+    one = placed.select("group", "block").distinct()
+    two = one.alias("x").join(one.alias("y"), "group").filter("x.block <= y.block AND NOT (x.block.large AND y.block.large AND x.block.comp = y.block.comp)")
+    pairs = two.select("group", F.col("x.block").alias("x"), F.col("y.block").alias("y")).withColumn("pair", F.xxhash64("x", "y"))
+    either = pairs.select("group", "pair", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    discard(per, rest)
+    return placed, placed.join(either, ["group", "block"]).select("group", "pair", "a", "n", "comp")
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profile of the documents, nodes, components of nodes that have a link)."""
-    with small_batches(docs.sparkSession):
-        return _links(docs)
-
-
-def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profile of the documents, nodes, components of nodes that have a link), all of them stored."""
     spark = docs.sparkSession
     facts = store(profile(docs), "profile")
     top = facts.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).toArrow()
     token, count = top["node"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(token)
     frequent = (token[order], np.minimum(count[order], 1 << 30).astype(np.int32))
-    own = facts.filter("kind = 0").drop("kind")
-    nodes = store(own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point")), "nodes")
-    buckets = max(1, partitions(spark))
+    nodes = store(facts.filter("kind = 0 AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point")), "nodes")
+    buckets = max(1, partitions(spark), -(-(nodes.agg(F.sum("n")).first()[0] or 0) // BUCKET))
     meet = store(prefixes(docs, frequent, buckets).groupBy("bucket").applyInArrow(_meet, MEET), "meet")
     release(spark)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        sets = store(_sets(docs, nodes, _ends(pairs), _short), "sets")
-        release(spark)
-        out = store(_verify(pairs, sets), "links")
-        discard(sets)
-        return out
-
     pairs = meet.filter("kind = 0").select("a", "b").distinct()
     near = store(_bound(pairs, nodes), "near")
-    sure = linked(near)
+    sets = store(_sets(docs, nodes, _ends(near)), "sets")
+    release(spark)
+    sure = store(_verify(near, sets), "links")
+    discard(sets, near)
     first = store(components(sure), "components")
     # shingles whose holders are in several components
-    holders = meet.filter("kind = 1").select("key", "a", "n").distinct().join(first.select(F.col("node").alias("a"), F.col("component").alias("comp")), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-    open_ = holders.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j))
-    dealt = store(holders.join(open_, "key").withColumn("pair", F.explode(pair)).select("key", "pair", "a", "n", "comp"), "dealt")
-    if dealt.isEmpty():
-        return own, nodes, first
-    marks = store(_sets(docs, nodes, dealt.select(F.col("a").alias("node")).distinct(), _marks), "marks")
-    groups = dealt.join(marks.withColumnRenamed("node", "a"), "a")
-    # what a group's trees let through is all but certain to link, so as many pairs as join it are enough; where one fails, all are tried
-    forest = store(groups.groupBy("key", "pair").applyInArrow(_tree_join(True), DEALT), "forest")
-    tried = forest.select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
-    late = linked(tried)
-    failed = store(forest.join(late, ["a", "b"], "left_anti").select("key", "pair").distinct(), "failed")
-    every = sure.union(late)
-    if not failed.isEmpty():
-        again = groups.join(failed, ["key", "pair"], "left_semi").groupBy("key", "pair").applyInArrow(_tree_join(False), DEALT)
-        again = again.select("a", "b").distinct().join(near.union(tried), ["a", "b"], "left_anti")
-        every = every.union(linked(store(again, "again")))
-    return own, nodes, store(components(every), "components")
+    known = first.select(F.col("node").alias("a"), F.col("component").alias("comp"))
+    holders = meet.filter("kind = 1").select(F.col("key").alias("group"), "a", "n").distinct().join(known, "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+    holders = store(holders, "holders")
+    open_ = holders.groupBy("group").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("group")
+    few = store(holders.join(open_, "group"), "open")
+    placed, dealt = _dealt(few)
+    maybe = store(dealt.join(nodes.select(F.col("node").alias("a"), "point"), "a").groupBy("group", "pair").applyInArrow(_maybe, MAYBE), "maybe")
+    discard(meet, holders, sure, few, placed)
+    active = maybe.filter("kind = 1").select("a", F.col("b").alias("comp")).distinct()
+    if active.isEmpty():
+        discard(maybe)
+        return facts, nodes, first
+    family = components(maybe.filter("kind = 0").select("a", "b")).select(F.col("node").alias("comp"), F.col("component").alias("group"))
+    active = store(active.join(family, "comp").join(nodes.select(F.col("node").alias("a"), "n"), "a").select("group", "a", "n", "comp"), "active")
+    sets = store(_sets(docs, nodes, active.select(F.col("a").alias("node"))), "sets")
+    release(spark)
+    placed, dealt = _dealt(active)
+    late = store(dealt.join(sets.withColumnRenamed("node", "a"), "a").groupBy("group", "pair").applyInArrow(_exact, "a long, b long"), "late")
+    discard(sets, maybe, placed)
+    # late links join components
+    named = active.select("a", "comp")
+    ends = late.join(named, "a").select("b", F.col("comp").alias("x")).join(named.withColumnsRenamed({"a": "b", "comp": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    second = store(components(ends), "joined")
+    moved = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    found = store(moved.union(second.join(first, "node", "left_anti").select("node", "component")), "components")
+    discard(first, second, active, late)
+    return facts, nodes, found
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
-    own, nodes, found = links(docs)
+    facts, nodes, found = links(docs)
     roots = nodes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
-    least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = store(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     by_node = roots.join(least, "root").select("node", "component_id")
-    out = own.join(by_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def _with_node(docs: DataFrame) -> DataFrame:
-    """docs with __key: the node of the text, 0 where it has no shingles."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            key = pa.array([node_of(s) if len(s) else 0 for s in shingle_sets(batch.column("text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, key], [*batch.schema.names, "__key"])
-        trim()
-
-    return docs.mapInArrow(run, schema)
+    out = facts.filter("kind = 0").join(by_node, "node", "left")
+    out = store(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "jaccard")
+    discard(facts, nodes, found, least)
+    return out
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, of its smallest doc_id; texts without shingles stay, equal ids once."""
-    own, nodes, found = links(docs)
-    roots = nodes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
-    least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("k")
-    kept = roots.groupBy("root").agg(least).select(F.col("k.rep").alias("doc_id"), F.col("k.node").alias("__key"))
-    empty = own.filter("node is null").select("doc_id", F.lit(0).cast("long").alias("__key"))
-    return one_row_each(_with_node(docs), kept.union(empty), [F.char_length("text").desc(), F.col("text")])
+    """One row of docs for each component, of its smallest doc_id (then of its longest set, then of the greatest locator); of texts without
+    shingles one for each doc_id. Rows are told apart by where they are found (see common.located), so repeated rows are dropped too."""
+    at, gone = fresh(docs, "locator", "gone")
+    rows, _ = located(docs, at, *docs.columns)
+    facts, nodes, found = links(rows.select("doc_id", "text", F.col(at).alias("locator")))
+    roots = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
+    own = facts.filter("kind = 0").join(roots, "node", "left")
+    # a text without shingles is its own group
+    group = [F.col("root").isNull().alias("empty"), F.coalesce("root", "doc_id").alias("group")]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", (-F.col("n")).alias("less"), "locator"))
+    named = own.select(*group, "doc_id", "n", "locator")
+    keep = store(named.groupBy("empty", "group").agg(least.alias("k")).select(F.col("k.locator").alias("keep")), "keep")
+    dropped = store(named.select(F.col("locator").alias(gone)).join(keep, F.col(gone) == F.col("keep"), "left_anti"), "dropped")
+    discard(facts, nodes, found, keep)
+    return rows.join(dropped, F.col(at) == F.col(gone), "left_anti").select(*docs.columns)
