@@ -1,6 +1,7 @@
 """Marts, daily runs, streaming ingest and readers."""
 
 import json
+import threading
 from pathlib import Path
 
 import pytest
@@ -130,4 +131,54 @@ def test_readers(spark, tmp_path):
 
 def test_messages_have_topic_and_key(spark):
     df = spark.createDataFrame([('{"event_type":"OrderCreated","order_id":"O-1"}',), ('{"event_type":"SearchQuery"}',), (" ",)], "value string")
-    assert sorted((r.topic, r.key) for r in kafka.messages(df).collect()) == [("order.events", "O-1"), ("search.events", None)]
+    assert sorted((r.topic, r.key) for r in kafka.messages(df).collect()) == [("orders.events", "O-1"), ("search.events", None)]
+
+
+def test_an_event_type_without_a_topic_is_an_error(spark):
+    with pytest.raises(Exception, match="unknown event_type: Other"):
+        kafka.messages(spark.createDataFrame([('{"event_type":"Other"}',)], "value string")).collect()
+
+
+def test_a_range_equals_its_days(spark, log, tmp_path):
+    days = ["2026-01-05", "2026-01-06"]
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    for d in days:
+        try:
+            daily.run_day(log, one, d, reach=1)
+        except daily.GateError:
+            assert d == days[1]
+    try:
+        got = daily.run_range(log, many, *days)
+    except daily.GateError:
+        got = None
+    assert snapshot(spark, one) == snapshot(spark, many) and (got is None or list(got) == days)
+    assert not Path(many, "_work").exists() and not Path(many, "_staging").exists()
+
+
+def test_stop_after_the_running_batch_and_throughput(spark, tmp_path):
+    lines, _ = synth.delivery_log(spark, 20)
+    src, root = str(tmp_path / "in"), str(tmp_path / "out")
+    lines.select("raw").repartition(4).write.text(src)
+    query = ingest.ingest(ingest.file_stream(spark, src, 1), root, str(tmp_path / "ck"))
+    stop = threading.Event()
+    stop.set()
+    assert ingest.run_to_end(query, stop)["seconds"] >= 0 and not query.isActive
+    rest = ingest.run_to_end(ingest.ingest(ingest.file_stream(spark, src, 1), root, str(tmp_path / "ck")))
+    assert rest["rows_per_second"] >= 0
+    assert sum(ingest.raw_table(spark, root, t).count() for t in ("raw_order_events", "raw_dispatch_events", "raw_delivery_events")) == contracts.check(lines.drop("event_id")).filter(F.size("violations") == 0).count()
+
+
+def test_coordinates_are_numbers_within_a_split(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"{k}\n" for k in range(5)))
+    (tmp_path / "b.txt").write_text("x\n\ny\n")
+    df = spark.read.text(str(tmp_path)).select(F.col("value").alias("raw"), F.col("_metadata.file_name").alias("topic"), F.col("_metadata.file_block_start").alias("partition"))
+    got = sorted((r.topic, r.raw, r.offset) for r in ingest.numbered(df).collect())
+    assert got == [("a.txt", str(k), k) for k in range(5)] + [("b.txt", "", 1), ("b.txt", "x", 0), ("b.txt", "y", 2)]
+
+
+def test_batch_files_and_catalog_views(spark, tmp_path):
+    lines, truth = synth.delivery_log(spark, 10)
+    marts.write_batch(lines, truth, str(tmp_path / "b"))
+    assert spark.read.text(str(tmp_path / "b")).count() == lines.count() and spark.read.json(str(tmp_path / "b.manifest")).count() == truth.count()
+    spark.range(3).write.parquet(str(tmp_path / "raw_x"))
+    assert marts.views(spark, str(tmp_path), "raw_x", "raw_y") == ["raw_x"] and spark.table("raw_x").count() == 3

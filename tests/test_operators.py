@@ -140,7 +140,7 @@ def gate_names(spark, **change):
 
 def test_gates(spark):
     assert gate_names(spark) == set()
-    assert gate_names(spark, session_rows=6000) == {"session_rows_unique"}
+    assert gate_names(spark, session_rows=6000) == {"session_rows_unique", "abuse_covers_sessions"}
     assert gate_names(spark, session_rows=6000, score_rows=6000) == {"session_rows_unique", "abuse_covers_sessions"}
     assert gate_names(spark, flagged=601) == {"flagged_ratio_bounded"} and gate_names(spark, top_ranks=19) == {"top_query_ranks_unique"}
     assert "sessions_present" in gate_names(spark, session_rows=0, sessions=0, score_rows=0, scored=0, flagged=0)
@@ -204,3 +204,30 @@ def test_mix_guards():
     for bad in (lambda: synth.Faults(late=0.9, invalid=0.2), lambda: synth.SearchMix(bots=1.2), lambda: synth.SensorMix({"spike": 0.9, "dropout": 0.2})):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_sensor_scoring(spark):
+    at = T0
+    found = spark.createDataFrame([("SH-1", at), ("SH-2", at), ("SH-3", at)], "shipment_id string, start timestamp")
+    gaps = spark.createDataFrame([("SH-4",), ("SH-4",), ("SH-5",), ("SH-6",)], "shipment_id string")
+    truth = [("excursion", "SH-1", at), ("excursion", "SH-2", at + timedelta(minutes=5)), ("spike", "SH-3", at), ("dropout", "SH-4", at), ("dropout", "SH-7", at), ("offline", "SH-5", at)]
+    r = sensor.score(found, gaps, spark.createDataFrame(truth, "situation string, shipment_id string, start timestamp")).first()
+    assert r.excursion_precision == pytest.approx(1 / 3) and (r.excursion_recall, r.spikes_flagged, r.gap_recall, r.gap_false_alarms, r.offline_misreported_as_gap) == (0.5, 1, 0.5, 2, 1)
+    empty = sensor.score(found.limit(0), gaps.limit(0), spark.createDataFrame([], "situation string, shipment_id string, start timestamp")).first()
+    assert tuple(empty) == (1.0, 1.0, 0, 1.0, 0, 0)
+
+
+def test_validator_scoring_and_recall_by_profile(spark):
+    lines, truth = synth.delivery_log(spark, 800)
+    flagged = contracts.check(lines.withColumnRenamed("event_id", "line_id")).filter(F.size("violations") > 0).select(F.col("line_id").alias("event_id"))
+    r = contracts.score(flagged, truth.filter("fault = 'invalid'").select("event_id")).first()
+    assert r.tp > 0 and (r.fp, r.fn, r.precision, r.recall) == (0, 0, 1.0, 1.0)
+    assert {x.how for x in truth.filter("fault = 'invalid'").select("how").distinct().collect()} >= {"missing_dispatch", "non_positive_eta"}
+    scores = spark.createDataFrame([("a", 0.9), ("b", 0.2), ("c", 0.7)], "session_id string, score double")
+    profiles = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", "y"), ("e", "z")], "session_id string, profile string")
+    got = {r.profile: (r.judged, r.caught, r.recall) for r in abuse.recall_by(scores, profiles).collect()}
+    assert got == {"x": (2, 1, 0.5), "y": (1, 1, 1.0), "z": (0, 0, 0.0)}
+
+
+def test_lenient_start():
+    assert core.start_of("2026-09-25") == core.start_of("2026-09-25T00:00:00Z") == core.start_of("2026-09-25T09:00:00+09:00")

@@ -93,3 +93,10 @@ def sweep(scores: DataFrame, truth: DataFrame, thresholds=SWEEP, key: str = "ses
     each = marked.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
     q = quality_of(F.col("score") >= F.col("threshold"), F.coalesce("__true", F.lit(False)))
     return each.groupBy("threshold").agg(*(c.alias(k) for k, c in q.items()))
+
+
+def recall_by(scores: DataFrame, profiles: DataFrame, threshold: float = THRESHOLD, key: str = "session_id") -> DataFrame:
+    """profile, judged, caught, recall (0 where none was judged): of the sessions of each profile, those scored and those over the threshold."""
+    both = profiles.join(scores.select(key, "score"), key, "left")
+    caught, judged = F.count_if(F.col("score") >= threshold), F.count("score")
+    return both.groupBy("profile").agg(judged.alias("judged"), caught.alias("caught")).withColumn("recall", F.coalesce(ratio("caught", "judged"), F.lit(0.0)))

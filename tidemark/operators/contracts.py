@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import event_time
+from tidemark.functions.core import event_time, ratio
+from tidemark.session import spread
 
 #: Closes the array that a record is parsed in.
 MARK = "6f1d2a94-8c1e-4d0b-9b77-2f6f0a1f6e35"
@@ -132,7 +133,9 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def check(df: DataFrame, raw: str = "raw", contracts: dict[str, dict] = CONTRACTS) -> DataFrame:
-    """df with event (variant; null if unreadable), event_type and violations (empty: accepted). raw is text, or bytes in UTF-8."""
+    """df with event (variant; null if unreadable), event_type and violations (empty: accepted). raw is text, or bytes in UTF-8. A small df
+    is dealt to all cores, as checking a record costs far more than moving it."""
+    df = df if df.isStreaming else spread(df)
     source = F.col(raw)
     if dict(df.dtypes)[raw] == "binary":
         source = F.expr(f"try_validate_utf8(cast({raw} AS string))")
@@ -142,14 +145,17 @@ def check(df: DataFrame, raw: str = "raw", contracts: dict[str, dict] = CONTRACT
     item = F.expr("variant_get(__all, '$[0]', 'variant')")
     df = _once(df, __ok=readable, __event=F.when(readable, item), __kind=F.schema_of_variant(item))
     object_ = F.coalesce(F.col("__ok") & F.col("__kind").startswith("OBJECT<"), F.lit(False))
-    fields = sorted({f for c in contracts.values() for f in c["fields"]})
-    each = {}
-    for f in fields:
-        each[f"__kind_{f}"] = F.expr(f"schema_of_variant(variant_get(__event, '$.{f}', 'variant'))")
-        each[f"__text_{f}"] = F.expr(f"try_variant_get(__event, '$.{f}', 'string')")
+    kind_of = "schema_of_variant(variant_get(__event, '$.{}', 'variant'))".format
+    text_of = "try_variant_get(__event, '$.{}', 'string')".format
     keys = F.array_distinct(F.coalesce(F.json_object_keys(source), F.array().cast("array<string>")))
-    df = _once(df, __object=object_, __keys=F.when(object_, keys).otherwise(F.array().cast("array<string>")), **each)
+    empty = F.array().cast("array<string>")
+    df = _once(df, __object=object_, __keys=F.when(object_, keys).otherwise(empty), __kind_event_type=F.expr(kind_of("event_type")), __text_event_type=F.expr(text_of("event_type")))
     df = _once(df, __type=F.when(F.col("__kind_event_type") == "STRING", F.col("__text_event_type")))
+    each = {}
+    for f in sorted({f for c in contracts.values() for f in c["fields"]} - {"event_type"}):  # taken from the types that have it only
+        known = F.col("__type").isin(*(n for n, c in contracts.items() if f in c["fields"]))
+        each[f"__kind_{f}"], each[f"__text_{f}"] = F.when(known, F.expr(kind_of(f))), F.when(known, F.expr(text_of(f)))
+    df = _once(df, **each)
     missing = ~_has("event_type") | (F.col("__kind_event_type") == "VOID")
     out = (
         F.when(~F.col("__ok"), F.array(_v(INVALID_JSON, None, "not readable as JSON")))
@@ -183,3 +189,12 @@ def counters(checked: DataFrame) -> DataFrame:
     given = F.transform("violations", lambda v: v["code"])
     per = [F.coalesce(F.sum(F.size(given) - F.size(F.array_remove(given, code))), F.lit(0)).alias(code) for code in codes]
     return checked.agg(F.count("*").alias("consumed"), F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"), *per)
+
+
+def score(flagged: DataFrame, planted: DataFrame, key: str = "event_id") -> DataFrame:
+    """One row: tp, fp, fn, precision and recall of the flagged keys against the planted ones; 1 where a denominator is empty."""
+    found = flagged.select(key).distinct().withColumn("__found", F.lit(True))
+    wanted = planted.select(key).distinct().withColumn("__planted", F.lit(True))
+    both = found.join(wanted, key, "full_outer").select(F.coalesce("__found", F.lit(False)).alias("f"), F.coalesce("__planted", F.lit(False)).alias("p"))
+    counts = both.agg(F.count_if(F.col("f") & F.col("p")).alias("tp"), F.count_if(F.col("f") & ~F.col("p")).alias("fp"), F.count_if(~F.col("f") & F.col("p")).alias("fn"))
+    return counts.withColumns({"precision": F.coalesce(ratio("tp", F.col("tp") + F.col("fp")), F.lit(1.0)), "recall": F.coalesce(ratio("tp", F.col("tp") + F.col("fn")), F.lit(1.0))})

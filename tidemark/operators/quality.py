@@ -42,19 +42,32 @@ def summary(tests: dict[str, tuple[str, DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def _counts(sessions: DataFrame, daily: DataFrame, top: DataFrame, scores: DataFrame) -> list[tuple[DataFrame, dict[str, Column]]]:
+    n, distinct = F.count("*"), F.count_distinct
+    return [
+        (sessions, {"session_rows": n, "sessions": distinct("session_id")}),
+        (daily, {"daily_rows": n}),
+        (top, {"top_rows": n, "top_ranks": distinct("rank")}),
+        (scores, {"score_rows": n, "scored": distinct("session_id"), "flagged": F.count_if(F.col("is_abusive").cast("boolean"))}),
+    ]
+
+
 def day_facts(sessions: DataFrame, daily: DataFrame, top: DataFrame, scores: DataFrame) -> DataFrame:
     """One row: the counts that the gates judge, an aggregate of each mart."""
-    parts = [
-        sessions.agg(F.count("*").alias("session_rows"), F.count_distinct("session_id").alias("sessions")),
-        daily.agg(F.count("*").alias("daily_rows")),
-        top.agg(F.count("*").alias("top_rows"), F.count_distinct("rank").alias("top_ranks")),
-        scores.agg(F.count("*").alias("score_rows"), F.count_distinct("session_id").alias("scored"), F.count_if(F.col("is_abusive").cast("boolean")).alias("flagged")),
-    ]
+    parts = [df.agg(*(c.alias(k) for k, c in own.items())) for df, own in _counts(sessions, daily, top, scores)]
     return reduce(DataFrame.crossJoin, parts)  # each side is one aggregate row
 
 
-def gates(facts: DataFrame) -> DataFrame:
-    """check_name, passed, observed, expected for the six checks of a day."""
+def facts_by_date(dates: DataFrame, sessions: DataFrame, daily: DataFrame, top: DataFrame, scores: DataFrame) -> DataFrame:
+    """day_facts() for each event_date of dates; 0 where a mart has no row of a date."""
+    out = dates
+    for df, own in _counts(sessions, daily, top, scores):
+        out = out.join(df.groupBy("event_date").agg(*(c.alias(k) for k, c in own.items())), "event_date", "left").fillna(0, list(own))
+    return out
+
+
+def gates(facts: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep, then check_name, passed, observed, expected for the six checks of a day, for each row of facts."""
     c = F.col
     share = F.coalesce(ratio("flagged", "score_rows"), F.lit(0.0))
     def same(column: str, what: str, more: str = "") -> Column:
@@ -69,4 +82,4 @@ def gates(facts: DataFrame) -> DataFrame:
         ("flagged_ratio_bounded", share <= MAX_FLAGGED, F.bround(share, 4), F.lit(f"<= {MAX_FLAGGED}")),
     ]
     rows = F.array(*(F.struct(F.lit(n).alias("check_name"), ok.alias("passed"), seen.cast("double").alias("observed"), want.alias("expected")) for n, ok, seen, want in checks))
-    return facts.select(F.inline(rows))
+    return facts.select(*keep, F.inline(rows))

@@ -16,6 +16,8 @@ TABLES: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
     "raw_search_events": (("SearchQuery", "SearchResultClick"), {"session_id": "string", "query": "string", "result_count": "int", "client": "string", "rank": "int", "doc_id": "string"}),
     "raw_sensor_events": (("SensorReading",), {"shipment_id": "string", "device_id": "string", "cargo_type": "string", "leg": "string", "temperature_c": "double", "humidity_pct": "double"}),
 }
+#: Order of a table's rows in a file.
+SORT = {name: ("session_id" if "session_id" in own else "shipment_id" if "shipment_id" in own else "order_id", "event_time", "event_id") for name, (_, own) in TABLES.items()}
 
 
 def _get(field: str, kind: str):

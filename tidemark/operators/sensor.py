@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import seconds
+from tidemark.functions.core import ratio, seconds
 from tidemark.operators import series
-from tidemark.operators.abuse import quality_of
 from tidemark.operators.dedup import first_arrival
 
 # Fixed values of the rule.
@@ -56,14 +55,26 @@ def transmission_gaps(readings: DataFrame) -> DataFrame:
 def excursion_summary(found: DataFrame) -> DataFrame:
     """By day, cargo and leg: excursions, shipments, minutes, peak."""
     return found.groupBy(F.to_date("start").alias("event_date"), "cargo_type", "leg").agg(
-        F.count("*").alias("excursions"), F.count_distinct("shipment_id").alias("shipments"), F.sum("duration_minutes").alias("total_minutes"), F.max("peak_c").alias("max_peak_c")
+        F.count("*").alias("excursions"), F.count_distinct("shipment_id").alias("shipments_affected"), F.sum("duration_minutes").alias("total_minutes"), F.max("peak_c").alias("peak_c")
     )
 
 
-def score(found: DataFrame, truth: DataFrame, keys=("shipment_id", "start")) -> DataFrame:
-    """Precision, recall and F1 of found against truth by keys."""
-    a = found.select(*keys).distinct().withColumn("__a", F.lit(True))
-    b = truth.select(*keys).distinct().withColumn("__b", F.lit(True))
-    both = a.join(b, list(keys), "full_outer")
-    q = quality_of(F.coalesce("__a", F.lit(False)), F.coalesce("__b", F.lit(False)))
-    return both.agg(*(c.alias(k) for k, c in q.items()))
+def score(found: DataFrame, gaps: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row of six figures. truth: situation (excursion, spike, dropout or offline), shipment_id, start. An excursion is right if its
+    start is; precision and recall are 1 where nothing was found or planted."""
+    c = F.col
+    a = found.select("shipment_id", "start").distinct().withColumn("__a", F.lit(1))
+    b = truth.filter("situation = 'excursion'").select("shipment_id", "start").distinct().withColumn("__b", F.lit(1))
+    starts = a.join(b, ["shipment_id", "start"], "full_outer").agg(F.sum(c("__a") * c("__b")).alias("hit"), F.sum("__a").alias("found"), F.sum("__b").alias("planted"))
+    marks = found.select("shipment_id", F.lit("excursion found").alias("mark")).unionByName(gaps.select("shipment_id", F.lit("gap found").alias("mark"))).unionByName(truth.select("shipment_id", c("situation").alias("mark")))
+    per = marks.groupBy("shipment_id").agg(*(F.max((c("mark") == m).cast("int")).alias(m.replace(" ", "_")) for m in ("excursion found", "gap found", "spike", "dropout", "offline")))
+    shipments = per.agg(
+        F.sum(c("spike") * c("excursion_found")).alias("spikes_flagged"), F.sum(c("gap_found") * c("dropout")).alias("gap_hit"), F.sum("dropout").alias("dropouts"),
+        F.sum(c("gap_found") * (1 - c("dropout"))).alias("gap_false_alarms"), F.sum(c("gap_found") * c("offline")).alias("offline_misreported_as_gap"),
+    )
+    both = starts.crossJoin(shipments).fillna(0)  # one row each
+    one = F.lit(1.0)
+    return both.select(
+        F.coalesce(ratio("hit", "found"), one).alias("excursion_precision"), F.coalesce(ratio("hit", "planted"), one).alias("excursion_recall"), "spikes_flagged",
+        F.coalesce(ratio("gap_hit", "dropouts"), one).alias("gap_recall"), "gap_false_alarms", "offline_misreported_as_gap",
+    )

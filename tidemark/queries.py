@@ -6,17 +6,19 @@ orders: return flag N = accepted, R = rejected dispatch, line status F = deliver
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import json_string, lag_seconds, ratio
-from tidemark.operators import abuse, contracts, dedup, orders, quality, search, series
+from tidemark.operators import abuse, contracts, dedup, orders, quality, routing, search, sensor, series
 from tidemark.plans import daily
-from tidemark.session import scratch_dir
-from tidemark.sinks import marts
+from tidemark.session import scratch_dir, spread
+from tidemark.sinks import kafka, marts
 from tidemark.streaming import ingest
 
-DAY = "2024-01-01"
+DAY, LAST_DAY = "2024-01-01", "2024-01-03"
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -285,12 +287,23 @@ def ingest_lag(spark, d):
     return j.groupBy("o_orderpriority").agg(F.min("lag").alias("min_lag"), F.max("lag").alias("max_lag"), F.count_if(F.col("lag") < 0).alias("early"), F.count("*").alias("rows"))
 
 
+_ROUTED = ("event_id", "event_type", "session_id", "query", "result_count", "client", "rank", "doc_id")
+
+
+def routed_rows(spark, d):
+    """The accepted search events as rows of their raw table."""
+    rows = routing.table_rows(_checked(spark, d), "raw_search_events")
+    return rows.select(*_ROUTED, _stamp("event_time").alias("event_time"))
+
+
 def stream_ingest(spark, d):
-    """The contract records as files through the streaming ingest; its dead letters by reason."""
+    """The contract records as files through the streaming ingest: what lands in the search table and in the dead letters."""
     root = scratch_dir(spark, "ingest")
-    _table(spark, d, "events").select(F.expr(_raw_sql(True)).alias("value")).write.text(f"{root}/in")
-    ingest.ingest(ingest.file_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return ingest.raw_table(spark, f"{root}/out", ingest.DLQ).groupBy("reason_code", "field").agg(F.count("*").alias("rows"))
+    spread(_table(spark, d, "events").select(F.expr(_raw_sql(True)).alias("value"))).write.text(f"{root}/in")
+    ingest.run_to_end(ingest.ingest(ingest.file_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint"))
+    dead = ingest.raw_table(spark, f"{root}/out", ingest.DLQ).select("event_id", "event_type", "reason_code", "field", F.md5("raw").alias("raw_md5"))
+    rows = ingest.raw_table(spark, f"{root}/out", "raw_search_events")
+    return dead.unionByName(rows.select("event_id", "event_type", F.lit(None).cast("string").alias("reason_code"), F.lit(None).cast("string").alias("field"), F.md5("raw").alias("raw_md5")))
 
 
 def stream_dedup(spark, d):
@@ -305,13 +318,149 @@ def stream_dedup(spark, d):
 
 
 def day_run_twice(spark, d):
-    """A day's batch run two times; the marts' rows by name afterwards."""
+    """A day's batch run two times; the sessions and their scores afterwards."""
     root = scratch_dir(spark, "marts")
     events = search_events(spark, d)
     for _ in range(2):
         daily.run_day(events, root, DAY)
-    names = (marts.SEARCH_SESSION, marts.SEARCH_DAILY, marts.TOP_QUERY, marts.SESSION_ABUSE, marts.QUALITY_REPORT)
-    return quality.summary({m.name: ("mart", marts.read(spark, m, root, DAY)) for m in names}).select(F.col("test").alias("mart"), F.col("failures").alias("rows"))
+    scores = marts.read(spark, marts.SESSION_ABUSE, root, DAY).select("session_id", _r("score", 4).alias("score"), "is_abusive")
+    return marts.read(spark, marts.SEARCH_SESSION, root, DAY).select("session_id", "event_date", "queries", "distinct_queries", "clicks", "span_seconds").join(scores, "session_id")
+
+
+def day_run_range(spark, d):
+    """Three days in one pass; the daily and top-query marts afterwards."""
+    root = scratch_dir(spark, "range")
+    with contextlib.suppress(daily.GateError):  # a date on which no session began fails its gate; its marts are written
+        daily.run_range(search_events(spark, d), root, DAY, LAST_DAY)
+    top = marts.read(spark, marts.TOP_QUERY, root).select("event_date", "rank", "query", "queries", "sessions", "clicks")
+    return top.unionByName(marts.read(spark, marts.SEARCH_DAILY, root).select("event_date", F.lit(0).alias("rank"), F.lit("").alias("query"), "queries", "sessions", "clicks"))
+
+
+# other contracts ---------------------------------------------------------------------------------------------------------------
+
+
+def _other_raw_sql(spark_side: bool) -> str:
+    """A record of the order, dispatch, delivery or sensor contracts for each row of events, with planted faults."""
+    time = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")" if spark_side else "strftime(ts, '%Y-%m-%dT%H:%M:%S')"
+
+    def head(kind: str) -> str:
+        return f"""'{{"schema_version":1,"event_id":"E' || CAST(event_id AS STRING) || '","event_type":"{kind}","event_time":"' || {time} || 'Z"'"""
+
+    def cases(*pairs: tuple[int, str], other: str) -> str:
+        return "CASE " + " ".join(f"WHEN event_id % {m} = 0 THEN {t}" for m, t in pairs) + f" ELSE {other} END"
+
+    order = cases((7, "''"), (11, "',\"order_id\":\"ABC\"'"), other="',\"order_id\":\"O-' || CAST(user_id AS STRING) || '\"'")
+    made = cases((13, "''"), other="',\"region_id\":\"R1\"'") + " || ',\"experiment_variant\":\"' || " + cases((17, "'treatmnt'"), other="'control'") + " || '\"'"
+    gone = cases((19, "''"), (23, "',\"cancel_reason\":\"bored\"'"), other="',\"cancel_reason\":\"no_rider\"'")
+    result = cases((3, "',\"result\":\"rejected\"'"), (29, "',\"result\":\"maybe\"'"), (31, "''"), other="',\"result\":\"accepted\"'")
+    eta = cases((37, "''"), (41, "',\"eta_minutes\":0'"), (43, "',\"eta_minutes\":\"35\"'"), other="',\"eta_minutes\":35'")
+    done = cases((47, "''"), other="',\"dispatch_id\":\"x1\"'") + " || " + cases((53, "',\"note\":\"a\"'"), other="''")
+    where = cases((59, "',\"shipment_id\":\"S1\"'"), other="',\"shipment_id\":\"SH-' || CAST(user_id AS STRING) || '\"'") + " || ',\"device_id\":\"D-a1\",\"cargo_type\":\"' || " + cases((61, "'fish'"), other="'frozen'")
+    heat = "'\",\"leg\":\"inland\",\"temperature_c\":' || " + cases((67, "'-999'"), (71, "'\"-18\"'"), other="'-18.5'") + " || " + cases((73, "',\"humidity_pct\":101'"), other="''")
+    return f"""CASE event_id % 5 WHEN 0 THEN {head("OrderCreated")} || {order} || {made} WHEN 1 THEN {head("OrderCancelled")} || {order} || {gone}
+WHEN 2 THEN {head("DispatchResult")} || {order} || ',"dispatch_id":"x1","rider_id":"r1"' || {result} || {eta} WHEN 3 THEN {head("DeliveryCompleted")} || {order} || {done}
+ELSE {head("SensorReading")} || {where} || {heat} END || '}}'"""
+
+
+def _other_checked(spark, d):
+    return contracts.check(_table(spark, d, "events").select(F.col("event_id").alias("n"), F.expr(_other_raw_sql(True)).alias("raw")))
+
+
+OTHER = f"""raws AS (SELECT event_id AS n, {_other_raw_sql(False)} AS raw FROM events),
+p AS (SELECT *, json_keys(raw) AS ks, raw->>'$.event_type' AS et, raw->>'$.result' AS result, raw->>'$.eta_minutes' AS eta, json_type(raw, '$.eta_minutes') AS eta_kind, raw->>'$.temperature_c' AS t, json_type(raw, '$.temperature_c') AS t_kind FROM raws),
+viol AS (SELECT n, et, 'order_id' AS field FROM p WHERE et <> 'SensorReading' AND (NOT list_contains(ks, 'order_id') OR NOT regexp_full_match(raw->>'$.order_id', 'O-[0-9]+'))
+UNION ALL SELECT n, et, 'region_id' FROM p WHERE et = 'OrderCreated' AND NOT list_contains(ks, 'region_id')
+UNION ALL SELECT n, et, 'experiment_variant' FROM p WHERE et = 'OrderCreated' AND (raw->>'$.experiment_variant') NOT IN ('control', 'treatment')
+UNION ALL SELECT n, et, 'cancel_reason' FROM p WHERE et = 'OrderCancelled' AND (NOT list_contains(ks, 'cancel_reason') OR (raw->>'$.cancel_reason') NOT IN ('customer_request', 'no_rider', 'store_closed'))
+UNION ALL SELECT n, et, 'result' FROM p WHERE et = 'DispatchResult' AND (NOT list_contains(ks, 'result') OR result NOT IN ('accepted', 'rejected'))
+UNION ALL SELECT n, et, 'eta_minutes' FROM p WHERE et = 'DispatchResult' AND ((NOT list_contains(ks, 'eta_minutes') AND coalesce(result = 'accepted', true)) OR eta_kind = 'VARCHAR' OR TRY_CAST(eta AS INT) < 1)
+UNION ALL SELECT n, et, 'dispatch_id' FROM p WHERE et = 'DeliveryCompleted' AND NOT list_contains(ks, 'dispatch_id')
+UNION ALL SELECT n, et, NULL FROM p WHERE et = 'DeliveryCompleted' AND list_contains(ks, 'note')
+UNION ALL SELECT n, et, 'shipment_id' FROM p WHERE et = 'SensorReading' AND NOT regexp_full_match(raw->>'$.shipment_id', 'SH-[0-9]+')
+UNION ALL SELECT n, et, 'cargo_type' FROM p WHERE et = 'SensorReading' AND (raw->>'$.cargo_type') NOT IN ('pharma', 'frozen')
+UNION ALL SELECT n, et, 'temperature_c' FROM p WHERE et = 'SensorReading' AND (t_kind = 'VARCHAR' OR TRY_CAST(t AS DOUBLE) NOT BETWEEN -80 AND 80)
+UNION ALL SELECT n, et, 'humidity_pct' FROM p WHERE list_contains(ks, 'humidity_pct') AND TRY_CAST(raw->>'$.humidity_pct' AS DOUBLE) > 100)"""
+
+
+def first_violation_tally(spark, d):
+    return contracts.tally(_other_checked(spark, d))
+
+
+def validator_scoring(spark, d):
+    """The validator's verdicts on search records against the planted session faults and versions."""
+    checked = _checked(spark, d)
+    flagged = checked.filter(F.size("violations") > 0).select("n")
+    planted = _table(spark, d, "events").filter("event_type IN ('view', 'click') AND (event_id % 13 = 0 OR event_id % 41 = 0 OR event_id % 5 = 0)").select(F.col("event_id").alias("n"))
+    return contracts.score(flagged, planted, "n").withColumns({k: _r(k) for k in ("precision", "recall")})
+
+
+def recall_by_profile(spark, d):
+    scores = _scores(spark, d)
+    kind = F.when(F.pmod(F.col("session_id").cast("long"), F.lit(3)) == 0, "aggressive").otherwise("stealth")
+    known = scores.select("session_id", kind.alias("profile")).unionByName(spark.createDataFrame([("none", "unseen")], "session_id string, profile string"))
+    return abuse.recall_by(scores, known, 0.3).withColumn("recall", _r("recall"))
+
+
+def publish_messages(spark, d):
+    lines = _table(spark, d, "events").select(F.expr(_other_raw_sql(True)).alias("value"))
+    return kafka.messages(lines).groupBy("topic").agg(F.count("*").alias("messages"), F.count("key").alias("keyed"), F.count_distinct("key").alias("keys"))
+
+
+# sensor roles ------------------------------------------------------------------------------------------------------------------
+
+
+def _sensor_sql(spark_side: bool) -> str:
+    """Readings of events: each user is a shipment with a reading every five minutes; runs out of range, spikes, holes, faults."""
+    step = "make_interval(0, 0, 0, 0, 0, CAST(5 * rn + 30 * holes AS INT))" if spark_side else "to_minutes(CAST(5 * rn + 30 * holes AS INT))"
+    return f"""WITH seen AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, sum(CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS holes FROM events),
+made AS (SELECT 'E' || CAST(event_id AS STRING) AS event_id, 'SH-' || CAST(user_id AS STRING) AS shipment_id, user_id, event_id AS n, CASE WHEN user_id % 2 = 0 THEN 'pharma' ELSE 'frozen' END AS cargo_type,
+  CASE event_type WHEN 'view' THEN 'warehouse' WHEN 'click' THEN 'inland' ELSE 'international' END AS leg, TIMESTAMP '2024-01-01 00:00:00' + {step} AS event_time,
+  CASE WHEN user_id % 2 = 0 THEN 5.0 ELSE -20.0 END + (event_id % 100) / 100.0 + CASE WHEN CAST(floor(rn / 6) AS INT) % 4 = 0 OR event_id % 29 = 0 THEN 9.0 ELSE 0.0 END AS temperature_c,
+  CASE WHEN event_id % 23 = 0 THEN 'schema_violation' WHEN event_id % 37 = 0 THEN 'invalid_event_time' END AS reason FROM seen),
+readings AS (SELECT *, CAST(n AS DOUBLE) AS arrival FROM made UNION ALL SELECT event_id, shipment_id, user_id, n, cargo_type, leg, event_time, temperature_c + 20, reason, n + 1e9 FROM made WHERE n % 10 = 0)"""
+
+
+def _readings(spark, d):
+    """Parsed readings with violations, in order of arrival."""
+    spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).createOrReplaceTempView("__sensor_events")
+    sql = _sensor_sql(True).replace("FROM events)", "FROM __sensor_events)")
+    code = F.when(F.col("reason").isNotNull(), F.array(F.struct(F.col("reason").alias("code")))).otherwise(F.array().cast("array<struct<code:string>>"))
+    return spark.sql(f"{sql} SELECT event_id, shipment_id, user_id, cargo_type, leg, event_time, CAST(temperature_c AS DOUBLE) AS temperature_c, reason, arrival FROM readings").withColumn("violations", code)
+
+
+def _cleaned(spark, d):
+    return sensor.clean(_readings(spark, d))[0]
+
+
+def sensor_excursions(spark, d):
+    return sensor.excursions(_cleaned(spark, d)).select("shipment_id", "cargo_type", "leg", _stamp("start").alias("start"), _stamp("end").alias("end"), "duration_minutes", "readings", _r("peak_c", 4).alias("peak_c"))
+
+
+def sensor_gaps(spark, d):
+    return sensor.transmission_gaps(_cleaned(spark, d)).select("shipment_id", _stamp("after").alias("after"), _stamp("before").alias("before"), "missing_minutes")
+
+
+def sensor_scoring(spark, d):
+    """Excursions and gaps against a truth that lacks a third of them, with starts that are an hour off and situations of other shipments."""
+    clean = _cleaned(spark, d)
+    found = sensor.excursions(clean)
+    number = F.split_part("shipment_id", F.lit("-"), F.lit(2)).cast("long")
+    planted = found.filter(number % 3 != 0).select(F.lit("excursion").alias("situation"), "shipment_id", "start")
+    wrong = found.filter(number % 5 == 0).select(F.lit("excursion").alias("situation"), "shipment_id", (F.col("start") + F.expr("interval 1 hour")).alias("start"))
+    ships = clean.select("shipment_id").distinct().withColumn("situation", F.explode(F.array_compact(F.array(F.when(number % 2 == 0, "dropout"), F.when(number % 7 == 0, "offline"), F.when(number % 11 == 0, "spike")))))
+    truth = planted.unionByName(wrong).unionByName(ships.select("situation", "shipment_id", F.lit(None).cast("timestamp").alias("start")))
+    return sensor.score(found, sensor.transmission_gaps(clean), truth).withColumns({k: _r(k) for k in ("excursion_precision", "excursion_recall", "gap_recall")})
+
+
+SENSOR = f"""{_sensor_sql(False)},
+good AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY arrival) AS k FROM readings WHERE reason IS NULL) WHERE k = 1),
+steps AS (SELECT *, epoch(event_time) AS sec, lag(epoch(event_time)) OVER w AS before_sec, lag(event_time) OVER w AS before_ts FROM good WINDOW w AS (PARTITION BY shipment_id ORDER BY event_time, event_id)),
+marked AS (SELECT *, CASE cargo_type WHEN 'pharma' THEN temperature_c NOT BETWEEN 2 AND 8 ELSE temperature_c NOT BETWEEN -25 AND -15 END AS hot FROM steps),
+cut AS (SELECT *, sum(CASE WHEN NOT hot OR before_sec IS NULL OR sec - before_sec > 900 THEN 1 ELSE 0 END) OVER (PARTITION BY shipment_id ORDER BY event_time, event_id ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+runs AS (SELECT shipment_id, arg_min(cargo_type, (event_time, event_id)) AS cargo_type, arg_min(leg, (event_time, event_id)) AS leg, min(event_time) AS s, max(event_time) AS e, count(*) AS readings, max(temperature_c) AS peak_c,
+  max(sec) - min(sec) + 300 AS length FROM cut WHERE hot GROUP BY shipment_id, run),
+excursions AS (SELECT *, CAST(floor(length / 60) AS BIGINT) AS duration_minutes FROM runs WHERE length >= 900),
+gaps AS (SELECT shipment_id, before_ts, event_time, CAST(floor((sec - before_sec - 300) / 60) AS BIGINT) AS missing_minutes FROM steps WHERE sec - before_sec > 900)"""
 
 
 def _order_by(cols):
@@ -365,6 +514,19 @@ QUERIES = {
     "stream_ingest": stream_ingest,
     "stream_dedup": stream_dedup,
     "day_run_twice": day_run_twice,
+    "day_run_range": day_run_range,
+    "routed_rows": routed_rows,
+    "other_contract_violations": lambda s, d: contracts.dead_letters(_other_checked(s, d), "n").select("n", "event_type", F.col("reason_code").alias("code"), "field"),
+    "first_violation_tally": first_violation_tally,
+    "validator_scoring": validator_scoring,
+    "recall_by_profile": recall_by_profile,
+    "publish_messages": publish_messages,
+    "sensor_clean_tally": lambda s, d: sensor.clean(_readings(s, d))[1],
+    "sensor_readings": lambda s, d: _cleaned(s, d).select("event_id", "shipment_id", "cargo_type", "leg", _stamp("event_time").alias("event_time"), _r("temperature_c", 4).alias("temperature_c")),
+    "sensor_excursions": sensor_excursions,
+    "sensor_gaps": sensor_gaps,
+    "sensor_daily_summary": lambda s, d: sensor.excursion_summary(sensor.excursions(_cleaned(s, d))).withColumn("peak_c", _r("peak_c", 4)),
+    "sensor_scoring": sensor_scoring,
 }
 
 
@@ -457,10 +619,36 @@ UNION ALL SELECT 'orphans', 'warn', (SELECT count(*) FROM customer WHERE c_custk
     "truth_set_operations": """WITH a AS (SELECT user_id FROM events WHERE event_type = 'purchase'), b AS (SELECT user_id FROM events WHERE event_type = 'error' AND value > 50)
 SELECT 'both' AS operation, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS rows UNION ALL SELECT 'only_a', (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b))
 UNION ALL SELECT 'either', (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) UNION ALL SELECT 'all', (SELECT count(*) FROM a) + (SELECT count(*) FROM b)""",
-    "stream_ingest": f"WITH {RAW} SELECT code AS reason_code, field, count(*) AS rows FROM viol GROUP BY 1, 2",
+    "stream_ingest": f"""WITH {RAW}, dead AS (SELECT CASE WHEN ok AND jt = 'OBJECT' THEN json_extract_string(raw, '$.event_id') END AS event_id, CASE WHEN ok AND jt = 'OBJECT' THEN json_extract_string(raw, '$.event_type') END AS event_type,
+code AS reason_code, field, md5(raw) AS raw_md5 FROM viol v JOIN kinds k ON v.n = k.n) SELECT * FROM dead
+UNION ALL SELECT json_extract_string(raw, '$.event_id'), et, NULL, NULL, md5(raw) FROM good WHERE n NOT IN (SELECT n FROM viol)""",
+    "routed_rows": f"""WITH {RAW} SELECT raw->>'$.event_id' AS event_id, et AS event_type, raw->>'$.session_id' AS session_id, raw->>'$.query' AS query, CAST(raw->>'$.result_count' AS INT) AS result_count, raw->>'$.client' AS client,
+CAST(raw->>'$.rank' AS INT) AS rank, raw->>'$.doc_id' AS doc_id, strftime(strptime(raw->>'$.event_time', '%Y-%m-%dT%H:%M:%SZ'), '%Y-%m-%d %H:%M:%S.%f') AS event_time FROM good WHERE n NOT IN (SELECT n FROM viol)""",
+    "other_contract_violations": f"WITH {OTHER} SELECT n, et AS event_type, 'schema_violation' AS code, field FROM viol",
+    "first_violation_tally": f"WITH {OTHER} SELECT 'schema_violation' AS reason, count(DISTINCT n) AS rows FROM viol",
+    "validator_scoring": f"""WITH {RAW}, f AS (SELECT DISTINCT n FROM viol), t AS (SELECT DISTINCT event_id AS n FROM events WHERE event_type IN ('view', 'click') AND (event_id % 13 = 0 OR event_id % 41 = 0 OR event_id % 5 = 0)),
+c AS (SELECT (SELECT count(*) FROM f WHERE n IN (SELECT n FROM t)) AS tp, (SELECT count(*) FROM f WHERE n NOT IN (SELECT n FROM t)) AS fp, (SELECT count(*) FROM t WHERE n NOT IN (SELECT n FROM f)) AS fn)
+SELECT *, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / (tp + fn), 6) AS recall FROM c""",
+    "recall_by_profile": f"""WITH {SCORE}, k AS (SELECT CASE WHEN CAST(session_id AS BIGINT) % 3 = 0 THEN 'aggressive' ELSE 'stealth' END AS profile, score FROM sc)
+SELECT profile, count(*) AS judged, count(*) FILTER (score >= 0.3) AS caught, round(count(*) FILTER (score >= 0.3)::DOUBLE / count(*), 6) AS recall FROM k GROUP BY 1 UNION ALL SELECT 'unseen', 0, 0, 0.0""",
+    "publish_messages": f"""WITH {OTHER}, m AS (SELECT CASE et WHEN 'DispatchResult' THEN 'dispatch.events' WHEN 'DeliveryCompleted' THEN 'delivery.events' WHEN 'SensorReading' THEN 'sensor.events' ELSE 'orders.events' END AS topic, raw->>'$.order_id' AS key FROM p)
+SELECT topic, count(*) AS messages, count(key) AS keyed, count(DISTINCT key) AS keys FROM m GROUP BY 1""",
+    "sensor_clean_tally": f"{SENSOR} SELECT reason, count(*) AS rows FROM readings WHERE reason IS NOT NULL GROUP BY 1 UNION ALL SELECT 'duplicate', count(*) - count(DISTINCT event_id) FROM readings WHERE reason IS NULL",
+    "sensor_readings": f"{SENSOR} SELECT event_id, shipment_id, cargo_type, leg, {_STAMP.format('event_time')} AS event_time, round(temperature_c::DOUBLE, 4) AS temperature_c FROM good",
+    "sensor_excursions": f"{SENSOR} SELECT shipment_id, cargo_type, leg, {_STAMP.format('s')} AS start, {_STAMP.format('e')} AS \"end\", duration_minutes, readings, round(peak_c::DOUBLE, 4) AS peak_c FROM excursions",
+    "sensor_gaps": f"{SENSOR} SELECT shipment_id, {_STAMP.format('before_ts')} AS after, {_STAMP.format('event_time')} AS before, missing_minutes FROM gaps",
+    "sensor_daily_summary": f"{SENSOR} SELECT CAST(s AS DATE) AS event_date, cargo_type, leg, count(*) AS excursions, count(DISTINCT shipment_id) AS shipments_affected, CAST(sum(duration_minutes) AS BIGINT) AS total_minutes, round(max(peak_c)::DOUBLE, 4) AS peak_c FROM excursions GROUP BY 1, 2, 3",
+    "sensor_scoring": f"""{SENSOR}, num AS (SELECT *, CAST(split_part(shipment_id, '-', 2) AS BIGINT) AS u FROM excursions), planted AS (SELECT shipment_id, s FROM num WHERE u % 3 <> 0 UNION SELECT shipment_id, s + INTERVAL 1 HOUR FROM num WHERE u % 5 = 0),
+found AS (SELECT DISTINCT shipment_id, s FROM excursions), hit AS (SELECT count(*) AS n FROM found JOIN planted USING (shipment_id, s)), ships AS (SELECT DISTINCT shipment_id, user_id AS u FROM good),
+g AS (SELECT DISTINCT shipment_id FROM gaps)
+SELECT round(n::DOUBLE / (SELECT count(*) FROM found), 6) AS excursion_precision, round(n::DOUBLE / (SELECT count(*) FROM planted), 6) AS excursion_recall,
+(SELECT count(DISTINCT shipment_id) FROM ships WHERE u % 11 = 0 AND shipment_id IN (SELECT shipment_id FROM found)) AS spikes_flagged,
+round((SELECT count(*) FROM ships WHERE u % 2 = 0 AND shipment_id IN (FROM g))::DOUBLE / (SELECT count(*) FROM ships WHERE u % 2 = 0), 6) AS gap_recall,
+(SELECT count(*) FROM ships WHERE u % 2 <> 0 AND shipment_id IN (FROM g)) AS gap_false_alarms, (SELECT count(*) FROM ships WHERE u % 7 = 0 AND shipment_id IN (FROM g)) AS offline_misreported_as_gap FROM hit""",
     "stream_dedup": "SELECT event_type, count(DISTINCT event_id) AS events, count(DISTINCT event_id) AS ids FROM events GROUP BY 1",
-    "day_run_twice": f"""WITH {EV}, s AS (SELECT session_id FROM ev GROUP BY 1 HAVING min(event_date) = {_D} AND count(*) FILTER (event_type = 'SearchQuery') > 0),
-t AS (SELECT least(20, count(DISTINCT query)) AS n FROM ev WHERE event_date = {_D} AND event_type = 'SearchQuery')
-SELECT 'mart_search_session' AS mart, (SELECT count(*) FROM s) AS rows UNION ALL SELECT 'mart_search_daily', 1 UNION ALL SELECT 'mart_search_top_query', (SELECT n FROM t)
-UNION ALL SELECT 'mart_session_abuse', (SELECT count(*) FROM s) UNION ALL SELECT 'mart_quality_report', 6""",
+    "day_run_twice": f"""WITH {SCORE.replace("FROM started WHERE", f"FROM started WHERE session_date = {_D} AND").replace("FROM ev WHERE event_type = 'SearchResultClick' GROUP BY session_id", f"FROM started WHERE session_date = {_D} AND event_type = 'SearchResultClick' GROUP BY session_id")}
+SELECT session_id, f.event_date, queries, distinct_queries, clicks, span AS span_seconds, score, CAST(score >= 0.5 AS INT) AS is_abusive FROM f JOIN sc USING (session_id)""",
+    "day_run_range": f"""WITH {_POPULAR}, r AS (SELECT *, row_number() OVER (PARTITION BY event_date ORDER BY queries DESC, query) AS rank FROM p WHERE event_date BETWEEN {_D} AND DATE '{LAST_DAY}')
+SELECT event_date, rank::INT AS rank, query, queries, sessions, clicks FROM r WHERE rank <= 20
+UNION ALL SELECT event_date, 0, '', count(*) FILTER (event_type = 'SearchQuery'), count(DISTINCT session_id), count(*) FILTER (event_type = 'SearchResultClick') FROM ev WHERE event_date BETWEEN {_D} AND DATE '{LAST_DAY}' GROUP BY 1""",
 }

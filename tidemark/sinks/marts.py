@@ -15,16 +15,18 @@ class Mart:
     name: str
     columns: tuple[str, ...]
     date: str = "event_date"
+    #: Order of the rows in a file, so that its column statistics prune.
+    sort: tuple[str, ...] = ()
 
 
 SEARCH_SESSION = Mart("mart_search_session", (
     "session_id", "event_date", "queries", "distinct_queries", "clicks", "click_rate", "distinct_query_ratio", "avg_gap_seconds", "min_gap_seconds", "stddev_gap_seconds", "avg_click_rank", "span_seconds",
     "queries_per_minute", "client", "first_query_at", "last_query_at",
-))
+), sort=("session_id",))
 SEARCH_DAILY = Mart("mart_search_daily", ("event_date", "sessions", "queries", "clicks", "distinct_queries", "ctr"))
-TOP_QUERY = Mart("mart_search_top_query", ("event_date", "rank", "query", "queries", "sessions", "clicks", "ctr"))
-SESSION_ABUSE = Mart("mart_session_abuse", ("session_id", "event_date", "score", "is_abusive", "speed", "regularity", "monotony", "disinterest", "reasons", "threshold"))
-QUALITY_REPORT = Mart("mart_quality_report", ("run_date", "check_name", "passed", "observed", "expected"), "run_date")
+TOP_QUERY = Mart("mart_search_top_query", ("event_date", "rank", "query", "queries", "sessions", "clicks", "ctr"), sort=("rank",))
+SESSION_ABUSE = Mart("mart_session_abuse", ("session_id", "event_date", "score", "is_abusive", "speed", "regularity", "monotony", "disinterest", "reasons", "threshold"), sort=("session_id",))
+QUALITY_REPORT = Mart("mart_quality_report", ("run_date", "check_name", "passed", "observed", "expected"), "run_date", ("check_name",))
 
 
 def _path(spark: SparkSession, path: str):
@@ -42,43 +44,61 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def stray_dates(marts: Sequence[tuple[Mart, DataFrame]], date: str) -> None:
-    """Raise before anything is written if a mart has a row of another date."""
-    day = F.lit(date).cast("date")
-    for mart, df in marts:
-        other = df.filter(~F.coalesce(F.col(mart.date).cast("date") == day, F.lit(False))).select(F.col(mart.date).cast("string").alias("d")).distinct().limit(5).collect()
-        if other:
-            raise ValueError(f"{mart.name}: rows of other dates than {date}: {sorted(str(r.d) for r in other)}")
-
-
-def write_day(mart: Mart, df: DataFrame, root: str, date: str, version: str = "loaded_at") -> int:
-    """Replace one date of a mart and return the number of rows. An empty result removes the date's old rows, which a dynamic overwrite
-    alone would leave. Rows go to a staging folder first, so a failed write leaves the old rows in place."""
-    spark = df.sparkSession
-    target, stage = f"{root}/{mart.name}/{mart.date}={date}", f"{root}/{mart.name}/_staging_{date}"
-    rows = df.select(*(c for c in mart.columns if c != mart.date)).withColumn(version, F.current_timestamp())
-    delete(spark, stage)
-    rows.write.parquet(stage)
-    n = spark.read.schema(rows.schema).parquet(stage).count()
-    delete(spark, target)
-    if n:
-        (src, fs), (dst, _) = _path(spark, stage), _path(spark, target)
-        fs.rename(src, dst)
-    else:
-        delete(spark, stage)
-    return n
-
-
-def load(marts: Sequence[tuple[Mart, DataFrame]], root: str, date: str) -> dict[str, int]:
-    """All marts of a date: every one is checked for other dates before the first is touched."""
-    stray_dates(marts, date)
-    return {mart.name: write_day(mart, df, root, date) for mart, df in marts}
-
-
-def read(spark: SparkSession, mart: Mart, root: str, date: str | None = None) -> DataFrame:
-    """A mart; with a date only that partition is scanned."""
+def stray_dates(mart: Mart, df: DataFrame, dates: Sequence[str]) -> None:
+    """Raise if a mart has a row of a date that isn't among the given ones."""
+    own = F.coalesce(F.col(mart.date).cast("date").cast("string").isin(*dates), F.lit(False))
+    other = df.filter(~own).select(F.col(mart.date).cast("string").alias("d")).distinct().limit(5).collect()
+    if other:
+        raise ValueError(f"{mart.name}: rows of other dates than {dates[0]} to {dates[-1]}: {sorted(str(r.d) for r in other)}")
+
+
+def _staged(mart: Mart, df: DataFrame, root: str, version: str) -> DataFrame:
+    """The mart's rows, computed and written once under root/_staging."""
+    rows = df.select(*mart.columns).withColumn(version, F.current_timestamp())
+    path = f"{root}/_staging/{mart.name}"
+    rows.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _publish(mart: Mart, rows: DataFrame, root: str, dates: Sequence[str]) -> dict[str, int]:
+    """Replace the dates of a mart by staged rows: a dynamic overwrite of the dates that have rows, then the removal of those that have none,
+    whose old rows an overwrite alone would leave. Rows by date."""
+    spark = rows.sparkSession
+    counts = {r.d: r.n for r in rows.groupBy(F.col(mart.date).cast("string").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row for each date
+    if counts:
+        dealt = rows.withColumn(mart.date, F.col(mart.date).cast("date")).hint("rebalance", F.col(mart.date))  # few files a date, but no huge ones
+        dealt.sortWithinPartitions(mart.date, *mart.sort).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(mart.date).parquet(f"{root}/{mart.name}")
+    for d in dates:
+        if d not in counts:
+            delete(spark, f"{root}/{mart.name}/{mart.date}={d}")
+    return {d: counts.get(d, 0) for d in dates}
+
+
+def load(marts: Sequence[tuple[Mart, DataFrame]], root: str, *dates: str, version: str = "loaded_at") -> dict[str, dict[str, int]]:
+    """Marts of some dates; rows by mart and date. Each mart is computed once, into a staging folder, and checked there for other dates
+    before the first one is touched; staged rows go at the end, also after a failure, which leaves the old rows in place."""
+    spark = marts[0][1].sparkSession
+    try:
+        staged = [(mart, _staged(mart, df, root, version)) for mart, df in marts]
+        for mart, rows in staged:
+            stray_dates(mart, rows, dates)
+        return {mart.name: _publish(mart, rows, root, dates) for mart, rows in staged}
+    finally:
+        delete(spark, f"{root}/_staging")
+
+
+def read(spark: SparkSession, mart: Mart, root: str, date: str | None = None, last: str | None = None) -> DataFrame:
+    """A mart; with a date, or the dates from date to last, only those partitions are scanned."""
     df = spark.read.parquet(f"{root}/{mart.name}")
-    return df if date is None else df.filter(F.col(mart.date) == F.lit(date).cast("date"))
+    return df if date is None else df.filter(F.col(mart.date).between(F.lit(date).cast("date"), F.lit(last or date).cast("date")))
+
+
+def views(spark: SparkSession, root: str, *names: str) -> list[str]:
+    """Register the tables under root that exist as views of the catalog; their names."""
+    there = [n for n in names if exists(spark, f"{root}/{n}")]
+    for n in there:
+        spark.read.parquet(f"{root}/{n}").createOrReplaceTempView(n)
+    return there
 
 
 def replace_days(df: DataFrame, path: str, field: str, columns: Sequence[str]) -> None:
@@ -105,8 +125,13 @@ def write_sensor_marts(readings: DataFrame, excursions: DataFrame, gaps: DataFra
         write_json(df.withColumns(times) if times else df, f"{root}/{name}")
 
 
-def report_json(gates: DataFrame, date: str) -> str:
-    rows = [r.asDict() for r in gates.collect()]  # six rows
+def write_batch(lines: DataFrame, truth: DataFrame, path: str) -> None:
+    """Lines (raw, arrival) as text in the order of their arrival, and beside it the manifest of what was planted (JSON lines)."""
+    lines.sort("arrival").select("raw").write.mode("overwrite").text(path)
+    truth.sort("fault", "event_id").write.mode("overwrite").json(f"{path}.manifest")
+
+
+def report_json(rows: list[dict], date: str) -> str:
     return json.dumps({"run_date": date, "passed": all(r["passed"] for r in rows), "checks": rows}, sort_keys=True)
 
 

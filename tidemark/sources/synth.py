@@ -66,18 +66,19 @@ def between(low: float, high: float, u: Column) -> Column:
     return F.lit(low) + u * (high - low)
 
 
-def _faulty(events: DataFrame, seed: int, rates: Faults, corrupt: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
-    """events: event_id, at (seconds), child, body (struct). Adds late, early and repeated arrivals and broken contracts."""
+def _faulty(events: DataFrame, seed: int, rates: Faults, corrupt: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """events: event_id, at (seconds), child, body (struct). Adds late, early and repeated arrivals and broken contracts; corrupt: name, the
+    broken record and, unless it can befall any event, when it can."""
     one = draw(seed, "event_id", F.lit("fault"))
     kind = F.when(~F.col("child"), "none").when(one < rates.late, "late").when(one < rates.late + rates.out_of_order, "out_of_order").when(one < rates.late + rates.out_of_order + rates.invalid, "invalid").otherwise("none")
     rows = events.withColumn("fault", kind)
     shift = F.when(F.col("fault") == "late", between(600, 7200, draw(seed, "event_id", F.lit("late")))).when(F.col("fault") == "out_of_order", -between(60, 600, draw(seed, "event_id", F.lit("early")))).otherwise(between(0, 2, draw(seed, "event_id", F.lit("jitter"))))
-    pick = F.floor(draw(seed, "event_id", F.lit("how")) * len(corrupt)).cast("int")
-    plain, broken = F.to_json("body"), None
-    for i, (_, how) in enumerate(corrupt):
-        broken = F.when(pick == i, how) if broken is None else broken.when(pick == i, how)
-    names = F.element_at(F.array(*(F.lit(n) for n, _ in corrupt)), pick + 1)
-    rows = rows.select("event_id", (F.col("at") + shift).alias("arrival"), F.when(F.col("fault") == "invalid", broken).otherwise(plain).alias("raw"), "fault", F.when(F.col("fault") == "invalid", names).alias("how"))
+    plain = F.to_json("body")
+    # of the faults that an event can have, one
+    options = F.array_compact(F.array(*(F.when(can, F.struct(F.lit(name).alias("how"), text.alias("raw"))) for name, text, can in ((*c, F.lit(True))[:3] for c in corrupt))))
+    chosen = F.element_at(options, (F.floor(draw(seed, "event_id", F.lit("how")) * F.size(options)) + 1).cast("int"))
+    bad = F.col("fault") == "invalid"
+    rows = rows.withColumn("chosen", F.when(bad, chosen)).select("event_id", (F.col("at") + shift).alias("arrival"), F.when(bad, F.col("chosen.raw")).otherwise(plain).alias("raw"), "fault", F.col("chosen.how").alias("how"))
     again = rows.filter((draw(seed, "event_id", F.lit("again")) < rates.duplicate) & (F.col("fault") != "invalid"))
     resent = again.withColumns({"arrival": F.col("arrival") + between(1, 300, draw(seed, "event_id", F.lit("resent"))), "fault": F.lit("duplicate")})
     truth = rows.filter("fault <> 'none'").select("event_id", "fault", "how").unionByName(resent.select("event_id", "fault", "how"))
@@ -160,7 +161,7 @@ def delivery_log(spark: SparkSession, orders: int, seed: int = 21, rates: Faults
     lost = tries.filter("won IS NULL AND k = 2").withColumn("why", F.lit("no_rider")).unionByName(won.filter("stop").withColumn("why", F.lit("customer_request")).drop("stop"))
     lost = lost.withColumns({"event_id": F.format_string("z-%d", "id"), "at": F.col("at") + 120})
     gone = lost.select("event_id", "at", F.lit(True).alias("child"), _body(F.lit("OrderCancelled"), fields(cancel_reason=F.col("why"))).alias("body"))
-    corrupt = [("missing_order", _broken("order_id")), ("bad_time", _broken(event_time=F.lit("2026-13-45T25:61:00Z"))), ("odd_version", _broken(schema_version=F.lit(2)))]
+    corrupt = [("missing_order", _broken("order_id")), ("bad_time", _broken(event_time=F.lit("2026-13-45T25:61:00Z"))), ("odd_version", _broken(schema_version=F.lit(2))), ("missing_dispatch", _broken("dispatch_id"), F.col("body.dispatch_id").isNotNull()), ("non_positive_eta", _broken(eta_minutes=F.lit(0)), F.col("body.eta_minutes").isNotNull())]
     return _faulty(made.unionByName(sent).unionByName(done).unionByName(gone), seed, rates, corrupt)
 
 
