@@ -1,7 +1,11 @@
 """A corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, benchmark decontamination, packing.
 
 Each stage takes all that the one before kept. Between stages the documents are written as Parquet in the cluster's shared folder and
-read again, so a lost executor costs at most the running stage's tasks.
+read again, so a lost executor costs at most the running stage's tasks; a stage's input goes once its output is written.
+
+Defined cases, as the operators state them: a null or empty text is never toxic, near another or a leak, of several equal ones exact dedup
+keeps one, and it packs as one token; rows that repeat, or share a doc_id or have none, are rows of their own, of which the dedup stages
+keep one for each group; an empty table gives no rows; other columns pass through unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontam, exact_dedup, jaccard_join, packing, toxicity
-from tidemark.llm.common import store, table
+from tidemark.llm.common import discard, store, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +55,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, store(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
