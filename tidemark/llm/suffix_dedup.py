@@ -1,22 +1,25 @@
 """Substring dedup with distributed prefix doubling.
 
 Removed is each byte covered by a ``SPAN``-byte string that also starts in a document with a smaller doc_id. Ranking every position
-of a corpus would shuffle some tens of times its size, so positions are thinned first, without loss:
-
-1. Anchors: a position is an anchor where the hash of its ``GRAM`` bytes is the least of some window of SPAN - GRAM + 1 positions.
-   Every SPAN-byte string holds an anchor, at the same place wherever the string occurs, so equal strings share an anchor.
-2. An anchor's context is all that strings of SPAN bytes through it can cover. Anchors are grouped by gram and context, within each
-   task before the shuffle and globally after it: where a document with a smaller id has the whole context, the context goes, and only
-   the smallest document of each context stays in play. Anchors whose gram occurs in one document only are done.
-3. What is left are the ends of repeats: anchors shared by documents in different contexts. Their positions are ranked by prefix
-   doubling: by 8 bytes, then by sorted pairs of ranks 8, 16 and SPAN - 32 positions apart, dropping each position whose rank has become
-   unique to a document, until SPAN bytes are ranked. A position whose rank has a smaller document starts a removed string.
-
-Tasks exchange packed arrays, not rows. Of a gram's hash 32 bits and the bucket are sent, which only puts anchors
-together; a context is settled on all 64 bits of its hash, beside its gram; ranks are exact.
-
-Defined cases: null or empty texts have no bytes; texts shorter than SPAN keep all; a null doc_id counts as the largest; rows that
-repeat a doc_id are one document and must repeat its text; an empty table gives no rows; other columns are not read.
+of a corpus would shuffle some tens of times its size, so the strings are named by anchors, without loss:
+
+1. The anchor of a SPAN-byte string is the leftmost of its ``GRAM``-byte grams with the least hash. Equal strings have their anchor at
+   the same place, and neighbouring strings share anchors: about one for 17 strings. The bytes that an anchor's strings cover are its
+   context, and a string's name is (anchor, steps back from it).
+2. Tasks exchange packed anchors. Where a document with a smaller id has the whole context (by 128 bits of hashes: 32 of the gram and 96
+   of the context), the context goes, and only the smallest document of each context stays in play. Anchors whose gram occurs in one
+   document only are done.
+3. What is left are about a tenth of the anchors, the ends of repeats. Their strings are ranked by Spark: the steps are cut into blocks
+   of 16, whose strings have 35 bytes in common; these are sorted and ranked, and what is unique to one document is dropped. Then pairs
+   (rank, bytes added at both ends) give the ranks of blocks of 4 steps (47 bytes) and of single strings (SPAN bytes). A string, or a
+   block's strings together, whose rank has a smaller document is removed. Ranks are exact: they name literal bytes.
+
+Each ranking is a grouping with map-side combination and a join that Spark can split, so a rank that very many documents share does
+not land in one task. Packed anchors are dealt to buckets of about ``BUCKET_BYTES`` of text, so a task's memory does not follow the corpus.
+
+Defined cases: null or empty texts have no bytes; texts shorter than SPAN keep all; rows that repeat doc_id and text are one document;
+rows that share a doc_id, or have none, with other texts are documents of their own, ordered by a hash of the text; a null doc_id
+counts as the largest; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,78 +30,89 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, release, slices, small_batches, store, trim
+from .common import discard, mix64, partitions, release, slices, store, task, trim
 
 SPAN = 50
 GRAM = 16
 _BACK = SPAN - GRAM
-_WIDE = _BACK + SPAN
-#: Window starts that are hashed at once.
-_BLOCK = 1 << 18
+#: Steps in a block of each ranking.
+BLOCKS = (16, 4, 1)
+#: Text whose anchors go to one bucket, on average.
+BUCKET_BYTES = 4 << 20
+#: Text that is hashed at once.
+_CHUNK = 1 << 17
 #: Anchors that a task holds before it sends them.
 _HELD = 1 << 18
-#: Contexts that are ranked at once; those of one gram stay together.
-_RANKED = 1 << 13
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_SIZE = _BLOCK + 4 * _WIDE
-_POWER = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_SIZE, _BASE)]))
-_UNPOWER = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_SIZE, _INVERSE)]))
+_PLACE = np.uint64((1 << 20) - 1)
 _LAST = np.iinfo(np.int64).max
-#: What anchors are settled by: 32 bits of the gram's hash (the bucket has others) and all 64 of the context's.
-_KEY = np.dtype([("gram", "<u4"), ("context", "<u8")])
+#: What anchors are settled by (the bucket has other bits of the gram's hash).
+_KEY = np.dtype([("gram", "<u4"), ("context", "<u8"), ("more", "<u4")])
+_REACH = np.dtype([("back", "u1"), ("width", "u1"), ("extent", "<u4")])
 PACKED = "kind int, bucket int, docs binary, places binary, ends binary, keys binary"
 
 
-def _window(x: np.ndarray, w: int, f) -> np.ndarray:
-    """f over x[i : i + w], by doubling; the last w - 1 are over what is there."""
+class _Hash:
+    """Polynomial hashes of the substrings of a text by prefix sums."""
+
+    def __init__(self, base: int, length: int):
+        self.base = np.uint64(base)
+        inverse = np.uint64(pow(base, -1, 1 << 64))
+        self.byte = mix64(np.arange(1, 257, dtype=np.uint64) * self.base)
+        one = np.ones(1, np.uint64)
+        self.power = np.cumprod(np.concatenate([one, np.full(length, self.base)]))
+        self.unpower = np.cumprod(np.concatenate([one, np.full(length, inverse)]))
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.byte[data] * self.power[: len(data)])])
+
+    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (sums[end] - sums[start]) * self.unpower[start]
+
+
+_ONE, _TWO = (_Hash(b, _CHUNK + 2 * SPAN) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+
+
+def _least(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of x[i : i + w], by doubling; the last w - 1 are over what is there."""
     n = 1
     while n < w:
         step = min(n, w - n)
         y = x.copy()
-        f(x[:-step], x[step:], out=y[:-step])
+        np.minimum(x[:-step], x[step:], out=y[:-step])
         x, n = y, n + step
     return x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, gram hash, context hash) of the anchors of texts laid end to end."""
-    out = []
+def anchors(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(place of an anchor's first string, anchor's place less that, number of strings less one, extent, hash of the gram, two of the
+    context) for the anchors of a text, a part of a long text at a time; a part's border may divide an anchor's strings. Anchors of one
+    context that follow each other within SPAN bytes are given once; extent is how far the last lies from the first."""
     n = len(data)
-    for s in range(0, n, _BLOCK):
-        e = min(n, s + _BLOCK)
-        a, b = max(0, s - _WIDE), min(n, e + _WIDE)
-        d = data[a:b]
-        if len(d) < SPAN:
-            continue
-        first, last = np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b - 1, "right") - 1
-        inside = np.minimum(offsets[first + 1 : last + 2], b) - np.maximum(offsets[first : last + 1], a)
-        text = np.repeat(np.arange(first, last + 1), inside)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[d] * _POWER[: len(d)])])
-        h = (total[GRAM:] - total[:-GRAM]) * _UNPOWER[: len(d) - GRAM + 1]
+    for s in range(0, n - SPAN + 1, _CHUNK):
+        d = data[s : min(n, s + _CHUNK + SPAN - 1)]
+        one, two = _ONE.sums(d), _TWO.sums(d)
+        h = (one[GRAM:] - one[:-GRAM]) * _ONE.unpower[: len(d) - GRAM + 1]
         h ^= h >> np.uint64(32)
-        h *= _BASE
+        h *= _ONE.base
         h ^= h >> np.uint64(29)
-        h = np.concatenate([h | np.uint64(1), np.full(GRAM - 1, ~np.uint64(0))])
-        low = _window(h, _BACK + 1, np.minimum)
-        at = np.arange(a, b)
-        low[(at + SPAN > offsets[text + 1]) | (at < s) | (at >= e)] = 0  # windows of this block, within one text
-        pos = np.flatnonzero(_window(low[::-1], _BACK + 1, np.maximum)[::-1] == h)
-        if not len(pos):
-            continue
-        t = text[pos]
-        lo, hi = np.maximum(pos - _BACK, offsets[t] - a), np.minimum(pos + SPAN, offsets[t + 1] - a)
-        c = (total[hi] - total[lo]) * _UNPOWER[lo] + (pos - lo).astype(np.uint64) * _BASE * _BASE + (hi - pos).astype(np.uint64) * _INVERSE
-        out.append((pos + a, h[pos], mix64(c)))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    pos, h, c = (np.concatenate(x) for x in zip(*out, strict=True))
-    pos, keep = np.unique(pos, return_index=True)
-    return pos, h[keep], c[keep]
+        order = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+        own = (_least(order, _BACK + 1)[: len(d) - SPAN + 1] & _PLACE).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        last = np.append(first[1:], len(own)) - 1
+        place = own[first]
+        shape = ((place - first) * 64 + last - first).astype(np.uint64)
+        c = mix64(_ONE.of(one, first, last + SPAN) + mix64(shape + np.uint64(1)))
+        more = mix64(_TWO.of(two, first, last + SPAN) ^ shape)
+        h = h[place]
+        # the same context again and again, as in a run of one word: whatever is removed of each touches what is removed of the next
+        new = np.ones(len(first), bool)
+        new[1:] = (c[1:] != c[:-1]) | (more[1:] != more[:-1]) | (h[1:] != h[:-1]) | (first[1:] - first[:-1] > SPAN)
+        at = np.flatnonzero(new)
+        extent = first[np.append(at[1:], len(first)) - 1] - first[at]
+        yield first[at] + s, (place - first)[at], (last - first)[at], extent, h[at], c[at], more[at]
 
 
 def merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,20 +132,21 @@ def merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
 def _rows(kind: int, bucket: np.ndarray, buckets: int, *columns: np.ndarray | None) -> list[tuple]:
     """A packed row for each bucket that has something."""
     order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return [(kind, b, *(None if x is None else x[order[cut[b] : cut[b + 1]]].tobytes() for x in columns)) for b in range(buckets) if cut[b] < cut[b + 1]]
+    sorted_ = bucket[order]
+    cut = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1], [True]])) if len(sorted_) else np.empty(0, np.int64)
+    return [(kind, int(sorted_[a]), *(None if x is None else x[order[a:b]].tobytes() for x in columns)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 _KINDS = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 _NAMES = ["kind", "bucket", "docs", "places", "ends", "keys"]
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], _NAMES)
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)]
 
 
 def _deal(doc: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix64(doc.view(np.uint64) * _BASE + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+    return (mix64(doc.view(np.uint64) * _ONE.base + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _flags(doc: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> list[tuple]:
@@ -151,62 +166,54 @@ def _later(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return doc > np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
 
 
+def _reach(back: np.ndarray, width: np.ndarray, extent: np.ndarray) -> np.ndarray:
+    out = np.empty(len(back), _REACH)
+    out["back"], out["width"], out["extent"] = back, width, extent
+    return out
+
+
 def scan(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed anchors (kind 0, dealt by gram) and ranges that a task could settle by itself (kind 1, dealt by document)."""
+    """Of docs (id, text) packed anchors (kind 0, dealt by gram) and ranges that a task could settle by itself (kind 1, dealt by document)."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            h, c, doc, place, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((c, h))
-            h, c, doc, place, lo, hi = h[order], c[order], doc[order], place[order], lo[order], hi[order]
-            bucket = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-            gone = _later(doc, h, c)
-            rows = _flags(doc[gone], (place - lo)[gone], (place + hi)[gone], buckets)
+            start, back, width, extent, h, c, more, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((more, c, h))
+            start, back, width, extent, h, c, more, doc = (x[order] for x in (start, back, width, extent, h, c, more, doc))
+            gone = _later(doc, h, c, more)
+            rows = _flags(doc[gone], start[gone], (start + width + extent)[gone] + SPAN, buckets)
             stay = np.flatnonzero(~gone)
-            stay = stay[np.lexsort((place[stay], doc[stay]))]  # by document: packs better
-            reach = (lo << 8 | hi).astype("<u2")
+            stay = stay[np.lexsort((start[stay], doc[stay]))]  # by document: packs better
+            bucket = (((mix64(h[stay]) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)  # mixed, as the least hashes stay
             key = np.empty(len(stay), _KEY)
-            key["gram"], key["context"] = h[stay].astype(np.uint32), c[stay]
-            rows += _rows(0, bucket[stay], buckets, doc[stay], place[stay].astype("<u4"), reach[stay], key)
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], _NAMES)
-
-        for batch in slices(batches, limit=1 << 21):
-            text = pc.fill_null(batch.column("text"), "")
-            ends = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(ends)])
-            data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] else np.empty(0, np.uint8)
-            at = np.frombuffer(text.buffers()[1], np.int32)[text.offset] if len(data) else 0
-            data = data[at : at + offsets[-1]]
-            pos, h, c = anchors(data, offsets)
-            if not len(pos):
-                continue
-            t = np.searchsorted(offsets, pos, "right") - 1
-            place = pos - offsets[t]
-            lo, hi = np.minimum(place, _BACK), np.minimum(ends[t] - place, SPAN)
-            held.append((h, c, batch.column("id").to_numpy()[t], place, lo, hi))
-            size += len(pos)
-            if size >= _HELD:
-                out = flush()
-                held, size = [], 0
-                trim()
-                yield out
+            key["gram"], key["context"], key["more"] = h[stay].astype(np.uint32), c[stay], (more[stay] >> np.uint64(32)).astype(np.uint32)
+            rows += _rows(0, bucket, buckets, doc[stay], start[stay].astype("<u4"), _reach(back, width, extent)[stay], key)
+            return pa.RecordBatch.from_arrays(_columns(rows), _NAMES)
+
+        for batch in slices(batches):
+            for id_, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+                raw = text.as_buffer()
+                for found in anchors(np.frombuffer(raw, np.uint8)) if raw and len(raw) >= SPAN else ():
+                    held.append((*found, np.full(len(found[0]), id_)))
+                    size += len(found[0])
+                    if size >= _HELD:
+                        out = flush()
+                        held, size = [], 0
+                        trim()
+                        yield out
         if held:
             out, held = flush(), []
             yield out
-        trim()
-
-    return docs.select(_id(), "text").mapInArrow(run, PACKED)
 
-
-def _id():
-    return F.coalesce("doc_id", F.lit(_LAST)).alias("id")
+    return docs.mapInArrow(run, PACKED)
 
 
 def group(buckets: int):
-    """Of a bucket: ranges settled (kind 1) and anchors that need ranks (kind 2, keys: grams), both dealt by document."""
+    """Of a bucket: ranges settled (kind 1) and anchors that need ranks (kind 2), both dealt by document."""
 
     def run(table: pa.Table) -> pa.Table:
         trim()  # of the group before
@@ -214,160 +221,186 @@ def group(buckets: int):
         table = table.filter(pc.equal(table["kind"], 0))
         rows = list(zip(*(kept[c].to_pylist() for c in _NAMES), strict=True))
         key, doc = _column(table, "keys", _KEY), _column(table, "docs", "<i8")
-        place, reach = _column(table, "places", "<u4").astype(np.int64), _column(table, "ends", "<u2").astype(np.int64)
+        start, reach = _column(table, "places", "<u4").astype(np.int64), _column(table, "ends", _REACH)
         if len(key):
-            order = np.lexsort((key["context"], key["gram"]))
-            key, doc, place, reach = key[order], doc[order], place[order], reach[order]
-            gone = _later(doc, key["gram"], key["context"])
-            rows += _flags(doc[gone], (place - (reach >> 8))[gone], (place + (reach & 255))[gone], buckets)
-            gram, doc, place = key["gram"][~gone].astype(np.uint64), doc[~gone], place[~gone]
+            order = np.lexsort((key["more"], key["context"], key["gram"]))
+            key, doc, start, reach = key[order], doc[order], start[order], reach[order]
+            gone = _later(doc, key["gram"], key["context"], key["more"])
+            rows += _flags(doc[gone], start[gone], (start + reach["width"] + reach["extent"])[gone] + SPAN, buckets)
+            gram, doc, start, reach = key["gram"][~gone], doc[~gone], start[~gone], reach[~gone]
             new = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             n = np.diff(np.append(new, len(gram)))
             shared = np.repeat(np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new), n)
-            bucket = table["bucket"][0].as_py()
-            gram = (np.uint64(bucket) << np.uint64(32) | gram)[shared]
-            rows += _rows(2, _deal(doc[shared], buckets), buckets, doc[shared], place[shared].astype("<u4"), None, gram)
-        return _table(rows)
+            doc, start, reach = doc[shared], start[shared], reach[shared]
+            rows += _rows(2, _deal(doc, buckets), buckets, doc, start.astype("<u4"), reach, None)
+        return pa.Table.from_arrays(_columns(rows), _NAMES)
 
     return run
 
 
 def _per_document(kind: int):
-    """Packed rows of a bucket to a row for each document: id, data (kind 1: merged starts and ends; kind 2: places, then grams)."""
+    """Packed rows of a bucket to a row for each document: id, data (kind 1: merged starts and ends; kind 2: starts, then reaches)."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, place = _column(table, "docs", "<i8"), _column(table, "places", "<u4").astype(np.int64)
+        doc, start = _column(table, "docs", "<i8"), _column(table, "places", "<u4").astype(np.int64)
         if kind == 1:
-            doc, place, other = merge(doc, place, _column(table, "ends", "<u4").astype(np.int64))
+            doc, start, other = merge(doc, start, _column(table, "ends", "<u4").astype(np.int64))
         else:
-            other = _column(table, "keys", "<u8").view(np.int64)
-            order = np.lexsort((place, doc))
-            doc, place, other = doc[order], place[order], other[order]
+            other = _column(table, "ends", _REACH)
+            order = np.lexsort((start, doc))
+            doc, start, other = doc[order], start[order], other[order]
         new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, np.int64)
         cut = np.append(new, len(doc)).tolist()
-        data = [place[a:b].tobytes() + other[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+        data = [start[a:b].tobytes() + other[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
         return pa.table({"id": pa.array(doc[new], pa.int64()), "data": pa.array(data, pa.binary())})
 
     return run
 
 
-def contexts(joined: DataFrame, buckets: int) -> DataFrame:
-    """Contexts (kind 3, dealt by gram): docs, places, ends: SPAN-wide bytes around each anchor, keys: reach."""
+def contexts(joined: DataFrame) -> DataFrame:
+    """doc, place (of the anchor), most and least steps back to its strings, extent, and the context's bytes; of joined (id, text, data)."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            parts = []
+        for batch in slices(batches, limit=1 << 20):
             for id_, text, data in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("data"), strict=True):
-                raw, both = text.as_py().encode("utf-8", "surrogatepass"), np.frombuffer(data.as_py(), np.int64)
-                place, gram = both[: len(both) // 2], both[len(both) // 2 :].view(np.uint64)
-                padded = np.frombuffer(b"\0" * _BACK + raw + b"\0" * SPAN, np.uint8)
-                around = np.lib.stride_tricks.sliding_window_view(padded, _WIDE)[place]
-                lo, hi = np.minimum(place, _BACK), np.minimum(len(raw) - place, SPAN)
-                parts.append((gram, np.full(len(place), id_), place, around, (lo << 8 | hi).astype("<u8")))
-            gram, doc, place, around, reach = (np.concatenate(x) for x in zip(*parts, strict=True))
-            bucket = (gram >> np.uint64(32)).astype(np.int64)
-            rows = _rows(3, bucket, buckets, doc, place.astype("<u4"), around, (gram << np.uint64(32) >> np.uint64(16)) | reach)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], _NAMES)
-
-    return joined.select("id", "text", "data").mapInArrow(run, PACKED)
-
+                data, raw = data.as_buffer(), np.frombuffer(text.as_buffer(), np.uint8)
+                count = len(data) // (8 + _REACH.itemsize)
+                start, reach = np.frombuffer(data, np.int64, count), np.frombuffer(data, _REACH, count, 8 * count)
+                back, width = reach["back"].astype(np.int64), reach["width"].astype(np.int64)
+                cut = np.concatenate([[0], np.cumsum(width + SPAN)])
+                around = raw[np.repeat(start - cut[:-1], width + SPAN) + np.arange(cut[-1])]
+                bytes_ = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(around)])
+                columns = [pa.array(np.full(len(start), id_)), pa.array((start + back).astype(np.int32)), pa.array(back.astype(np.int32)), pa.array((back - width).astype(np.int32)), pa.array(reach["extent"].astype(np.int32)), bytes_]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "place", "most", "least", "extent", "around"])
+
+    return joined.select("id", "text", "data").mapInArrow(run, "doc long, place int, most int, least int, extent int, around binary")
+
+
+def _blocks(df: DataFrame, size: int) -> DataFrame:
+    """A row for each block of so many steps that an anchor's strings are in: from, to (steps) and b_least, b_most (those that count)."""
+    out = df.withColumn("block", F.explode(F.sequence(F.floor(F.col("least") / size).cast("int"), F.floor(F.col("most") / size).cast("int"))))
+    out = out.withColumns({"from": F.col("block") * size, "to": F.least(F.col("block") * size + (size - 1), F.lit(_BACK))})
+    return out.withColumns({"b_least": F.greatest("least", "from"), "b_most": F.least("most", "to")})
+
+
+def _cut(c: str, start: Column, length: Column) -> Column:
+    return F.substring(F.col(c), start + 1, length)
+
+
+def _ranked(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """The ranks that several documents have: key, rank, first (their smallest document)."""
+    groups = rows.groupBy(*key).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+    return store(groups.select(*key, "first", F.monotonically_increasing_id().alias("rank")), name)
+
+
+def ends(found: DataFrame) -> DataFrame:
+    """doc, start, end of the ranges that contexts' strings with a smaller document cover."""
+    c = F.col
+    # blocks of 16 steps: the bytes that their strings share, and what the strings add to the left and to the right
+    rows = _blocks(found, BLOCKS[0]).select(
+        "doc", "place", "extent", "block", c("b_least").alias("least"), c("b_most").alias("most"),
+        _cut("around", c("most") - c("from"), SPAN - c("to") + c("from")).alias("key"),
+        _cut("around", c("most") - c("b_most"), c("b_most") - c("from")).alias("left"),
+        _cut("around", c("most") + SPAN - c("to"), c("to") - c("b_least")).alias("right"),
+    )
+    ranks = _ranked(rows, ["block", "key"], "ranks-35")
+    wide = F.col("block") * BLOCKS[0]
+    far = F.least(wide + (BLOCKS[0] - 1), F.lit(_BACK))
+    alive = store(rows.join(ranks, ["block", "key"]).select("doc", "place", "extent", "least", "most", "rank", wide.alias("low"), far.alias("high"), "left", "right"), "alive-35")
+    discard(ranks)
+    # blocks of 4: first those whose strings a smaller document has all together, then what they share with any other document
+    rows = _blocks(alive.withColumnRenamed("rank", "above"), BLOCKS[1]).select(
+        "doc", "place", "extent", "above", "block", c("b_least").alias("least"), c("b_most").alias("most"), c("from").alias("low"), c("to").alias("high"),
+        _cut("left", c("most") - c("b_most"), c("b_most") - c("low")).alias("left"), _cut("right", F.lit(0), c("high") - c("b_least")).alias("right"),
+        (c("from") - c("low")).alias("more_left"), (c("high") - c("to")).alias("more_right"),
+    )
+    whole = ["above", "least", "most", "left", "right"]
+    ranks = _ranked(rows, whole, "ranks-whole")
+    judged = store(rows.join(ranks.select(*whole, "first"), whole, "left"), "judged")
+    discard(ranks, alive)
+    settled = judged.filter("doc > first").select("doc", (c("place") - c("most")).alias("start"), (c("place") - c("least") + c("extent") + SPAN).alias("end"))
+    steps = c("most") - c("low")
+    rows = judged.filter("first IS NULL OR doc = first").select(
+        "doc", "place", "extent", "above", "block", "least", "most", "low", "high",
+        _cut("left", steps, c("more_left")).alias("near_left"), _cut("right", F.lit(0), c("more_right")).alias("near_right"),
+        _cut("left", F.lit(0), steps).alias("left"), _cut("right", c("more_right"), c("high") - c("least")).alias("right"),
+    )
+    key = ["above", "block", "near_left", "near_right"]
+    ranks = _ranked(rows, key, "ranks-47")
+    alive = store(rows.join(ranks.select(*key, F.col("rank").alias("under")), key).drop(*key), "alive-47")
+    discard(ranks)
+    # single strings
+    rows = _blocks(alive, BLOCKS[2]).select("doc", "place", "extent", "under", "block", _cut("left", c("most") - c("block"), c("block") - c("low")).alias("left"), _cut("right", F.lit(0), c("high") - c("block")).alias("right"))
+    key = ["under", "block", "left", "right"]
+    ranks = _ranked(rows, key, "ranks-50")
+    single = rows.join(ranks.select(*key, "first"), key).filter("doc > first").select("doc", (c("place") - c("block")).alias("start"), (c("place") - c("block") + c("extent") + SPAN).alias("end"))
+    out = store(settled.union(single), "ends")
+    discard(judged, alive, ranks)
+    return out
+
+
+def _packed(ranges: DataFrame, buckets: int) -> DataFrame:
+    """Ranges (doc, start, end) as packed rows of kind 1."""
+
+    @task
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            held.append([batch.column(c).to_numpy().astype(np.int64) for c in ("doc", "start", "end")])
+            if sum(len(x[0]) for x in held) >= _HELD:
+                yield pa.RecordBatch.from_arrays(_columns(_flags(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)), _NAMES)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays(_columns(_flags(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)), _NAMES)
 
-def rank(buckets: int):
-    """Prefix doubling over the contexts of a bucket: the starts of SPAN-byte strings that a smaller document has (kind 1)."""
+    return ranges.mapInArrow(run, PACKED)
 
-    def run(table: pa.Table) -> pa.Table:
-        trim()
-        doc, place, key = _column(table, "docs", "<i8"), _column(table, "places", "<u4").astype(np.int64), _column(table, "keys", "<u8")
-        around = _column(table, "ends", np.uint8).reshape(-1, _WIDE)
-        # equal strings share a gram, so grams are ranked a few thousand contexts at a time
-        order = np.argsort(key >> np.uint64(16), kind="stable")
-        gram = key[order] >> np.uint64(16)
-        firsts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.empty(0, np.int64)
-        found = []
-        at = 0
-        while at < len(order):
-            k = np.searchsorted(firsts, at + _RANKED, "left")
-            end = int(firsts[k]) if k < len(firsts) else len(order)
-            own = order[at:end]
-            found.append(starts(doc[own], place[own], (key[own] & np.uint64(0xFFFF)).astype(np.int64), around[own]))
-            at = end
-        who, start = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (doc, place)
-        return _table(_flags(who, start, start + SPAN, buckets))
-
-    def starts(doc: np.ndarray, place: np.ndarray, reach: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, start) of the strings that a smaller document has."""
-        lo, hi = reach >> 8, reach & 255
-        width = _WIDE - 7
-        eight = np.zeros((len(doc), width), np.uint64)
-        for j in range(8):
-            eight = (eight << np.uint64(8)) | around[:, j : j + width]
-        offset = np.arange(width)[None, :]
-        alive = (offset >= _BACK - lo[:, None]) & (offset + 8 <= _BACK + hi[:, None])
-        ranks = np.zeros(eight.shape, np.int64)
-        length = 8
-
-        def rerank(keys: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Ranks of the live positions by sorting; positions whose rank occurs in one document are no longer live."""
-            row, col = np.nonzero(alive)
-            value = keys[row, col]
-            order = np.argsort(value, kind="stable")
-            value, who = value[order], doc[row[order]]
-            new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, bool)
-            number = np.cumsum(new) - 1
-            first = np.flatnonzero(new)
-            ranks, live = np.zeros(alive.shape, np.int64), np.zeros(alive.shape, bool)
-            if len(value):
-                least, most = np.minimum.reduceat(who, first), np.maximum.reduceat(who, first)
-                ranks[row[order], col[order]] = number
-                live[row[order], col[order]] = (least != most)[number]
-            return ranks, live
-
-        ranks, alive = rerank(eight, alive)
-        del eight
-        while length < SPAN:
-            step = min(length, SPAN - length)
-            n = alive.shape[1] - step
-            both = alive[:, :n] & alive[:, step:]
-            keys = (ranks[:, :n].astype(np.uint64) << np.uint64(32)) | ranks[:, step:].astype(np.uint64)
-            length += step
-            ranks, alive = rerank(keys, both)
-        row, col = np.nonzero(alive)
-        number, who = ranks[row, col], doc[row]
-        least = np.full(int(number.max()) + 1 if len(number) else 0, _LAST)
-        np.minimum.at(least, number, who)
-        m = who > least[number]
-        return who[m], place[row[m]] - _BACK + col[m]
 
-    return run
+def identified(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with id: doc_id, a null as the largest; where other texts share a doc_id, numbers in the order of (doc_id, hash of the text)."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    plain = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("id"))
+    hashed = plain.select("doc_id", "id", F.xxhash64("text").alias("hash"))
+    if hashed.groupBy("id").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).filter("a <> b").isEmpty():
+        return plain
+    order = hashed.distinct().sort(F.col("doc_id").isNull(), "id", "hash")  # ids rise with the sorted partitions
+    numbers = store(order.select("id", "hash", F.monotonically_increasing_id().alias("number")).dropDuplicates(["id", "hash"]), "numbers")
+    return plain.withColumn("hash", F.xxhash64("text")).join(numbers, ["id", "hash"]).select("doc_id", "text", F.col("number").alias("id"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """id (doc_id, a null as the largest), data: starts then ends of the removed runs, as int64; documents with any."""
+    """Of docs (id, text): id, data (starts, then ends, of the removed runs, as int64) of the documents with any."""
     spark = docs.sparkSession
-    buckets = 4 * max(1, partitions(spark))  # more than tasks, so that a group is a part of what a task reads
-    with small_batches(spark):
-        marks = store(scan(docs, buckets).groupBy("bucket").applyInArrow(group(buckets), PACKED), "marks")
-        release(spark)
-        open_ = marks.filter("kind = 2").groupBy("bucket").applyInArrow(_per_document(2), "id long, data binary")
-        joined = docs.select(_id(), "text").join(open_, "id")
-        ranked = store(contexts(joined, buckets).groupBy("bucket").applyInArrow(rank(buckets), PACKED), "ranked")
-        release(spark)
-    return marks.filter("kind = 1").union(ranked).groupBy("bucket").applyInArrow(_per_document(1), "id long, data binary")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
+    marks = store(scan(docs.select("id", "text"), buckets).groupBy("bucket").applyInArrow(group(buckets), PACKED), "marks")
+    release(spark)
+    open_ = marks.filter("kind = 2").groupBy("bucket").applyInArrow(_per_document(2), "id long, data binary")
+    found = store(contexts(docs.select("id", "text").join(open_, "id")), "contexts")
+    release(spark)
+    late = ends(found)
+    discard(found)
+    spans = store(marks.filter("kind = 1").union(_packed(late, buckets)).groupBy("bucket").applyInArrow(_per_document(1), "id long, data binary"), "spans")
+    discard(marks, late)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs; with_text adds the kept bytes and the spans."""
+    docs = identified(docs)
     spans = repeated_spans(docs)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], [], [], []]
-            for text, data in zip(batch.column("text").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
+            for text, data in zip(batch.column("text"), batch.column("data").to_pylist(), strict=True):
+                raw = text.as_buffer().to_pybytes()
                 both = np.frombuffer(data or b"", np.int64)
                 starts, ends = both[: len(both) // 2].tolist(), both[len(both) // 2 :].tolist()
                 kept = b"".join(raw[a:b] for a, b in zip([0, *ends], [*starts, len(raw)], strict=True)) if starts else raw
-                for c, x in zip(out, (len(raw), len(raw) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept, starts, ends), strict=True):
+                for c, x in zip(out, (len(raw), len(raw) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept if with_text else None, starts, ends), strict=True):
                     c.append(x)
             kinds = [pa.int64()] * 3 + [pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             n = 7 if with_text else 4
@@ -375,5 +408,4 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "starts", "ends"]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, starts array<long>, ends array<long>" * with_text
-    joined = docs.select("doc_id", _id(), "text").join(spans, "id", "left")
-    return joined.select("doc_id", "text", "data").mapInArrow(run, schema)
+    return docs.join(spans, "id", "left").select("doc_id", "text", "data").mapInArrow(run, schema)
