@@ -6,9 +6,10 @@ wanted grade. Features of a text are relative frequencies of hashed words, word
 text's length doesn't matter. The model is fitted on at most ``sample`` graded rows in order of a hash of doc_id; rows with
 crc32(doc_id as text) mod 4 = 2 are never learned from. Scoring is one pass over whole texts without a shuffle.
 
-Defined cases: null or empty texts have no features and score 0; null ratings and ratings without a document are left out; a grade
-that no row has keeps its place; without any usable rating every text gets the same score; repeated rows get a row each; other
-columns are not read.
+Defined cases: null or empty texts have no features and score 0; null ratings and ratings without a document are left out; of several
+ratings of one doc_id the greatest counts, and rows that share a rated doc_id are all learned from; a grade that no row has keeps its
+place; without any usable rating every text gets the same score; repeated rows get a row each, with equal scores; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_words, trim
+from .common import slices, split_words, task, tune
 from .toxicity import held_out, labelled
 
 SAMPLE = 12_000
+STEPS = 300
 #: Hashed words, then hashed shapes, then "same as the word before" and its run.
 WORDS, SHAPES = 1_024, 512
 DIM = WORDS + SHAPES + 2
@@ -36,7 +38,7 @@ def _shape(word: str) -> str:
     lead = "^" if word[:1].isupper() and not word[:2].isupper() else ""
     for pattern, to in _CLASSES:
         word = pattern.sub(to, word)
-    return lead + word[:12]
+    return lead + word
 
 
 class Features:
@@ -88,35 +90,39 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.cuts[None, :], -30, 30)))
 
 
-def fit_arrays(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 120) -> Model:
-    """Proportional odds by Adam; the thresholds are a first one and positive steps, so they stay ordered."""
+def loss_and_slopes(z: np.ndarray, grade: np.ndarray, w: np.ndarray, cut: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean negative log likelihood of the grades and its slopes by the weights w and by cut: the first threshold, then the logarithms of
+    the steps to the next ones, so that the thresholds stay ordered."""
+    n, grades, at = len(grade), len(cut) + 1, np.arange(len(grade))
+    cuts = cut[0] + np.concatenate([[0], np.cumsum(np.exp(cut[1:]))])
+    upper = 1 / (1 + np.exp(-np.clip((z @ w)[:, None] - cuts, -30, 30)))  # P(grade >= j)
+    full = np.concatenate([np.ones((n, 1)), upper, np.zeros((n, 1))], 1)
+    slope = np.concatenate([np.zeros((n, 1)), upper * (1 - upper), np.zeros((n, 1))], 1)
+    own = np.maximum(full[at, grade] - full[at, grade + 1], 1e-6)
+    low, high = slope[at, grade] / own, slope[at, grade + 1] / own
+    by_cut = (np.bincount(grade, low, grades + 1) - np.bincount(grade + 1, high, grades + 1))[1:grades] / n
+    tail = np.cumsum(by_cut[::-1])[::-1]
+    by_score = ((high - low) / n).astype(np.float32)
+    return float(-np.mean(np.log(own))), [z.T @ by_score, np.concatenate([[tail[0]], tail[1:] * np.exp(cut[1:])]).astype(np.float32)]
+
+
+def fit_arrays(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = STEPS) -> Model:
+    """Proportional odds by Adam with weight decay. x (float32) is scaled in place."""
     n = len(grade)
-    scale = x.std(0) + 1e-3 if n else np.ones(x.shape[1], np.float32)
-    z = x / scale
+    scale = x.std(0) + np.float32(1e-3) if n else np.ones(x.shape[1], np.float32)
+    x /= scale
     share = np.array([np.clip((grade >= j).mean() if n else 0.5, 0.01, 0.99) for j in range(1, grades)])
     start = np.maximum.accumulate(np.log(1 / share - 1))
-    w = np.zeros(x.shape[1], np.float32)
-    cut = np.array([start[0], *np.log(np.maximum(np.diff(start), 0.1))], np.float32)
-    m1, m2 = [np.zeros_like(w), np.zeros_like(cut)], [np.zeros_like(w), np.zeros_like(cut)]
+    p = [np.zeros(x.shape[1], np.float32), np.array([start[0], *np.log(np.maximum(np.diff(start), 0.1))], np.float32)]
+    m1, m2 = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
     for t in range(1, steps + 1 if n else 1):
-        cuts = cut[0] + np.concatenate([[0], np.cumsum(np.exp(cut[1:]))])
-        s = z @ w
-        upper = 1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -30, 30)))  # P(grade >= j)
-        full = np.concatenate([np.ones((n, 1)), upper, np.zeros((n, 1))], 1)
-        own = np.maximum(full[np.arange(n), grade] - full[np.arange(n), grade + 1], 1e-6)
-        slope = np.concatenate([np.zeros((n, 1)), upper * (1 - upper), np.zeros((n, 1))], 1)
-        low, high = slope[np.arange(n), grade], slope[np.arange(n), grade + 1]
-        g = -((low - high) / own / n).astype(np.float32)
-        by_cut = np.zeros((n, grades + 1))
-        by_cut[np.arange(n), grade] += low / own
-        by_cut[np.arange(n), grade + 1] -= high / own
-        by_cut = by_cut[:, 1:grades].sum(0) / n
-        tail = np.cumsum(by_cut[::-1])[::-1]
-        grads = [z.T @ g + 1e-3 * w, np.concatenate([[tail[0]], tail[1:] * np.exp(cut[1:])]).astype(np.float32)]
-        for q, d, a1, a2, rate in zip((w, cut), grads, m1, m2, (0.08, 0.08), strict=True):
+        _, grads = loss_and_slopes(x, grade, *p)
+        for q, d, decay, a1, a2 in zip(p, grads, (1e-3, 0), m1, m2, strict=True):
+            d = d + decay * q
             a1 += 0.1 * (d - a1)
             a2 += 0.01 * (d * d - a2)
-            q -= rate * (a1 / (1 - 0.9**t)) / (np.sqrt(a2 / (1 - 0.99**t)) + 1e-7)
+            q -= 0.08 * (a1 / (1 - 0.9**t)) / (np.sqrt(a2 / (1 - 0.99**t)) + 1e-7)
+    w, cut = p
     cuts = cut[0] + np.concatenate([[0], np.cumsum(np.exp(cut[1:]))])
     return Model((w / scale).astype(np.float64), cuts.astype(np.float64))
 
@@ -124,15 +130,20 @@ def fit_arrays(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 120)
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE) -> Model:
     """ratings: doc_id, grade from 0 to grades - 1."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in slices(batches, limit=2 << 20):
             blobs = [r.astype("<f2").tobytes() for r in features.matrix(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__y"), pa.array(blobs, pa.binary())], ["doc_id", "__y", "x"])
 
-    got = labelled(docs, ratings, "grade", sample).mapInArrow(run, "doc_id long, __y int, x binary").toArrow().sort_by("doc_id")
+    tune(docs.sparkSession)
+    got = labelled(docs, ratings, "grade", sample).mapInArrow(run, "doc_id long, __y int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     grade = np.clip(got["__y"].to_numpy().astype(np.int64), 0, grades - 1)
-    x = np.frombuffer(b"".join(v.as_py() for v in got["x"]), "<f2").reshape(-1, DIM).astype(np.float32)
+    x = np.empty((len(grade), DIM), np.float32)
+    for row, v in zip(x, got["x"], strict=True):
+        row[:] = np.frombuffer(v.as_buffer(), "<f2")
+    del got
     return fit_arrays(x, grade, grades)
 
 
@@ -140,13 +151,12 @@ def score(docs: DataFrame, model: Model, wanted: int = 1, least: float = 0.5) ->
     """doc_id, held_out, expected_grade, tail_probability of a grade of at least wanted, kept (that is at least ``least``)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, features = sent.value, Features()
         for batch in slices(batches):
             tails = model.tails(features.score(batch.column("text"), model.weights))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tails.sum(1)), pa.array(tails[:, wanted - 1])], ["doc_id", "expected_grade", "tail_probability"])
-        del features
-        trim()
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, expected_grade double, tail_probability double")
     return out.select("doc_id", held_out().alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= least).alias("kept"))
