@@ -10,16 +10,20 @@ least m - q + 1 - q * e of the item's q-grams, on diagonals (position in text -
    diagonals lie in one band; bands below the item's bound go.
 3. A band's stretch is verified by banded alignment, free at both ends of the text: edit distance of the best region, and its span.
 
-The items' table is broadcast only up to ``BENCHMARK_BYTES``; a larger benchmark is gone through in chunks of that size, a pass each.
+The items' table is broadcast only up to ``BENCHMARK_BYTES`` of their text (some 16 bytes of table for each); a larger benchmark is
+gone through in chunks of that size, a pass each, and the driver holds one chunk at a time. An item with fewer than ``Q`` bytes has no
+q-gram; it counts where it stands by itself between blanks.
 
-Defined cases: null or empty texts and items match nothing; items shorter than ``MIN_BYTES`` are not looked for; repeated rows and
-repeated items give a row each; an empty benchmark or table gives no rows; other columns are not read.
+Defined cases: null or empty texts and items match nothing; an item that a text holds several times gives a row for each region that
+overlaps no better one (fewer edits, then earlier); repeated rows and repeated items give a row each; an empty benchmark or table gives
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, trim
+from .common import slices, store, task, tune
 
 Q = 8
 EDIT_SHARE = 0.06
-MIN_BYTES = 40
-BENCHMARK_BYTES = 16 << 20
+BENCHMARK_BYTES = 4 << 20
 _BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, item_id long, start long, end long, edits int"
@@ -68,10 +71,11 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.items = items
+        self.short = [i for i, (_, t) in enumerate(items) if len(t) < Q]
         each = [grams(np.frombuffer(t, np.uint8)) for _, t in items]
         gram = np.concatenate([*each, np.empty(0, np.uint64)])
-        item = np.repeat(np.arange(len(items)), [len(g) for g in each])
-        place = np.concatenate([*(np.arange(len(g)) for g in each), np.empty(0, np.int64)])
+        item = np.repeat(np.arange(len(items), dtype=np.int32), [len(g) for g in each])
+        place = np.concatenate([*(np.arange(len(g), dtype=np.int32) for g in each), np.empty(0, np.int32)])
         order = np.argsort(gram, kind="stable")
         self.gram, self.item, self.place = gram[order], item[order], place[order]
         self.table = np.zeros(1 << _BITS, bool)
@@ -80,6 +84,7 @@ class Index:
         # items in classes of like length, so that a class's window and least count fit each of its items well
         self.classes: list[tuple[int, int, np.ndarray]] = []
         rest = np.argsort(self.m, kind="stable")
+        rest = rest[self.m[rest] >= Q]
         while len(rest):
             n = int(np.searchsorted(self.m[rest], self.m[rest[0]] * 1.2, "right"))
             own, rest = rest[:n], rest[n:]
@@ -91,6 +96,8 @@ class Index:
     def known(self, gram: np.ndarray) -> np.ndarray:
         hit = self.table[(gram * _MIX) >> np.uint64(64 - _BITS)]
         at = np.flatnonzero(hit)
+        if not len(at):
+            return hit
         i = np.minimum(np.searchsorted(self.gram, gram[at]), len(self.gram) - 1)
         hit[at] = self.gram[i] == gram[at]
         return hit
@@ -118,7 +125,7 @@ class Index:
         j = np.repeat(lo - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(int(n.sum()))
         own = member[self.item[j]]
         where, j = where[own], j[own]
-        item, diagonal = self.item[j], where + at - self.place[j]
+        item, diagonal = self.item[j].astype(np.int64), where + at - self.place[j]
         e = np.maximum((self.m[item] * EDIT_SHARE).astype(np.int64), 1)
         found = set()
         for shift in (0, 1):  # bands of width 2e that overlap by e
@@ -173,31 +180,51 @@ def align(text: bytes, item: bytes, low: int, high: int) -> tuple[int, int, int]
 
 
 def leaks_in(text: bytes, gram: np.ndarray, hit: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
-    """(item, start, end, edits), the best region of each item, of a normalised text."""
-    best: dict[int, tuple[int, int, int]] = {}
+    """(item, start, end, edits) of each item's regions of a normalised text that overlap no better one."""
+    found: dict[int, set[tuple[int, int, int]]] = {}
     for a, b, member in index.stretches(hit):
         for i, low, high in index.bands(gram[a:b], hit[a:b], a, member):
-            if i in best and not best[i][0]:
+            own = found.setdefault(i, set())
+            if any(not e and low <= s <= high for e, s, _ in own):  # no other region of this band keeps clear of an exact one
                 continue
             got = align(text, index.items[i][1], low, high)
-            if got and (i not in best or got < best[i]):
-                best[i] = got
-    return [(i, s, t, e) for i, (e, s, t) in sorted(best.items())]
+            if got:
+                own.add(got)
+    out = []
+    for i, regions in sorted(found.items()):
+        chosen: list[tuple[int, int]] = []
+        for e, s, t in sorted(regions):
+            if all(t <= x or s >= y for x, y in chosen):
+                chosen.append((s, t))
+                out.append((i, s, t, e))
+    return out
 
 
-def chunks(benchmark: DataFrame, limit: int = BENCHMARK_BYTES) -> list[list[tuple[int, bytes]]]:
+def chunks(benchmark: DataFrame, limit: int = BENCHMARK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
     """The normalised items, in lists of at most limit bytes of text."""
-    out, size = [[]], 0
+    held, size = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         t = normal(row.text)
-        if len(t) < MIN_BYTES:
-            continue
-        if size + len(t) > limit and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((row.item_id, t))
-        size += len(t)
-    return [x for x in out if x]
+        if held and size + len(t) > limit:
+            yield held
+            held, size = [], 0
+        if t:
+            held.append((row.item_id, t))
+            size += len(t)
+    if held:
+        yield held
+
+
+def _short(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item, start, end, 0) of the items without a q-gram that stand between blanks."""
+    if index.short:
+        padded = pc.binary_join_element_wise("", texts, "", " ")
+        for i in index.short:
+            item = b" " + index.items[i][1] + b" "
+            for row in np.flatnonzero(pc.match_substring(padded, item).to_numpy(zero_copy_only=False)).tolist():
+                text, at = padded[row].as_buffer().to_pybytes(), -1
+                while (at := text.find(item, at + 1)) >= 0:
+                    yield row, i, at, at + len(item) - 2, 0
 
 
 def find_in(batch: pa.RecordBatch, index: Index) -> list[tuple[int, int, int, int, int]]:
@@ -208,12 +235,12 @@ def find_in(batch: pa.RecordBatch, index: Index) -> list[tuple[int, int, int, in
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.empty(0, np.uint8)
     data = data[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
+    out = list(_short(texts, index))
     gram = grams(data)
-    if not len(gram):
-        return []
+    if not len(gram) or not len(index.gram):
+        return out
     hit = index.known(gram)
     total = np.concatenate([[0], np.cumsum(hit)])
-    out = []
     a, b = np.minimum(offsets[:-1], len(gram)), np.minimum(np.maximum(offsets[1:] - Q + 1, offsets[:-1]), len(gram))
     for row in np.flatnonzero(total[b] - total[a] >= max(1, index.least)).tolist():
         x, y = int(a[row]), int(b[row])
@@ -222,14 +249,31 @@ def find_in(batch: pa.RecordBatch, index: Index) -> list[tuple[int, int, int, in
     return out
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, one, go_on: bool) -> list[DataFrame]:
+    """one(docs, index) for each chunk of the benchmark, go_on: of what the pass before left. If there are several, each is written before
+    the next chunk is read."""
+    tune(docs.sparkSession)
+    every, outs = chunks(benchmark), []
+    now = next(every, None)
+    while now:
+        after = next(every, None)
+        sent = docs.sparkSession.sparkContext.broadcast(Index(now))
+        out = one(docs, sent)
+        if outs or after:
+            out = store(out, "pass")
+            sent.unpersist()
+        outs.append(out)
+        docs = out if go_on else docs
+        now = after
+    return outs
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each leaked item of a document: doc_id, item_id, start and end of the region (bytes of the normalised text), edits."""
-    spark = docs.sparkSession
-    out = spark.createDataFrame([], SCHEMA)
-    for items in chunks(benchmark):
-        sent = spark.sparkContext.broadcast(Index(items))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def one(docs: DataFrame, sent) -> DataFrame:
+        @task
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in slices(batches):
                 rows = find_in(batch, index)
@@ -237,25 +281,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     ids = batch.column("doc_id").take(pa.array([r[0] for r in rows]))
                     cols = [pa.array([index.items[r[1]][0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in ((2, pa.int64()), (3, pa.int64()), (4, pa.int32())))]
                     yield pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", "item_id", "start", "end", "edits"])
-            trim()
 
-        out = out.union(docs.select("doc_id", "text").mapInArrow(run, SCHEMA))
-    return out
+        return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+    return reduce(DataFrame.union, _passes(docs, benchmark, one, go_on=False) or [docs.sparkSession.createDataFrame([], SCHEMA)])
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a leaked item: each row is judged where it is, without a join."""
-    spark = docs.sparkSession
-    for items in chunks(benchmark):
-        sent = spark.sparkContext.broadcast(Index(items))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def one(docs: DataFrame, sent) -> DataFrame:
+        @task
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in slices(batches):
                 bad = np.zeros(batch.num_rows, bool)
                 bad[[r[0] for r in find_in(batch, index)]] = True
                 yield batch.filter(pa.array(~bad))
-            trim()
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return docs.mapInArrow(run, docs.schema)
+
+    return (_passes(docs, benchmark, one, go_on=True) or [docs])[-1]
