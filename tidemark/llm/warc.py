@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, store, task
 
 #: Archive files are closed at about so many bytes.
 ARCHIVE_BYTES = 8 << 20
@@ -67,11 +67,12 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     """Write a record for each row of pages (page_id, url, html) into .warc.gz files under path."""
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     sums = own.select("page_id", F.sha1(F.encode("html", "utf-8")).alias("sha"), F.octet_length("html").alias("n")).filter(F.col("n") >= least)
-    first = sums.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    first = store(sums.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("k")).filter("k > 1").drop("k"), "first")
     again = sums.join(first, "sha").filter("page_id <> first_id").select(F.col("page_id").alias("again_id"), F.struct("sha", "first_id").alias("ref"))
     again = again.distinct().groupBy("again_id").agg(F.map_from_entries(F.collect_set("ref")).alias("refs"))  # page_id may repeat with other payloads
     joined = own.join(again, own.page_id == again.again_id, "left").select("page_id", "url", "html", F.element_at("refs", F.sha1(F.encode("html", "utf-8"))).alias("refers_to"))
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -201,6 +202,14 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
     a member have the member's place; a gap's note has its own."""
     at, n = 0, len(data)
     gap = -1
+    found_at = {_MAGIC: -1, b"WARC/1.": -1}  # where each mark is found next, so that no part is searched twice
+
+    def ahead(after: int) -> int:
+        for mark, place in found_at.items():
+            if place < after:
+                place = data.find(mark, after)
+                found_at[mark] = n if place < 0 else place
+        return min(found_at.values())
 
     def close(end: int):
         if gap >= 0 and end > gap:
@@ -239,14 +248,14 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
             continue
         if gap < 0:
             gap = at
-        places = [p for p in (data.find(_MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if p >= 0]
-        at = min(places, default=n)
+        at = ahead(at + 1)
     yield from close(n)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """READ_SCHEMA rows: kind ``record`` or ``gap`` (with start and length of the bytes left out)."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
