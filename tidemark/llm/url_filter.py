@@ -1,9 +1,10 @@
 """URL filter: host rules, then a weighted vocabulary found by an Aho-Corasick automaton.
 
 Terms are found in host + path (lower-cased; query and fragment are not judged) and count only between boundaries, that is where no
-ASCII letter or digit adjoins. One strict term rejects; soft terms reject when the weights of the distinct ones reach ``limit``.
-Rules come first: of the (host, path) rules whose host equals the url's or is a parent domain of it and whose path the url's path
-starts with, the longest decides.
+ASCII letter or digit adjoins. One strict term rejects; soft terms reject when the weights of the distinct ones reach ``limit``, which no
+single one does. The vocabulary is the file url_vocabulary.csv or any other of its form. Rules come first: of the (host, path) rules whose
+host equals the url's or is a parent domain of it and whose path the url's path starts with, the longest decides, of equally long ones
+that with the longer host.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and is allowed; repeated rows are judged each; an empty
 table gives no rows; other columns are not read. The work is one narrow pass without a shuffle.
@@ -11,23 +12,36 @@ table gives no rows; other columns are not read. The work is one narrow pass wit
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import task, tune
+
 #: (host, path, verdict)
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-STRICT = ["casino", "porn", "xxx", "viagra", "escort", "phentermine", "sportsbook", "adult-x"]
-SOFT = {"adult": 1, "bet": 1, "bets": 1, "cheap": 1, "free": 1, "farm": 1, "loan": 1, "loans": 1, "pills": 1, "poker": 1, "sex": 1, "slots": 1, "spam": 1, "win": 1, "winner": 1, "hot": 1, "deal": 1}
 LIMIT = 2
+VOCABULARY = Path(__file__).with_name("url_vocabulary.csv")
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 SCHEMA = "page_id long, host string, path string, rule string, verdict string, strict_hits array<string>, soft_hits array<string>"
 
 
+def vocabulary(path: str | Path = VOCABULARY) -> tuple[list[str], dict[str, float]]:
+    """Strict terms, and soft terms with their weights, of lines ``term,weight`` (``strict`` or a number) under a heading."""
+    with open(path, encoding="utf-8") as f:
+        rows = [(r["term"].strip().lower(), r["weight"].strip()) for r in csv.DictReader(f)]
+    return [t for t, w in rows if w == "strict"], {t: float(w) for t, w in rows if w != "strict"}
+
+
+STRICT, SOFT = vocabulary()
+
+
 def automaton(terms: list[str]):
     import ahocorasick
 
@@ -47,7 +61,7 @@ def find_rule(host: str, path: str, rules: dict[str, list[tuple[str, str]]]) ->
     """The longest rule that fits, as written (``net/de/``), and its verdict."""
     best: tuple[str | None, str | None] = (None, None)
     at = 0
-    while host:
+    while host:  # longer hosts first, so that they win among equals
         suffix = host[at:]
         for start, verdict in rules.get(suffix, ()):
             if path.startswith(start) and len(suffix + start) > len(best[0] or ""):
@@ -68,13 +82,15 @@ def find_terms(text: str, machine) -> set[str]:
     return found
 
 
-def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, limit: int = LIMIT) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, limit: float = LIMIT) -> DataFrame:
     """page_id, host, path, rule, verdict, strict_hits, soft_hits for each row of pages."""
     by_host: dict[str, list[tuple[str, str]]] = {}
     for host, path, verdict in rules:
         by_host.setdefault(host, []).append((path, verdict))
     strict, soft = list(strict), dict(soft)
+    tune(pages.sparkSession)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, hard = automaton([*strict, *soft]), set(strict)
         for batch in batches:
@@ -94,7 +110,7 @@ def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, limit: i
     return pages.select("page_id", "url").mapInArrow(run, SCHEMA)
 
 
-def oracle(rules=RULES, strict=STRICT, soft=SOFT, limit: int = LIMIT) -> str:
+def oracle(rules=RULES, strict=STRICT, soft=SOFT, limit: float = LIMIT) -> str:
     """The same in DuckDB SQL."""
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
 
@@ -108,7 +124,7 @@ def oracle(rules=RULES, strict=STRICT, soft=SOFT, limit: int = LIMIT) -> str:
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""WITH rules(rhost, rpath, rverdict) AS (VALUES {values}),
 parts AS (SELECT page_id, {lower.format("coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")} AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-best AS (SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(rverdict, length(rhost || rpath)) AS rverdict
+best AS (SELECT page_id, max_by(rhost || rpath, (length(rhost || rpath), length(rhost))) AS rule, max_by(rverdict, (length(rhost || rpath), length(rhost))) AS rverdict
   FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
 seen AS (SELECT page_id, host, path, {lower.format("host || path")} AS target FROM parts),
 judged AS (SELECT page_id, host, path, {hits(strict)} AS strict_hits, {hits(soft)} AS soft_hits, {weight} AS weight FROM seen)
