@@ -291,7 +291,9 @@ def _cut(c: str, start: Column, length: Column) -> Column:
 def _ranked(rows: DataFrame, key: list[str], name: str) -> DataFrame:
     """The ranks that several documents have: key, rank, first (their smallest document)."""
     groups = rows.groupBy(*key).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    return store(groups.select(*key, "first", F.monotonically_increasing_id().alias("rank")), name)
+    out = store(groups.select(*key, "first", F.monotonically_increasing_id().alias("rank")), name)
+    release(rows.sparkSession)
+    return out
 
 
 def ends(found: DataFrame) -> DataFrame:
