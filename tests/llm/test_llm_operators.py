@@ -10,10 +10,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, exact_dedup, jaccard_join, line_dedup, packing, quality, suffix_dedup, toxicity, url_filter, warc
-from tidemark.llm.common import components
+from tidemark.llm import common, decontam, exact_dedup, jaccard_join, line_dedup, packing, quality, suffix_dedup, toxicity, url_filter, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, node long, id long, unit int"
 WORDS = ["the", "of", "Alpha", "beta,", "gamma", "delta.", "ünï", "zeta", "eta", "theta"]
@@ -84,6 +84,42 @@ def test_exact_dedup_repeated_rows_and_null_id(spark):
     assert got == [("0", 0, 4, True), ("1", 0, 4, False), ("1", 0, 4, False), ("None", 0, 4, False)]
 
 
+def test_exact_dedup_rows_that_share_an_id(spark):
+    rows = [(1, "a"), (1, "b"), (2, "a"), (2, "a "), (None, "b"), (None, "c")]
+    for digest_chars in (64, 0):
+        got = {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256[:4]) for r in exact_dedup.exact_dedup(frame(spark, rows), digest_chars).collect()}
+        sha = {t: hashlib.sha256(t.encode()).hexdigest()[:4] for t in "abc"}
+        assert got == {(1, 2, 3, False, sha["a"]), (2, 2, 3, False, sha["a"]), (2, 2, 3, True, sha["a"]), (1, 1, 2, True, sha["b"]), (None, 1, 2, False, sha["b"]), (None, None, 1, True, sha["c"])}
+
+
+def test_exact_dedup_state_outlives_a_call(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    first = exact_dedup.exact_dedup(frame(spark, [(5, "x y"), (6, "z"), (7, None)]), state=state).collect()
+    assert all(r.kept for r in first)
+    again = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, [(1, "xy"), (8, "new"), (9, "z"), (9, "new")]), state=state).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").filter("doc_id <> 9").collect()}
+    assert (again[1].keep_id, again[1].group_size, again[1].kept) == (5, 2, False) and (again[8].keep_id, again[8].group_size, again[8].kept) == (8, 2, True)
+    last = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, [(2, "x  y  "), (3, " ")]), state=state).collect()}
+    assert (last[2].keep_id, last[2].group_size, last[2].kept) == (2, 3, True) and (last[3].keep_id, last[3].group_size) == (3, 2)
+
+
+def test_exact_dedup_state_with_digests_that_different_bytes_share(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    exact_dedup.exact_dedup(frame(spark, [(5, "x y"), (6, "z")]), 0, state=state).collect()
+    again = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(frame(spark, [(1, "xy"), (8, "new")]), 0, state=state).collect()}
+    assert again == {1: (5, 2, False), 8: (8, 1, True)}
+
+
+def test_exact_dedup_of_a_plan_without_files_and_clashing_names(spark, tmp_path):
+    rows = [(i % 7, f"t{i % 5}", i) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, locator long").withColumnsRenamed({"locator": "__locator"})
+    df.write.parquet(f"{tmp_path}/d")
+    read = spark.read.parquet(f"{tmp_path}/d")
+    want = sorted((min(i for i, x, _ in rows if x == t), t) for t in {x for _, x, _ in rows})
+    for docs in (df, read, read.filter("doc_id >= 0"), read.union(read.limit(0))):
+        kept = exact_dedup.keep_documents(docs)
+        assert kept.columns == ["doc_id", "text", "__locator"] and sorted((r.doc_id, r.text) for r in kept.collect()) == want
+
+
 def test_dedup_stages_keep_rows_not_ids(spark):
     rows = [(1, "a"), (1, "a"), (None, "x y"), (None, "xy"), (None, "q"), (0, "b"), (None, "b")]
     kept = sorted((str(r.doc_id), r.text) for r in exact_dedup.keep_documents(frame(spark, rows)).collect())
@@ -98,26 +134,59 @@ def test_dedup_stages_keep_rows_not_ids(spark):
 # line dedup ----------------------------------------------------------------------------------------------------------------
 
 
-def test_line_dedup(rows, docs, none):
-    seen, want = {}, set()
-    for i, t in rows:
-        at = 0
-        for u, line in enumerate((t or "").split("\n")):
-            norm = re.sub(r"[\x20\x09-\x0D]+", " ", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)).strip(" ")
-            if norm and norm.count(" ") + 1 >= 5:
-                if norm in seen:
-                    want.add((i, u, at, len(line), *seen[norm]))
-                seen.setdefault(norm, (i, u))
-            at += len(line) + 1
-    assert {tuple(r) for r in line_dedup.repeats(docs).collect()} == want and want
-    assert line_dedup.repeats(none).count() == 0
-    cut = by_id(line_dedup.without_repeats(docs))
-    gone = defaultdict(set)
-    for i, u, *_ in want:
-        gone[i].add(u)
+CUTS = {"line": r"(?<=\n)", "paragraph": r"(?<=\n\n)", "sentence": r"(?<=\n)|(?<=[.!?])(?=[\x20\x09\x0B-\x0D])"}
+
+
+def wanted_lines(rows, by, min_words):
+    """(row, unit, start, length, row that keeps, its unit, kept) in the order of rows."""
+    every, where = {}, defaultdict(list)
+    for i, (_, t) in enumerate(rows):
+        at, every[i] = 0, []
+        for part in re.split(CUTS[by], t or ""):
+            norm = re.sub(r"[\x20\x09-\x0D]+", " ", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in part)).strip(" ")
+            if norm:
+                where[norm].append((i, len(every[i])))
+                every[i].append((norm, at, len(part) - part.endswith("\n")))
+            at += len(part)
+    places = defaultdict(list)
+    for i, units in every.items():
+        for _, run in itertools.groupby(enumerate(units), key=lambda u: (len(where[u[1][0]]) > 1) or -u[0] - 1):
+            run = list(run)
+            if len(where[run[0][1][0]]) > 1 and sum(n.count(" ") + 1 for _, (n, _, _) in run) >= min_words:
+                for u, (norm, start, length) in run:
+                    places[norm].append((i, u, start, length))
+    return {(*p, *ps[0][:2], p == ps[0]) for ps in places.values() if len(ps) > 1 for p in ps}
+
+
+@pytest.mark.parametrize(("by", "min_words"), [("sentence", 25), ("line", 5), ("line", 1), ("paragraph", 12)])
+def test_line_dedup(spark, rows, docs, none, by, min_words):
+    rng = random.Random(7)
+    passage = [f"{make(rng, 6)}. {make(rng, 9)}!\n" for _ in range(6)]
+    extra = [make(rng, 5) + ". " + "".join(passage[k : k + 4]) + "\n" + make(rng, 4) + ".\nAll rights reserved.\n" for k in range(3) for _ in range(2)] + ["a. b? " * 9, "ß.\r\n\u2003é. " * 3]
+    rows = rows + [(len(rows) + k, t) for k, t in enumerate(extra)]
+    docs = frame(spark, rows).repartition(3)
+    want = wanted_lines(rows, by, min_words)
+    assert {tuple(r) for r in line_dedup.repeats(docs, by, min_words).collect()} == want and any(not w[-1] for w in want)
+    assert line_dedup.repeats(none, by, min_words).count() == 0
+    cut = by_id(line_dedup.without_repeats(docs, by, min_words))
+    gone = defaultdict(list)
+    for i, _, start, length, *_, kept in sorted(want):
+        if not kept:
+            gone[i].append((start, length))
     for i, t in rows:
-        left = t if i not in gone else "\n".join(x for u, x in enumerate(t.split("\n")) if u not in gone[i])
-        assert cut[i].text == left and (i not in gone or len(cut[i].removed) == len(gone[i]))
+        assert [tuple(x) for x in cut[i].removed or ()] == gone[i]
+        lost = {p for start, length in gone[i] for p in range(start, start + length + (t[start + length : start + length + 1] == "\n"))}
+        assert cut[i].text == (t if t is None else "".join(c for p, c in enumerate(t) if p not in lost))
+
+
+def test_line_dedup_rows_that_share_an_id_and_clashing_names(spark):
+    line = "one line of rather more than a few words that several documents have"
+    texts = [(4, line), (4, "x\n" + line), (4, line), (None, line), (None, "y"), (2, line + "!")]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in texts], "doc_id long, text string, __id int, removed int")
+    got = {tuple(r) for r in line_dedup.repeats(df, "line", 5).collect()}
+    assert {(i, u, start, kept) for i, u, start, _, _, _, kept in got} in ({(4, 0, 0, True), (4, 1, 2, False), (None, 0, 0, False)}, {(4, 0, 0, False), (4, 1, 2, True), (None, 0, 0, False)})
+    out = line_dedup.without_repeats(df, "line", 5).collect()
+    assert set(out[0].asDict()) == {"doc_id", "text", "__id", "removed"} and sum(line in r.text for r in out) in (2, 3)
 
 
 # suffix dedup --------------------------------------------------------------------------------------------------------------
@@ -160,14 +229,57 @@ def test_suffix_contexts_that_agree_on_36_bits_of_their_hash_stay_apart(spark):
     assert got == wanted_suffix(rows)
 
 
-def test_suffix_anchors_do_not_depend_on_blocks(monkeypatch):
+def test_suffix_rows_that_share_an_id_or_have_none(spark):
+    rng = random.Random(8)
+    shared = make(rng, 20)
+    texts = [(3, shared + make(rng, 9)), (3, make(rng, 6) + shared), (3, make(rng, 6) + shared), (None, shared), (None, make(rng, 5) + shared + "!"), (None, shared), (1, "short"), (7, make(rng, 15))]
+    texts += texts[:1]
+    order = sorted({(i is None, i or 0, np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64), t) for i, t in texts})
+    rank = {(None if none else i, t): k for k, (none, i, _, t) in enumerate(order)}
+    want = wanted_suffix([(k, t) for (_, t), k in rank.items()])
+    got = suffix_dedup.remove_repeats(frame(spark, texts).repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((str(i), *want[rank[i, t]]) for i, t in texts)
+
+
+def test_suffix_spans_and_kept_bytes(spark):
+    rng = random.Random(4)
+    a, b = make(rng, 30), make(rng, 30)
+    rows = [(0, a), (1, "ü" + a + "-" + b), (2, b[:40] + a[:70] + b)]
+    got = by_id(suffix_dedup.remove_repeats(frame(spark, rows), with_text=True))
+    want = wanted_suffix(rows)
+    for i, t in rows:
+        x, r = t.encode(), got[i]
+        cover = np.zeros(len(x), bool)
+        for s, e in zip(r.starts, r.ends, strict=True):
+            cover[s:e] = True
+        assert bytes(np.frombuffer(x, np.uint8)[~cover]) == bytes(r.kept) and want[i] == (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+
+
+def test_suffix_anchors_name_equal_strings_alike(monkeypatch):
     rng = np.random.default_rng(1)
-    data = rng.integers(97, 101, 6000).astype(np.uint8)
-    offsets = np.array([0, 700, 700, 740, 4000, 6000])
-    whole = suffix_dedup.anchors(data, offsets)
-    monkeypatch.setattr(suffix_dedup, "_BLOCK", 257)
-    cut = suffix_dedup.anchors(data, offsets)
-    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+    data = np.concatenate([np.tile(rng.integers(97, 99, 900), 3), rng.integers(97, 99, 900)]).astype(np.uint8)
+
+    def named():
+        out = {}
+        for first, back, width, *_ in suffix_dedup.anchors(data):
+            for f, k, w in zip(first.tolist(), back.tolist(), width.tolist(), strict=True):
+                assert 0 <= k - w and k <= 34
+                for x in range(w + 1):
+                    assert out.setdefault(f + x, k - x) == k - x
+        return out
+
+    whole = named()
+    assert sorted(whole) == list(range(len(data) - 49))
+    steps = defaultdict(set)
+    for x, k in whole.items():
+        steps[data[x : x + 50].tobytes()].add(k)
+    assert all(len(v) == 1 for v in steps.values())
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", 257)
+    assert named() == whole
+    data = np.concatenate([data, np.full(300, 97), np.tile(rng.integers(97, 99, 7), 60), data[:80]]).astype(np.uint8)
+    found = [np.stack(x[:4], 1) for x in suffix_dedup.anchors(data)]
+    covered = {x for f, _, w, extent in np.concatenate(found).tolist() for x in range(f, f + w + extent + 1)}
+    assert covered == set(range(len(data) - 49)) and max(x[:, 3].max() for x in found) > 150
 
 
 # Jaccard join --------------------------------------------------------------------------------------------------------------
@@ -211,26 +323,65 @@ def test_jaccard_second_round_finds_links_that_the_chain_misses(spark, monkeypat
         for m in range(14):
             cut = rng.randrange(0, 9)
             rows.append((len(rows), " ".join(start[: 30 - cut] + [f"t{len(rows)}y{k}" for k in range(rng.randrange(0, 6))])))
-    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 90)
+    monkeypatch.setattr(jaccard_join, "BUCKET", 500)
     got = {i: (r.n_shingles, r.component_id) for i, r in by_id(jaccard_join.jaccard_components(frame(spark, rows))).items()}
     assert got == wanted_components(rows)
 
 
-def test_rtree_join_loses_nothing():
+def test_rtree_loses_nothing():
     rng = np.random.default_rng(3)
     base = rng.poisson(2, (20, jaccard_join.GROUPS))
     points = np.concatenate([np.maximum(0, base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < 0.05)) for _ in range(12)])
-    n, comp = points.sum(1), rng.integers(0, 40, len(points))
-    x, y = jaccard_join.RTree(points, n, comp).join()
-    got = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
-    want = {(i, j) for i in range(len(n)) for j in range(i + 1, len(n)) if comp[i] != comp[j] and np.minimum(points[i], points[j]).sum() >= jaccard_join.need(n[i], n[j])}
+    n, comp, twice = points.sum(1), rng.integers(0, 40, len(points)), rng.random(len(points)) < 0.3
+    tree, got = jaccard_join.RTree(points, n, comp, twice), set()
+    for a, b in tree.leaves():
+        for i, j in zip(*np.nonzero(tree.allowed(a, b, tree.comp)), strict=True):
+            x, y = int(tree.order[a[i]]), int(tree.order[b[j]])
+            assert (min(x, y), max(x, y)) not in got
+            got.add((min(x, y), max(x, y)))
+    want = {(i, j) for i in range(len(n)) for j in range(i + 1, len(n)) if comp[i] != comp[j] and not (twice[i] and twice[j]) and np.minimum(points[i], points[j]).sum() >= jaccard_join.need(n[i], n[j])}
     assert got == want and len(want) > 50
 
 
-def test_components(spark):
-    chain = [(i, i + 1) for i in range(0, 60)] + [(100, 105), (105, 101), (200, 200)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 105: 100}
+def families(rng, count, size):
+    sets = []
+    for _ in range(count):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for _ in range(9):
+            keep = base[rng.random(size) < rng.uniform(0.75, 1)]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, rng.integers(0, size // 6), dtype=np.uint64)])))
+    return sets
+
+
+@pytest.mark.parametrize("size", [40, 270, 1100])
+def test_second_round_groups_find_every_link_and_send_few_rows(size):
+    rng = np.random.default_rng(size)
+    sets = families(rng, 12, size)
+    n, comp = np.array([len(x) for x in sets]), np.arange(len(sets)) // 2
+    overlap = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    links = {(i, j) for i in range(len(sets)) for j in range(i) if comp[i] != comp[j] and 100 * overlap[i][j] >= 80 * (n[i] + n[j] - overlap[i][j])}
+    table = {"a": pa.array(np.arange(len(sets))), "n": pa.array(n), "comp": pa.array(comp)}
+    maybe = jaccard_join._maybe(pa.table(table | {"point": pa.array([jaccard_join.point(x) for x in sets])})).to_pylist()
+    active, union = {r["a"] for r in maybe if r["kind"]}, common.Union()
+    assert links and {i for pair in links for i in pair} <= active and all(comp[r["a"]] == r["b"] for r in maybe if r["kind"])
+    assert len(maybe) < 2 * len(sets) and all(union.join(r["a"], r["b"]) for r in maybe if not r["kind"])
+    assert all(union.find(int(comp[i])) == union.find(int(comp[j])) for i, j in links)
+    exact = jaccard_join._exact(pa.table(table | {"items": pa.array([jaccard_join._items(x) for x in sets])})).to_pylist()
+    union = common.Union()
+    assert {(r["b"], r["a"]) for r in exact} <= links and all(union.join(int(comp[r["a"]]), int(comp[r["b"]])) for r in exact)
+    assert all(union.find(int(comp[i])) == union.find(int(comp[j])) for i, j in links)
+
+
+@pytest.mark.parametrize("links", [1 << 17, 9])
+def test_components(spark, monkeypatch, links):
+    monkeypatch.setattr(common, "LINKS", links)
+    chain = [(i, i + 1) for i in range(0, 24)] + [(100, 105), (105, 101), (200, 200)]
+    random.Random(1).shuffle(chain)
+    edges = spark.createDataFrame(chain, "a long, b long").repartition(7)
+    got = {r.node: r.component for r in common.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(25)}, 100: 100, 101: 100, 105: 100}
+    assert common.components(edges.limit(0)).count() == 0
 
 
 # packing -------------------------------------------------------------------------------------------------------------------
@@ -360,10 +511,30 @@ def test_decontamination(spark, none):
 def test_benchmark_in_chunks(spark):
     rng = random.Random(8)
     bench = spark.createDataFrame([(k, make(rng, 30)) for k in range(9)], "item_id long, text string")
-    parts = decontam.chunks(bench, 500)
+    parts = list(decontam.chunks(bench, 500))
     assert len(parts) > 2 and sorted(i for p in parts for i, _ in p) == list(range(9))
 
 
+def test_leaks_of_a_benchmark_of_several_chunks(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [make(rng, 25) for _ in range(5)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = frame(spark, [(0, make(rng, 30)), (1, items[0] + " " + items[4]), (2, make(rng, 9) + items[2]), (3, None), (3, "")])
+    monkeypatch.setattr(decontam.chunks, "__defaults__", (300,))
+    assert len(list(decontam.chunks(bench))) > 2
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()} == {(1, 0), (1, 4), (2, 2)}
+    assert sorted(r.doc_id for r in decontam.clean_documents(df, bench).collect()) == [0, 3, 3]
+
+
+def test_every_region_and_items_of_any_length(spark):
+    item = "what is the capital of the country between the two lakes and the sea"
+    rows = [(0, f"{item} and then {item.replace('lakes', 'lokes')}"), (1, "Yes. yes, yes YES"), (2, "yesterday"), (3, "so it is forty-two, really"), (4, "x forty-tw0 x"), (5, ""), (6, None), (1, "yes")]
+    bench = spark.createDataFrame([(1, item), (2, "yes"), (3, "forty-two"), (4, " \n"), (5, None)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start, r.end, r.edits) for r in decontam.leaks(frame(spark, rows), bench).collect())
+    n = len(item)
+    assert got == [(0, 1, 0, n, 0), (0, 1, n + 10, 2 * n + 10, 1), (1, 2, 0, 3, 0), (1, 2, 10, 13, 0), (1, 2, 14, 17, 0), (3, 3, 9, 18, 0)]
+
+
 # WARC ----------------------------------------------------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string, refers_to long, archive string"
@@ -478,7 +649,7 @@ def test_url_filter(spark):
     cases = {
         "http://a.COM/en/1?x": ("a.com", "/en/1", "com/en/", "block"), "https://example.com/en/7#t": ("example.com", "/en/7", "example.com/en/7", "allow"), "https://my.example.com/en/71": ("my.example.com", "/en/71", "example.com/en/7", "allow"),
         "https://notexample.com/en/7": ("notexample.com", "/en/7", "com/en/", "block"), "http://a.net/de/8": ("a.net", "/de/8", "net/de/", "allow"), "http://casino.net/de/": ("casino.net", "/de/", "net/de/", "allow"), "http://x.example.net/de/8": ("x.example.net", "/de/8", "example.net/de/8", "block"),
-        "http://a.org/es": ("a.org", "/es", None, "allow"), None: ("", "", None, "allow"), "no scheme/casino": ("", "", None, "allow"), "http://best-casino.org/": ("best-casino.org", "/", None, "block"), "http://casinos.org/": ("casinos.org", "/", None, "allow"),
+        "http://a.org/es": ("a.org", "/es", None, "allow"), None: ("", "", None, "allow"), "no scheme/casino": ("", "", None, "allow"), "http://best-casino.org/": ("best-casino.org", "/", None, "block"), "http://casinova.org/": ("casinova.org", "/", None, "allow"),
         "http://cheap.org/pills": ("cheap.org", "/pills", None, "block"), "http://cheap.org/cheap": ("cheap.org", "/cheap", None, "allow"), "http://ok.org/a?casino#casino": ("ok.org", "/a", None, "allow"), "://": ("", "", None, "allow"), "http://com/en/": ("com", "/en/", "com/en/", "block"),
     }
     df = spark.createDataFrame([(i, u, "h", "clash") for i, u in enumerate(cases)], "page_id long, url string, html string, verdict string")
@@ -551,3 +722,65 @@ def test_ordinal_thresholds_are_ordered_and_recovered():
     assert model.weights[0] > 3 and model.weights[1] < -3 and abs(model.weights[2]) < 1
     tails = model.tails(x.astype(float) @ model.weights)
     assert (np.diff(tails, axis=1) <= 0).all()
+
+
+def test_machine_against_sums_over_pairs():
+    rng = np.random.default_rng(5)
+    x = rng.random((30, 12)) < 0.3
+    w0, w, v = rng.normal(size=1), rng.normal(size=12), rng.normal(size=(12, 3))
+    model = toxicity.Model(np.arange(12), float(w0[0]), w, v)
+    rows, terms = np.nonzero(x)
+    raw = np.array([w0[0] + sum(w[i] for i in np.flatnonzero(r)) + sum(v[i] @ v[j] for i, j in itertools.combinations(np.flatnonzero(r), 2)) for r in x])
+    assert np.allclose(model.raw(rows, terms, 30), raw)
+    y = (rng.random(30) < 0.5).astype(np.float32)
+    sums = toxicity._Sums(rows, terms, x.shape)
+    loss, slopes = toxicity.loss_and_slopes(sums, y, w0, w, v)
+    p = 1 / (1 + np.exp(-raw))
+    assert loss == pytest.approx(-np.mean(np.where(y > 0, np.log(p), np.log(1 - p))), rel=1e-4)
+    for k, values in enumerate((w0, w, v)):
+        for at in np.ndindex(values.shape):
+            two = []
+            for step in (1e-2, -1e-2):
+                moved = [q.copy() for q in (w0, w, v)]
+                moved[k][at] += step
+                two.append(toxicity.loss_and_slopes(sums, y, *moved)[0])
+            assert slopes[k][at] == pytest.approx((two[0] - two[1]) / 2e-2, abs=2e-3)
+
+
+def test_ordinal_likelihood_and_slopes_against_plain_sums():
+    rng = np.random.default_rng(6)
+    z, grade, w, cut = rng.normal(size=(25, 4)), rng.integers(0, 4, 25), rng.normal(size=4), np.array([-0.7, 0.2, -0.4])
+    cuts = [cut[0], cut[0] + np.exp(cut[1]), cut[0] + np.exp(cut[1]) + np.exp(cut[2])]
+
+    def at_least(s, j):
+        return 1.0 if j == 0 else 0.0 if j == 4 else 1 / (1 + np.exp(cuts[j - 1] - s))
+
+    want = -np.mean([np.log(at_least(x @ w, g) - at_least(x @ w, g + 1)) for x, g in zip(z, grade, strict=True)])
+    loss, slopes = quality.loss_and_slopes(z, grade, w, cut)
+    assert loss == pytest.approx(want)
+    for k, values in enumerate((w, cut)):
+        for i in range(len(values)):
+            two = []
+            for step in (1e-4, -1e-4):
+                moved = [w.copy(), cut.copy()]
+                moved[k][i] += step
+                two.append(quality.loss_and_slopes(z, grade, *moved)[0])
+            assert slopes[k][i] == pytest.approx((two[0] - two[1]) / 2e-4, abs=1e-5)
+
+
+def test_conflicting_labels_ties_and_repeated_rows(spark):
+    rng = random.Random(2)
+    rows = [(i, make(rng, 12) + (" vile" if i % 3 == 0 else "")) for i in range(120)]
+    labels = [(i, int(i % 3 > 0), int(i % 3 == 0)) for i in range(120)]
+    twice = labels + [(i, 0, 0) for i in range(0, 120, 3)]  # the greater mark counts
+    df = frame(spark, rows + rows[:7] + [(None, rows[0][1]), (500, "")])
+    for sent in (labels, twice):
+        marks = spark.createDataFrame(sent + [(None, 1, 1), (9999, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+        scores = defaultdict(set)
+        got = toxicity.toxicity(df, marks).collect()
+        for r in got:
+            scores[r.doc_id].add(r.score)
+        assert len(got) == 129 and all(len(s) == 1 for s in scores.values()) and scores[0] == scores[None]
+        assert {r.doc_id for r in got if r.predicted and r.doc_id is not None} == set(range(0, 120, 3))
+        rated = quality.quality(df, marks).collect()
+        assert len(rated) == 129 and all(0 <= r.expected_grade <= 2 for r in rated)
