@@ -141,7 +141,7 @@ def loss_and_slopes(sums: _Sums, y: np.ndarray, w0: np.ndarray, w: np.ndarray, v
     p = 1 / (1 + np.exp(-raw))
     g = ((p - y) / len(y)).astype(np.float32)
     back = sums.over_rows(np.concatenate([g[:, None] * s, g[:, None]], 1))
-    return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))), [g.sum(keepdims=True), back[:, -1], back[:, :-1] - v * back[:, -1:]]
+    return float(np.mean(np.logaddexp(0, raw) - y * raw)), [g.sum(keepdims=True), back[:, -1], back[:, :-1] - v * back[:, -1:]]
 
 
 def learn(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, factors: int = FACTORS, steps: int = STEPS) -> Model:
