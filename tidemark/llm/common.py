@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
@@ -117,10 +118,14 @@ def discard(*stored: DataFrame) -> None:
     release(spark)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the shuffle files of finished steps go now rather than at the driver's next collection."""
+def release(spark: SparkSession, wait: float = 0.0) -> None:
+    """Let the shuffle files of finished steps go now rather than at the driver's next collection; with a wait they are gone before the
+    next step writes its own."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    if wait:
+        time.sleep(wait)
+        release(spark)
 
 
 #: glibc's mallopt: what is at least so large is mapped, and so given back as soon as it is freed; the number of heaps.

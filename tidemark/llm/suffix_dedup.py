@@ -377,10 +377,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
     marks = store(scan(docs.select("id", "text"), buckets).groupBy("bucket").applyInArrow(group(buckets), PACKED), "marks")
-    release(spark)
+    release(spark, 1.0)
     open_ = marks.filter("kind = 2").groupBy("bucket").applyInArrow(_per_document(2), "id long, data binary")
     found = store(contexts(docs.select("id", "text").join(open_, "id")), "contexts")
-    release(spark)
+    release(spark, 1.0)
     late = ends(found)
     discard(found)
     spans = store(marks.filter("kind = 1").union(_packed(late, buckets)).groupBy("bucket").applyInArrow(_per_document(1), "id long, data binary"), "spans")
