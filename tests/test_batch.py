@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import contracts, routing
-from tidemark.plans import daily
+from tidemark.plans import daily, delivery
 from tidemark.sinks import kafka, marts
 from tidemark.sources import readers, synth
 from tidemark.streaming import ingest
@@ -182,3 +182,17 @@ def test_batch_files_and_catalog_views(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "b")).count() == lines.count() and spark.read.json(str(tmp_path / "b.manifest")).count() == truth.count()
     spark.range(3).write.parquet(str(tmp_path / "raw_x"))
     assert marts.views(spark, str(tmp_path), "raw_x", "raw_y") == ["raw_x"] and spark.table("raw_x").count() == 3
+
+
+def test_delivery_marts(spark, tmp_path):
+    lines, truth = synth.delivery_log(spark, 200)
+    checked = contracts.check(lines.drop("event_id")).cache()
+    tables, dead = routing.route(checked), contracts.dead_letters(checked)
+    first = delivery.run_delivery(tables, dead, str(tmp_path))
+    assert first == delivery.run_delivery(tables, dead, str(tmp_path)) and first["mart_delivery_order"] == 200
+    mart = spark.read.parquet(str(tmp_path / "mart_delivery_order"))
+    status = {r.order_status: r.n for r in mart.groupBy("order_status").agg(F.count("*").alias("n")).collect()}
+    ids = {r.event_id: r.raw for r in dead.select("event_id", "raw").collect()}
+    named = sum("order_id" in raw for raw in ids.values())
+    assert sum(status.values()) == 200 and status["delivered"] > 100 and mart.agg(F.sum("rejected_event_count")).first()[0] == named
+    assert mart.filter("order_status = 'delivered' AND is_dispatch_accepted AND actual_delivery_minutes IS NULL").count() == 0
