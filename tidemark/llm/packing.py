@@ -34,7 +34,7 @@ from .common import partitions, slices, split_words, store, task
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a task keeps, in each of two generations.
+#: Words whose ids a worker keeps, in each of two generations.
 WORD_CACHE = 100_000
 _MARK = "<|startoftext|>"
 #: Words that are tokenised in one string, and strings at once.
@@ -124,10 +124,16 @@ class WordTokens:
         return cut + np.arange(docs + 1), out
 
 
+@lru_cache(1)
+def _word_tokens(path: str) -> WordTokens:
+    """Kept by a worker from task to task, with the words that it knows (bounded by WORD_CACHE)."""
+    return WordTokens(path)
+
+
 def pieces(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
     @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer)
+        words = _word_tokens(tokenizer)
         row = 0
         for batch in slices(batches):
             offsets, ids = words.encode(batch.column("text"))
