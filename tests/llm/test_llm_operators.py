@@ -282,6 +282,39 @@ def test_suffix_anchors_name_equal_strings_alike(monkeypatch):
     assert covered == set(range(len(data) - 49)) and max(x[:, 3].max() for x in found) > 150
 
 
+def test_suffix_grams_shared_by_chance_are_not_ranked(spark):
+    rng = random.Random(12)
+    make_ = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common, passage = [make_(30) for _ in range(4)], make_(49)
+    rows = [(i, "".join(make_(60) + c for c in common) + make_(60)) for i in range(12)]
+
+    def ranked(rows):
+        docs = frame(spark, rows).repartition(3).selectExpr("doc_id AS id", "text")
+        out = suffix_dedup.scan(docs, 2).groupBy("bucket").applyInArrow(suffix_dedup.group(2), suffix_dedup.PACKED)
+        return sum(len(r.docs) // 8 for r in out.filter("kind = 2").collect())
+
+    assert ranked(rows) == 0
+    more = [*rows, *((i, make_(70) + passage + make_(i) + passage + "abcdefgh"[i % 8] + make_(30)) for i in range(12, 40)), (40, "x" + rows[3][1][40:140])]
+    assert ranked(more) > 0
+    got = {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in by_id(suffix_dedup.remove_repeats(frame(spark, more).repartition(3))).items()}
+    assert got == wanted_suffix(more)
+
+
+def test_suffix_anchors_of_texts_that_follow_each_other():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 101, n).astype(np.uint8) for n in (0, 49, 50, 51, 400, 0, 7)] + [np.full(90, 97, np.uint8)] * 2
+    ends = np.cumsum([len(x) for x in texts])
+
+    def rows(before, start, *rest):
+        back, width, *_, blocks = rest
+        used = (back[:, None] >= suffix_dedup._FROM) & ((back - width)[:, None] <= suffix_dedup._TO)
+        return list(zip((start + before).tolist(), *(c.tolist() for c in rest[:-1]), np.where(used, blocks, 0).tolist(), strict=True))
+
+    (together,) = suffix_dedup.anchors(np.concatenate(texts), ends)
+    alone = [r for x, e in zip(texts, ends.tolist(), strict=True) for found in suffix_dedup.anchors(x) for r in rows(e - len(x), *found)]
+    assert len(alone) > 20 and rows(0, *together) == alone
+
+
 # Jaccard join --------------------------------------------------------------------------------------------------------------
 
 

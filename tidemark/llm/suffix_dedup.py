@@ -7,12 +7,13 @@ of a corpus would shuffle some tens of times its size, so the strings are named
    the same place, and neighbouring strings share anchors: about one for 17 strings. The bytes that an anchor's strings cover are its
    context, and a string's name is (anchor, steps back from it).
 2. Tasks exchange packed anchors. Where a document with a smaller id has the whole context (by 128 bits of hashes: 32 of the gram and 96
-   of the context), the context goes, and only the smallest document of each context stays in play. Anchors whose gram occurs in one
-   document only are done.
-3. What is left are about a tenth of the anchors, the ends of repeats. Their strings are ranked by Spark: the steps are cut into blocks
-   of 16, whose strings have 35 bytes in common; these are sorted and ranked, and what is unique to one document is dropped. Then pairs
-   (rank, bytes added at both ends) give the ranks of blocks of 4 steps (47 bytes) and of single strings (SPAN bytes). A string, or a
-   block's strings together, whose rank has a smaller document is removed. Ranks are exact: they name literal bytes.
+   of the context), the context goes, and only the smallest document of each context stays in play. The steps are cut into blocks of 16,
+   whose strings have 35 bytes in common. Blocks whose 35 bytes occur in one document only, by a short hash, are done, so a gram that
+   documents share by chance costs nothing more.
+3. What is left are the ends of repeats. Their strings are ranked by Spark: the bytes that a block's strings have in common are sorted
+   and ranked, and what is unique to one document is dropped. Then pairs (rank, bytes added at both ends) give the ranks of blocks of 4
+   steps (47 bytes) and of single strings (SPAN bytes). A string, or a block's strings together, whose rank has a smaller document is
+   removed. Ranks are exact: they name literal bytes.
 
 Each ranking is a grouping with map-side combination and a join that Spark can split, so a rank that very many documents share does
 not land in one task. Packed anchors are dealt to buckets of about ``BUCKET_BYTES`` of text, so a task's memory does not follow the corpus.
@@ -40,16 +41,19 @@ GRAM = 16
 _BACK = SPAN - GRAM
 #: Steps in a block of each ranking.
 BLOCKS = (16, 4, 1)
-#: Text whose anchors go to one bucket, on average.
-BUCKET_BYTES = 4 << 20
-#: Text that is hashed at once.
-_CHUNK = 1 << 17
+#: The least and the most steps of the blocks of the first ranking.
+_FROM = np.arange(0, _BACK + 1, BLOCKS[0])
+_TO = np.minimum(_FROM + BLOCKS[0] - 1, _BACK)
+#: Text whose anchors go to one bucket, on average. Tasks send a packed row to each bucket, so rows follow the square of the text over this.
+BUCKET_BYTES = 12 << 20
+#: Text that is hashed at once; a place in it, with what follows, has 17 bits.
+_CHUNK = (1 << 17) - 2 * SPAN
 #: Anchors that a task holds before it sends them.
-_HELD = 1 << 18
-_PLACE = np.uint64((1 << 20) - 1)
+_HELD = 1 << 19
+_PLACE = np.uint32((1 << 17) - 1)
 _LAST = np.iinfo(np.int64).max
-#: What anchors are settled by (the bucket has other bits of the gram's hash).
-_KEY = np.dtype([("gram", "<u4"), ("context", "<u8"), ("more", "<u4")])
+#: What anchors are settled by (the bucket has other bits of the gram's hash), and what tells which of their blocks are in play.
+_KEY = np.dtype([("gram", "<u4"), ("context", "<u8"), ("more", "<u4"), ("blocks", "<u2", len(_FROM))])
 _REACH = np.dtype([("back", "u1"), ("width", "u1"), ("extent", "<u4")])
 PACKED = "kind int, bucket int, docs binary, places binary, ends binary, keys binary"
 
@@ -76,43 +80,55 @@ _ONE, _TWO = (_Hash(b, _CHUNK + 2 * SPAN) for b in (0x9E3779B97F4A7C15, 0xC2B2AE
 
 
 def _least(x: np.ndarray, w: int) -> np.ndarray:
-    """The least of x[i : i + w], by doubling; the last w - 1 are over what is there."""
+    """The least of each x[i : i + w], by doubling."""
     n = 1
     while n < w:
         step = min(n, w - n)
-        y = x.copy()
-        np.minimum(x[:-step], x[step:], out=y[:-step])
-        x, n = y, n + step
+        x, n = np.minimum(x[:-step], x[step:]), n + step
     return x
 
 
-def anchors(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def anchors(data: np.ndarray, ends: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
     """(place of an anchor's first string, anchor's place less that, number of strings less one, extent, hash of the gram, two of the
-    context) for the anchors of a text, a part of a long text at a time; a part's border may divide an anchor's strings. Anchors of one
-    context that follow each other within SPAN bytes are given once; extent is how far the last lies from the first."""
+    context, short ones of what each block's strings share) for the anchors of texts that follow each other in data (ends: of each; one
+    if not given), a part at a time; a part's border may divide an anchor's strings. Anchors of one context that follow each other within
+    SPAN bytes of a text are given once; extent is how far the last lies from the first."""
     n = len(data)
+    ends = np.array([n]) if ends is None else ends
     for s in range(0, n - SPAN + 1, _CHUNK):
         d = data[s : min(n, s + _CHUNK + SPAN - 1)]
+        # strings that lie in one text; those of two texts never follow each other
+        inside = np.ones(len(d) - SPAN + 1, bool)
+        border = ends[np.searchsorted(ends, s, "right") : np.searchsorted(ends, s + len(d))] - s
+        across = (border[:, None] + np.arange(1 - SPAN, 0)).ravel()
+        inside[across[(across >= 0) & (across < len(inside))]] = False
+        string = np.flatnonzero(inside)
+        if not len(string):
+            continue
         one, two = _ONE.sums(d), _TWO.sums(d)
         h = (one[GRAM:] - one[:-GRAM]) * _ONE.unpower[: len(d) - GRAM + 1]
         h ^= h >> np.uint64(32)
         h *= _ONE.base
         h ^= h >> np.uint64(29)
-        order = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
-        own = (_least(order, _BACK + 1)[: len(d) - SPAN + 1] & _PLACE).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        last = np.append(first[1:], len(own)) - 1
-        place = own[first]
+        order = ((h >> np.uint64(32)).astype(np.uint32) & ~_PLACE) | np.arange(len(h), dtype=np.uint32)
+        own = (_least(order, _BACK + 1) & _PLACE)[string]
+        new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        first, last, place = string[new], string[np.append(new[1:], len(own)) - 1], own[new].astype(np.int64)
         shape = ((place - first) * 64 + last - first).astype(np.uint64)
         c = mix64(_ONE.of(one, first, last + SPAN) + mix64(shape + np.uint64(1)))
         more = mix64(_TWO.of(two, first, last + SPAN) ^ shape)
         h = h[place]
         # the same context again and again, as in a run of one word: whatever is removed of each touches what is removed of the next
+        text = np.searchsorted(ends, first + s, "right")
         new = np.ones(len(first), bool)
-        new[1:] = (c[1:] != c[:-1]) | (more[1:] != more[:-1]) | (h[1:] != h[:-1]) | (first[1:] - first[:-1] > SPAN)
+        new[1:] = (c[1:] != c[:-1]) | (more[1:] != more[:-1]) | (h[1:] != h[:-1]) | (first[1:] - first[:-1] > SPAN) | (text[1:] != text[:-1])
         at = np.flatnonzero(new)
         extent = first[np.append(at[1:], len(first)) - 1] - first[at]
-        yield first[at] + s, (place - first)[at], (last - first)[at], extent, h[at], c[at], more[at]
+        first, last, place = first[at], last[at], place[at]
+        blocks = np.empty((len(at), len(_FROM)), np.uint16)
+        for j, (a, b) in enumerate(zip(_FROM.tolist(), _TO.tolist(), strict=True)):  # of blocks without strings anything
+            blocks[:, j] = mix64(_ONE.of(one, np.maximum(place - a, 0), np.minimum(place + SPAN - b, len(d)))) >> np.uint64(48)
+        yield first + s, place - first, last - first, extent, h[at], c[at], more[at], blocks
 
 
 def merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,6 +188,32 @@ def _reach(back: np.ndarray, width: np.ndarray, extent: np.ndarray) -> np.ndarra
     return out
 
 
+def _in_play(gram: np.ndarray, blocks: np.ndarray, doc: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """For each anchor and block whether the anchor has strings in it and another document has the block's bytes."""
+    most, least = reach["back"].astype(np.int64), reach["back"].astype(np.int64) - reach["width"]
+    out = (most[:, None] >= _FROM) & (least[:, None] <= _TO)
+    for j in range(len(_FROM)):
+        at = np.flatnonzero(out[:, j])
+        if not len(at):
+            continue
+        key = (gram[at].astype(np.uint64) << np.uint64(16)) | blocks[at, j]
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        several = np.minimum.reduceat(doc[at], new) != np.maximum.reduceat(doc[at], new)
+        out[at, j] = np.repeat(several, np.diff(np.append(new, len(at))))
+    return out
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text or binary column, one row after the other, and where rows begin and end."""
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, kind, len(column) + 1, column.offset * np.dtype(kind).itemsize).astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def scan(docs: DataFrame, buckets: int) -> DataFrame:
     """Of docs (id, text) packed anchors (kind 0, dealt by gram) and ranges that a task could settle by itself (kind 1, dealt by document)."""
 
@@ -181,9 +223,10 @@ def scan(docs: DataFrame, buckets: int) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            start, back, width, extent, h, c, more, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            start, back, width, extent, h, c, more, blocks, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.lexsort((more, c, h))
-            start, back, width, extent, h, c, more, doc = (x[order] for x in (start, back, width, extent, h, c, more, doc))
+            start, back, width, extent, h, c, more, blocks, doc = (x[order] for x in (start, back, width, extent, h, c, more, blocks, doc))
             gone = _later(doc, h, c, more)
             rows = _flags(doc[gone], start[gone], (start + width + extent)[gone] + SPAN, buckets)
             stay = np.flatnonzero(~gone)
@@ -191,23 +234,22 @@ def scan(docs: DataFrame, buckets: int) -> DataFrame:
             bucket = (((mix64(h[stay]) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)  # mixed, as the least hashes stay
             key = np.empty(len(stay), _KEY)
             key["gram"], key["context"], key["more"] = h[stay].astype(np.uint32), c[stay], (more[stay] >> np.uint64(32)).astype(np.uint32)
+            key["blocks"] = blocks[stay]
             rows += _rows(0, bucket, buckets, doc[stay], start[stay].astype("<u4"), _reach(back, width, extent)[stay], key)
             return pa.RecordBatch.from_arrays(_columns(rows), _NAMES)
 
         for batch in slices(batches):
-            for id_, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                raw = text.as_buffer()
-                for found in anchors(np.frombuffer(raw, np.uint8)) if raw and len(raw) >= SPAN else ():
-                    held.append((*found, np.full(len(found[0]), id_)))
-                    size += len(found[0])
-                    if size >= _HELD:
-                        out = flush()
-                        held, size = [], 0
-                        trim()
-                        yield out
+            ids, (data, at) = batch.column("id").to_numpy(), _flat(batch.column("text"))
+            for start, *found in anchors(data, at[1:]):
+                row = np.searchsorted(at[1:], start, "right")
+                held.append((start - at[row], *found, ids[row]))
+                size += len(row)
+                if size >= _HELD:
+                    out, size = flush(), 0
+                    trim()
+                    yield out
         if held:
-            out, held = flush(), []
-            yield out
+            yield flush()
 
     return docs.mapInArrow(run, PACKED)
 
@@ -227,11 +269,18 @@ def group(buckets: int):
             key, doc, start, reach = key[order], doc[order], start[order], reach[order]
             gone = _later(doc, key["gram"], key["context"], key["more"])
             rows += _flags(doc[gone], start[gone], (start + reach["width"] + reach["extent"])[gone] + SPAN, buckets)
-            gram, doc, start, reach = key["gram"][~gone], doc[~gone], start[~gone], reach[~gone]
-            new = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-            n = np.diff(np.append(new, len(gram)))
+            key, doc, start, reach = key[~gone], doc[~gone], start[~gone], reach[~gone]
+            new = np.flatnonzero(np.concatenate([[True], key["gram"][1:] != key["gram"][:-1]]))
+            n = np.diff(np.append(new, len(key)))
             shared = np.repeat(np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new), n)
-            doc, start, reach = doc[shared], start[shared], reach[shared]
+            key, doc, start, reach = key[shared], doc[shared], start[shared], reach[shared]
+            play = _in_play(key["gram"], key["blocks"], doc, reach)
+            shared = play.any(axis=1)
+            play, doc, start, reach = play[shared], doc[shared], start[shared], reach[shared]
+            # from the first to the last block in play
+            back, width = reach["back"].astype(np.int64), reach["width"].astype(np.int64)
+            least, most = np.maximum(back - width, _FROM[play.argmax(axis=1)]), np.minimum(back, _TO[len(_TO) - 1 - play[:, ::-1].argmax(axis=1)])
+            start, reach = start + back - most, _reach(most, most - least, reach["extent"])
             rows += _rows(2, _deal(doc, buckets), buckets, doc, start.astype("<u4"), reach, None)
         return pa.Table.from_arrays(_columns(rows), _NAMES)
 
@@ -263,16 +312,18 @@ def contexts(joined: DataFrame) -> DataFrame:
     @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 20):
-            for id_, text, data in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("data"), strict=True):
-                data, raw = data.as_buffer(), np.frombuffer(text.as_buffer(), np.uint8)
-                count = len(data) // (8 + _REACH.itemsize)
-                start, reach = np.frombuffer(data, np.int64, count), np.frombuffer(data, _REACH, count, 8 * count)
-                back, width = reach["back"].astype(np.int64), reach["width"].astype(np.int64)
-                cut = np.concatenate([[0], np.cumsum(width + SPAN)])
-                around = raw[np.repeat(start - cut[:-1], width + SPAN) + np.arange(cut[-1])]
-                bytes_ = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(around)])
-                columns = [pa.array(np.full(len(start), id_)), pa.array((start + back).astype(np.int32)), pa.array(back.astype(np.int32)), pa.array((back - width).astype(np.int32)), pa.array(reach["extent"].astype(np.int32)), bytes_]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "place", "most", "least", "extent", "around"])
+            raw, at = _flat(batch.column("text"))
+            packed = [x.as_buffer() for x in batch.column("data")]
+            count = [x.size // (8 + _REACH.itemsize) for x in packed]
+            start = np.concatenate([np.frombuffer(x, np.int64, n) for x, n in zip(packed, count, strict=True)])
+            reach = np.concatenate([np.frombuffer(x, _REACH, n, 8 * n) for x, n in zip(packed, count, strict=True)])
+            doc, text = np.repeat(batch.column("id").to_numpy(), count), np.repeat(at[:-1], count)
+            back, width = reach["back"].astype(np.int64), reach["width"].astype(np.int64)
+            cut = np.concatenate([[0], np.cumsum(width + SPAN)])
+            around = raw[np.repeat(text + start - cut[:-1], width + SPAN) + np.arange(cut[-1])]
+            bytes_ = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(around)])
+            columns = [pa.array(doc), pa.array((start + back).astype(np.int32)), pa.array(back.astype(np.int32)), pa.array((back - width).astype(np.int32)), pa.array(reach["extent"].astype(np.int32)), bytes_]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "place", "most", "least", "extent", "around"])
 
     return joined.select("id", "text", "data").mapInArrow(run, "doc long, place int, most int, least int, extent int, around binary")
 
